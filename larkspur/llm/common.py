@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from larkspur.sources.storage import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. In local mode, where there is one machine, a
-    temporary folder serves if it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        found = tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+__all__ = ["cut", "shared_dir"]
 
 
 def cut(df: DataFrame) -> DataFrame:

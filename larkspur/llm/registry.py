@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontam, mixing, quality, simhash, tokens
+from larkspur.llm import ann, credentials, decontam, maintext, mixing, pii, quality, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 END_ID = 2
@@ -24,6 +23,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
@@ -48,14 +51,27 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
     first = F.try_element_at("positions", F.lit(1))
     return found.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return maintext.extract(table(spark, folder, "pages"))
+
+
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    return credentials.digest(credentials.secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source")))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_quality": op2_quality, "op3_token_ids": op3_token_ids, "op4_decontaminate": op4_decontaminate, "op5_token_counts": op5_token_counts, "op6_near_duplicates": op6_near_duplicates, "op8_mixing": op8_mixing}
+    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_token_ids, op4_decontaminate, op5_token_counts, op6_near_duplicates, op7_personal_data, op8_mixing, op9_main_text, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
