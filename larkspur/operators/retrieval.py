@@ -49,14 +49,20 @@ def _in_rows(rows: DataFrame, kb: DataFrame, boost: int) -> DataFrame:
     return rows.withColumn("matches", found.cast(MATCH)).drop("__kb")
 
 
+def _grams(text: Column, n: int) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.transform(places, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def _by_grams(rows: DataFrame, kb: DataFrame, id_col: str, boost: int) -> DataFrame:
     phrases = kb.select("ord", F.explode("keywords").alias("phrase"), F.lit(1).cast("long").alias("worth")).union(kb.where("category is not null and category != ''").select("ord", "category", F.lit(boost).cast("long")))
     phrases = phrases.withColumn("gram", F.substring("phrase", 1, GRAM))
     sizes = [r[0] for r in phrases.select(F.length("gram")).distinct().collect()]  # GRAM values at most
-    grams = F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__folded") - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col("__folded"), i, F.lit(n))) for n in sizes))))
-    near = rows.select(F.col(id_col).alias("__id"), F.explode(grams).alias("gram")).join(phrases, "gram").select("__id", "ord", "phrase", "worth")
+    grams = F.array_distinct(F.flatten(F.array(*(_grams(F.col("__folded"), n) for n in sizes))))
+    # the estimates know nothing of what explode() makes, so no side may be broadcast on their word
+    near = rows.select(F.col(id_col).alias("__id"), F.explode(grams).alias("gram")).join(phrases.hint("merge"), "gram").select("__id", "ord", "phrase", "worth")
     texts = rows.select(F.col(id_col).alias("__id"), "__folded")
-    hits = near.join(texts, "__id").where(F.contains("__folded", F.col("phrase"))).groupBy("__id", "ord").agg(F.sum("worth").alias("score"))
+    hits = near.join(texts.hint("merge"), "__id").where(F.contains("__folded", F.col("phrase"))).groupBy("__id", "ord").agg(F.sum("worth").alias("score"))
     entry = F.struct("ord", "id", "source", "answer")
     best = hits.join(kb.select(F.col("ord").alias("o"), entry.alias("e")), F.col("ord") == F.col("o")).groupBy("__id").agg(F.array_sort(F.collect_list(_ordered(F.col("score"), F.col("e")))).cast(MATCH).alias("matches"))
     found = rows.join(best, rows[id_col] == F.col("__id"), "left").drop("__id")
