@@ -2,7 +2,7 @@
 
 Equal vectors are one class with their least ids (as many as an answer can hold), so ties cost nothing and stay exact. Classes
 are dealt to shards by hash. A shard's graph grows by insertion: a greedy beam search from the entry point proposes neighbours, robust
-pruning keeps a candidate only if no kept one is closer to it by the factor ALPHA, and edges back are pruned the same way when
+pruning keeps a candidate only if no kept one is closer to it by the factor ALPHA (places left go to the nearest others), and edges back are pruned the same way when
 a node has too many. For inner products vectors get one more coordinate that makes all norms equal, which turns them into
 distances. Queries, in blocks, search every shard's graph by beam search; candidates are scored again on the original vectors
 in double precision, and the best of all shards win.
@@ -103,6 +103,12 @@ class Graph:
             # distances are squared, and so is the factor; a point is never further from itself, which removes repeats
             alive &= ~((self.alpha**2 * between[rows, pick] <= far) | (candidates == candidates[rows, pick][:, None])) | ~some[:, None]
             alive[rows, pick] = False
+        # free places go to the nearest candidates that were pruned
+        kept = (candidates[:, :, None] == out[:, None, :]).any(axis=2) | ~np.isfinite(far)
+        kept[:, 1:] |= candidates[:, 1:] == candidates[:, :-1]
+        rest, free = np.argsort(kept, axis=1, kind="stable")[:, : self.degree], (out >= 0).sum(axis=1)
+        r, c = np.nonzero((np.arange(rest.shape[1]) < np.minimum(self.degree - free, (~kept).sum(axis=1))[:, None]))
+        out[r, free[r] + c] = candidates[r, rest[r, c]]
         return out
 
     def _insert(self, nodes: np.ndarray, beam: int) -> None:
