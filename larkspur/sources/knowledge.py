@@ -20,8 +20,8 @@ def entries(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def validated(kb: DataFrame) -> DataFrame:
-    """Without empty or null keywords, which would match everything, and without null categories doing so."""
-    return kb.withColumn("keywords", F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull() & (k != "")))
+    """Without what would match everything: empty keywords and categories."""
+    return kb.withColumn("category", F.nullif("category", F.lit(""))).withColumn("keywords", F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull() & (k != "")))
 
 
 def count(kb: DataFrame) -> int:
