@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import conversation, ingest, listing, lookup, metrics, retrieval
+from larkspur.operators import conversation, ingest, listing, lookup, metrics, retrieval, service
 from larkspur.operators.rules import Rule, RuleSet, classify, dispatch
 from larkspur.sources import knowledge
 from larkspur.sources.storage import parsed, point_read, query_parameter, shared_dir, table, to_json_rows
-from larkspur.streaming.queries import counters_stream, ingest_stream, json_stream
+from larkspur.streaming.queries import chat_stream, counters_stream, ingest_stream, json_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -345,6 +345,50 @@ def exactly_one(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", conversation.exactly_one(F.col("q"), F.col("t")).alias("one"))
 
 
+@query(f"""WITH asked AS (SELECT conv_id, turn, text, {ROUTE_SQL.format(t='lower(text)')} AS intent FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, 'user' AS role, text, intent FROM asked UNION ALL SELECT conv_id, turn, 'model', CASE intent WHEN 'a' THEN 'table' WHEN 'b' THEN 'application' ELSE 'You said: ' || text END, intent FROM asked""")
+def chat_by_stream(spark: SparkSession, folder: str) -> DataFrame:
+    where = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
+    to_json_rows(table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", "text")).write.text(f"{where}/in")
+    branches = {"a": lambda t: F.lit("table"), "b": lambda t: F.lit("application"), "c": lambda t: F.concat(F.lit("You said: "), t)}
+    chat_stream(json_stream(spark, f"{where}/in", "conv_id long, turn long, text string"), RULES, branches, "text", f"{where}/table", f"{where}/state").awaitTermination()
+    return spark.read.parquet(f"{where}/table").select("conv_id", "turn", "role", "text", "intent")
+
+
+# Replies
+
+
+@query(f"SELECT d.doc_id, 200 AS status, CASE WHEN r.id IS NULL THEN '{NO_MATCH}' ELSE r.answer || chr(10) || chr(10) || 'Source: ' || r.source END AS answer, coalesce(s.sources, '') AS sources FROM documents d LEFT JOIN (SELECT * FROM ({RANKED_SQL}) WHERE n = 1) r ON r.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, string_agg(source, ',' ORDER BY score DESC, ord) AS sources FROM ({SCORED_SQL}) GROUP BY doc_id) s ON s.doc_id = d.doc_id")
+def chat_replies(spark: SparkSession, folder: str) -> DataFrame:
+    found = service.chat(documents(spark, folder), base(spark), NO_MATCH, "text", "doc_id")
+    return found.select("doc_id", "status", "answer", F.array_join("sources", ",").alias("sources"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 400 WHEN c_custkey % 5 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN c_custkey % 7 != 0 AND c_custkey % 5 != 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE CAST(c_nationkey AS INTEGER) END END AS amount FROM customer")
+def balance_replies(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    asked = rows.select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")).alias("key"))
+    stored = rows.where("c_custkey % 5 != 0").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("amount"))
+    found = service.balance(asked, stored.where("key % 2 = 0"), stored.where("key % 2 = 1"), "key", "amount")
+    return found.select("c_custkey", "status", "amount")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN '{\"error\":\"failed\",\"request_id\":\"' || event_id || '\"}' ELSE '{\"error\":\"failed\"}' END AS body FROM events")
+def error_replies(spark: SparkSession, folder: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", 500).otherwise(400)
+    return table(spark, folder, "events").select("event_id", service.error_reply(status, F.lit("failed"), F.col("event_id").cast("string")).alias("body"))
+
+
+@query("SELECT 'ok' AS status, 'table' AS data_source")
+def health(spark: SparkSession, folder: str) -> DataFrame:
+    return service.health(spark.range(1), True)
+
+
+@query("SELECT event_id, 401 AS status FROM events WHERE event_type != 'click'")
+def gate_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    return service.gated(table(spark, folder, "events").select("event_id", "event_type"), "event_type", "click")[1].select("event_id", "status")
+
+
 # Scalars
 
 
