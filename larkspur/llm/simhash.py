@@ -28,9 +28,9 @@ from larkspur.llm.tokens import _texts
 
 #: Words of a shingle, hash seed and linking radius.
 WORDS, SEED, RADIUS = 3, 42, 2
-#: The tree is fitted on at most SAMPLE distinct fingerprints (in the order of a hash, so it is reproducible) and has
-#: leaves of about SHARD classes; it decides speed alone, never results.
-SAMPLE, SHARD, LEAF = 1 << 14, 1 << 13, 256
+#: The tree has leaves of about SHARD classes. It is fitted on about PER_LEAF distinct fingerprints for each leaf, picked by a
+#: hash, and on SAMPLE at most; it decides speed alone, never results.
+SAMPLE, PER_LEAF, SHARD, LEAF = 1 << 20, 64, 1 << 13, 256
 
 _BITS = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8) @ (np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)).astype(object)).astype(np.uint64)
 
@@ -88,7 +88,7 @@ class Tree:
     def __init__(self, sample: np.ndarray, leaves: int, radius: int = RADIUS) -> None:
         self.radius, self.vantage, self.cut, self.near, self.far, self.leaves = radius, [], [], [], [], 0
         rng = np.random.default_rng(0)
-        self.root = self._grow(sample, max(64, len(sample) // max(1, leaves)), rng)
+        self.root = self._grow(sample, max(8, len(sample) // max(1, leaves)), rng)
 
     def _grow(self, points: np.ndarray, least: int, rng: np.random.Generator) -> int:
         best = None
@@ -169,9 +169,11 @@ def _forest_rows(radius: int):
 
 def links(classes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp) that connect just those that chains of links connect."""
-    n = classes.count()
-    fitted = np.array([r.fp for r in classes.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(sample).collect()], np.int64).view(np.uint64)
-    tree = Tree(fitted, -(-n // shard), radius)
+    n = max(classes.count(), 1)
+    leaves = -(-n // shard)
+    part = min(1.0, min(sample, PER_LEAF * leaves) / n)
+    picked = classes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(part * (1 << 30))).select("fp").toPandas()
+    tree = Tree(np.sort(picked["fp"].to_numpy(np.int64)).view(np.uint64), leaves, radius)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
