@@ -19,6 +19,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import shared_dir
 
 #: Ids per grammar shard, ids per flat block, and entries that a worker keeps of encoded words.
-SHARD_TOKENS, BLOCK_TOKENS, CACHE_WORDS = 1 << 18, 1 << 16, 800_000
+SHARD_TOKENS, BLOCK_TOKENS, CACHE_WORDS = 1 << 18, 1 << 16, 600_000
 #: Re-Pair: replacement rounds, pairs replaced in a round, and how often a pair must occur.
 ROUNDS, PAIRS_PER_ROUND, MIN_COUNT = 4, 1024, 4
 
@@ -68,26 +69,40 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of self.dtype."""
         known, split = self.known, [self.split(t) if t else [] for t in texts]
-        missing = set().union(*(p for p in split if p)) - known.keys()
-        added = self.learn(missing) if missing else []
-        out = [self.ids(t).tobytes() if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
-        if len(known) > CACHE_WORDS:
-            for word in added:
-                del known[word]
+        words = list(chain.from_iterable(s for s in split if s))
+        found = list(map(known.get, words))  # one look-up a word
+        lacking = [k for k, x in enumerate(found) if x is None]
+        if lacking:
+            added = self.learn({words[k]: None for k in lacking})
+            for k in lacking:
+                found[k] = known[words[k]]
+            if len(known) > CACHE_WORDS:
+                for word in added:
+                    known.pop(word, None)
+        out, at = [], 0
+        for text, own in zip(texts, split, strict=True):
+            if own is None:
+                out.append(self.ids(text).tobytes())
+            else:
+                out.append(b"".join(found[at : at + len(own)]))
+                at += len(own)
         return out
 
-    def learn(self, missing: set[str]) -> list[str]:
-        """Encodes words by the hundred, with line feeds between, whose id then shows where each ends."""
-        known, ended = self.known, [w for w in missing if w[-1] in ",." and w[-2:-1].isalpha()]
-        words = list((missing.difference(ended) | {w[:-1] for w in ended} | {w[-1] for w in ended}) - known.keys())
-        parts = [words[at : at + 128] for at in range(0, len(words), 128)]
+    def learn(self, missing: dict[str, None]) -> list[str]:
+        """Encodes words by the hundred, with line feeds between, whose id then shows where each ends; what is known now."""
+        known, size = self.known, self.dtype().itemsize
+        ended = [w for w in missing if w[-1] in ",." and w[-2:-1].isalpha()]
+        words = [w for w in dict.fromkeys([w[:-1] if w[-1] in ",." and w[-2:-1].isalpha() else w for w in missing] + [",", "."]) if w not in known]
+        parts = [words[at : at + 256] for at in range(0, len(words), 256)]
         for part, got in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.feed).tolist()
-            raw, size = ids.tobytes(), ids.itemsize
-            known.update((w, raw[lo * size + size : hi * size]) for w, lo, hi in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True))
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in ended)
-        return list({*words, *ended}) if len(known) > CACHE_WORDS else []
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(part, [*(np.flatnonzero(ids == self.feed) * size).tolist(), len(raw)], strict=True):
+                known[word] = raw[at:end]
+                at = end + size
+        for word in ended:
+            known[word] = known[word[:-1]] + known[word[-1]]
+        return words + ended
 
 
 def encoder(path: str) -> WordEncoder:
