@@ -45,13 +45,14 @@ def _in_rows(rows: DataFrame, kb: DataFrame, boost: int) -> DataFrame:
         hits = F.size(F.filter(e["keywords"], lambda k: F.contains(F.col("__folded"), k))).cast("long")
         return _ordered(hits + F.when(F.contains(F.col("__folded"), e["category"]), boost).otherwise(0), e)
 
-    found = F.array_sort(F.filter(F.transform("__kb", scored), lambda m: m["score"] > 0))
-    return rows.withColumn("matches", found.cast(MATCH)).drop("__kb")
+    found = F.array_sort(F.filter(F.transform("__kb", scored), lambda m: m["score"] > 0)).cast(MATCH)
+    # a generator of one element: what comes after reads the column and doesn't work it out again for each use
+    return rows.select("*", F.explode(F.array(found)).alias("matches")).drop("__kb")
 
 
 def _grams(text: Column, n: int) -> Column:
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.transform(places, lambda i: F.substring(text, i, F.lit(n)))
+    """All runs of n characters, overlapping, in one linear pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def _by_grams(rows: DataFrame, kb: DataFrame, id_col: str, boost: int) -> DataFrame:
