@@ -7,6 +7,9 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The prefix of reference ids, the digits kept by the long form, and those dropped by the short one.
+PREFIX, KEPT_DIGITS, DROPPED_DIGITS = "LMS-", 6, 8
+
 
 def blank(text: Column) -> Column:
     """Nothing but white space, byte order marks included; null for null."""
@@ -27,12 +30,12 @@ def first_group(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
-def reference_id(ms: Column, prefix: str = "LMS-", digits: int = 6) -> Column:
+def reference_id(ms: Column, prefix: str = PREFIX, digits: int = KEPT_DIGITS) -> Column:
     """A display value from epoch milliseconds: the last digits. It repeats, so it is no key."""
     return F.concat(F.lit(prefix), F.right(ms.cast("string"), F.lit(digits)))
 
 
-def short_reference_id(ms: Column, prefix: str = "LMS-", drop: int = 8) -> Column:
+def short_reference_id(ms: Column, prefix: str = PREFIX, drop: int = DROPPED_DIGITS) -> Column:
     return F.concat(F.lit(prefix), F.substring(ms.cast("string"), drop + 1, 1 << 20))
 
 

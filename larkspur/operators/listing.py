@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: rows of a listing.
+ROWS = 50
 
-def latest(df: DataFrame, order: str, tie: str, n: int = 50) -> DataFrame:
+
+def latest(df: DataFrame, order: str, tie: str, n: int = ROWS) -> DataFrame:
     """The last n rows by order, then tie, latest first. One bounded heap for each task, no full sort."""
     return df.orderBy(F.desc(order), F.desc(tie)).limit(n)
 
 
-def last_appended(df: DataFrame, sequence: str, n: int = 50) -> DataFrame:
+def last_appended(df: DataFrame, sequence: str, n: int = ROWS) -> DataFrame:
     """The last n rows by an explicit sequence number, latest first."""
     return df.orderBy(F.desc(sequence)).limit(n)

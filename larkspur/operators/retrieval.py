@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BOOST, ENTRIES, BYTES, GRAM = 2, 2000, 1 << 20, 3
+#: Fixed value: what a category adds to a score.
+BOOST = 2
+ENTRIES, BYTES, GRAM = 2000, 1 << 20, 3
 MATCH = "array<struct<rank:long,ord:int,id:string,source:string,answer:string,score:long>>"
 
 
