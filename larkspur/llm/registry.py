@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import ann, credentials, decontam, maintext, mixing, pii, quality, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Of op3's files, where stored lengths delimit documents; '#' encodes to it too.
 END_ID = 2
 
 
@@ -43,7 +44,7 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.token_counts(spark, table(spark, folder, "documents").select("doc_id", "text"), vocabulary(), END_ID)
+    return tokens.token_counts(spark, table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
 
 
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,8 @@ task commits make retries safe:
 * *grammar shards* (``write_grammar`` / ``read_grammar``): documents in ascending id order, range-split over files; a
   row is one shard of consecutive documents whose ids were compressed by Re-Pair.
 * *flat blocks* (``write_flat`` / ``scan_separators``): nothing but ids, end-of-document ids included, cut into blocks
-  of equal length regardless of documents; the scan finds documents again from the ids alone.
+  of equal length regardless of documents; the scan finds documents again from the ids alone, so the end id has to be one
+  that no text encodes to.
 
 Edge cases: null and empty texts encode to no ids and still get their end id; null document ids sort first; repeated
 rows are separate documents, ties on the id are ordered by a hash of the text; an empty table gives an empty file set
@@ -51,7 +52,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        #: The id after the vocabulary's last, added tokens included: no text encodes to it.
+        self.separator = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.dtype = np.uint16 if self.separator < 1 << 16 else np.uint32
         feed = self.ids("\n")
         #: Only where a line feed is one id of its own do words come apart again.
         self.apart = len(feed) == 1 and len(self.ids("a\nb")) == 3 and self.ids("a\nb")[1] == feed[0]
@@ -383,8 +386,12 @@ def scan_separators(blocks: DataFrame, end_id: int, dtype: str = "<u2", group: i
     return each.select("file", (F.col("base_docs") + F.col("docs_to") + F.col("k")).alias("ordinal"), (before + 1).alias("start"), (begin + F.col("end") - before).alias("n_tokens"))
 
 
-def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK_TOKENS) -> DataFrame:
-    """Writes flat blocks to the shared folder, scans them, and names the documents found: doc_id, file, ordinal, start, n_tokens."""
+def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int | None = None, block: int = BLOCK_TOKENS) -> DataFrame:
+    """Writes flat blocks to the shared folder, scans them, and names the documents found: doc_id, file, ordinal, start, n_tokens.
+
+    Without end_id the id after the vocabulary ends documents. A given one must be an id that no text here encodes to.
+    """
+    end_id = encoder(tokenizer).separator if end_id is None else end_id
     path = f"{shared_dir(spark)}/token-flat-{uuid.uuid4().hex}"
     write_flat(docs, path, tokenizer, end_id, block)
     rows = spark.read.schema(_FLAT_DDL).parquet(path)

@@ -88,6 +88,17 @@ def test_separator_scan(spark, odd, small, block):
         assert all(a[1] + a[2] == b[1] for a, b in zip(found, found[1:], strict=False)) and found[0][1] == 0
 
 
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_separator_scan_of_texts_with_any_id(spark, tmp_path, block):
+    texts = ["# Title\nC# code, #1", "plain words", "<|endoftext|> and #", "", None, "#", "the last one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    tk = tokens.encoder(registry.vocabulary()).tokenizer
+    n = [len(tk.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    got = tokens.token_counts(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), registry.vocabulary(), block=block)
+    assert sorted(rows(got, "doc_id", "start", "n_tokens")) == [(k, sum(n[:k]), n[k]) for k in range(len(n))]
+    assert sorted(rows(registry.op5_token_counts(spark, str(tmp_path)), "doc_id", "n_tokens")) == list(enumerate(n))
+
+
 def test_separator_scan_groups(spark):
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 9, 4000).astype("<u2")
