@@ -43,8 +43,8 @@ class WordEncoder:
     """Encodes texts with a tokenizers file, encoding each distinct space-delimited word once.
 
     A byte-level pre-tokenizer always cuts before a single space, around a single line feed, and before a final comma
-    or full stop that follows a letter, so the pieces can be encoded apart. Texts with any other white space go to the
-    tokenizer unsplit. The first CACHE_WORDS words are kept between calls; later ones for one call.
+    or full stop that follows a letter, so the pieces can be encoded apart. Texts with any other white space, or with blanks
+    or line feeds side by side or at an end, go to the tokenizer unsplit. The first CACHE_WORDS words are kept between calls; later ones for one call.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,7 +65,8 @@ class WordEncoder:
 
     def split(self, text: str) -> list[str] | None:
         """Pieces to encode apart; None if the text has to stay whole."""
-        if not self.apart or "\x01" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        # the words joined by single blanks are the text only if no other white space, and none beside another, was in it
+        if not self.apart or "\x01" in text or " ".join(text.split()) != text.replace("\n", " "):
             return None
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 

@@ -48,6 +48,13 @@ def test_token_files_odd_rows(spark, odd, empty):
     assert tokens.token_file(spark, empty, path, 2).count() == 0
 
 
+def test_words_apart_with_balanced_white_space():
+    enc = tokens.WordEncoder(registry.vocabulary())
+    texts = ["a\tb\n", "a\tb\n\nc", "a\u00a0b ", " the\tthe", "\u3000 a b", "a\rb  c", "a \t b\u00a0c", " ", "a b\nc"]
+    assert enc.encode(texts) == [enc.ids(t).tobytes() for t in texts]
+    assert [enc.split(t) is None for t in texts] == [True] * 8 + [False]
+
+
 def test_repair_random_access():
     rng = np.random.default_rng(3)
     for base in (20, 70_000):
