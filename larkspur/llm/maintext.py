@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text nodes are grouped by their root-to-leaf tag path. A path's length ratio is its text over its nodes, links not
-counted; its punctuation ratio is its marks over its nodes. Both are smoothed over neighbouring paths in page order and fused by
-their product; paths over a share of the page's mean are content. The smallest element that holds nearly all content text, or the
-article element that does, is the article; its text nodes are the result, except those inside elements that are something else by
+A page's text nodes are grouped by their root-to-leaf tag path; inline elements are part of the block that they stand in. A
+path's length ratio is its text over its blocks, links not counted; its punctuation ratio is its marks over its blocks. Both are
+smoothed over neighbouring paths in page order and fused by their product; paths over a share of the page's mean are content,
+but for those that hold nothing but links and are no headings.
+The text nodes of all content paths, wherever they stand, are the result, except those inside elements that are something else by
 kind, class, id or role (menus, page headers, footers, sidebars, notices, adverts, forms, comments, hidden parts).
 
 Edge cases: null and empty pages have empty text; pages without tags are text as they stand; unclosed elements, comments
@@ -29,6 +30,7 @@ ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden|itemprop)\s*+(?
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: An element of these ends where one of the same set begins in the same scope.
 SIBLINGS = {tag: group for group in (("p",), ("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for tag in group}
 #: Elements that begin a block end an open paragraph.
@@ -37,8 +39,8 @@ SCOPES = frozenset("article aside blockquote body button caption details div fie
 OTHER = frozenset("nav footer aside form button select dialog menu svg canvas audio video object head input optgroup datalist".split())
 WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|footer\w*|masthead|topbar|comment\w*|disqus\w*|repl(?:y|ies)|respond|share|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscribe\w*|signup|login|popup\w*|modal\w*|widget\w*|pagination|pager|toolbar|skip-link|search\w*)(?=$|[\s_-])", re.I)
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar", "tablist"))
-#: Neighbours that smooth a path, with their weights; a content path's share of the mean; share of content that the article holds.
-KERNEL, THRESHOLD, HOLDS = (0.25, 0.5, 0.25), 0.25, 0.8
+#: Neighbours that smooth a path, with their weights; a content path's share of the mean.
+KERNEL, THRESHOLD = (0.25, 0.5, 0.25), 0.25
 MARKS = re.compile(r"[.,;:!?。，…]")
 
 
@@ -48,6 +50,8 @@ class Page:
     def __init__(self, text: str) -> None:
         self.tags, self.parents, self.other, self.paths = ["#page"], [-1], [False], [0]
         self.path_ids: dict[tuple[int, str], int] = {}
+        self.headings: set[int] = set()
+        self.blocks = [0]  # of each element, itself or, for an inline one, the element that it stands in
         self.nodes: list[tuple[int, str]] = []  # (element, text); (element, "") breaks a block
         self._scan(text)
 
@@ -59,7 +63,12 @@ class Page:
             other = bool(label and WORDS.search(label)) or "display:none" in named.get("style", "").replace(" ", "").lower()
             other = other or tag == "header" and not self._inside(parent, "article")
         self.tags.append(tag), self.parents.append(parent), self.other.append(other)
-        self.paths.append(self.path_ids.setdefault((self.paths[parent], f"{tag} {named.get('class', '')}"), len(self.path_ids) + 1))
+        path = self.paths[parent]
+        path = path if tag in INLINE else self.path_ids.setdefault((path, f"{tag} {named.get('class', '')}"), len(self.path_ids) + 1)
+        self.paths.append(path)
+        self.blocks.append(self.blocks[parent] if tag in INLINE else len(self.tags) - 1)
+        if tag in HEADINGS:
+            self.headings.add(path)
         return len(self.tags) - 1
 
     def _inside(self, element: int, tag: str) -> bool:
@@ -128,13 +137,15 @@ class Page:
     def content_paths(self) -> dict[int, float]:
         """Fused ratios of the paths that are content."""
         order: dict[int, list[float]] = {}
+        seen: set[int] = set()
         for element, text in self.nodes:
             if text and not text.isspace() and not self.other[element]:
                 sums = order.setdefault(self.paths[element], [0.0, 0.0, 0.0])
                 linked = self.tags[element] == "a"
                 sums[0] += 0 if linked else len(text.strip())
                 sums[1] += 0 if linked else len(MARKS.findall(text))
-                sums[2] += 1
+                sums[2] += self.blocks[element] not in seen
+                seen.add(self.blocks[element])
         if not order:
             return {}
         lengths, marks = [s[0] / s[2] for s in order.values()], [(s[1] + 0.5) / s[2] for s in order.values()]
@@ -145,35 +156,13 @@ class Page:
 
         fused = [math.sqrt(a * b) for a, b in zip(smooth(lengths), smooth(marks), strict=True)]
         least = THRESHOLD * sum(fused) / len(fused)
-        return {path: f for path, f in zip(order, fused, strict=True) if f >= least}
-
-    def article(self) -> int:
-        """The element that holds the content."""
-        content = self.content_paths()
-        held = [0.0] * len(self.tags)
-        for element, text in self.nodes:
-            if text and self.paths[element] in content and not self.other[element]:
-                held[element] += len(text.strip())
-        for k in range(len(self.tags) - 1, 0, -1):
-            held[self.parents[k]] += held[k]
-        named = [k for k, tag in enumerate(self.tags) if tag in ("article", "main") and not self.other[k]]
-        best = max(named, key=lambda k: held[k], default=0)
-        if best and held[best] >= 0.5 * held[0]:
-            return best
-        at, children = 0, {}
-        for k in range(1, len(self.tags)):
-            children.setdefault(self.parents[k], []).append(k)
-        while (down := max(children.get(at, ()), key=lambda k: held[k], default=None)) is not None and held[down] >= HOLDS * held[0] > 0 and self.tags[down] not in INLINE and self.tags[down] not in SIBLINGS:
-            at = down
-        return at
+        # smoothing alone would lift a list of links beside long text
+        links = {path for (path, _), x in zip(order.items(), lengths, strict=True) if not x and path not in self.headings} if any(lengths) else ()
+        return {path: f for path, f in zip(order, fused, strict=True) if f >= least and path not in links}
 
     def text(self) -> str:
-        root = self.article()
-        inside = [False] * len(self.tags)
-        inside[root] = True
-        for k in range(root + 1, len(self.tags)):
-            inside[k] = inside[self.parents[k]]
-        parts = [text or " " for element, text in self.nodes if inside[element] and not self.other[element] or not text]
+        content = self.content_paths()
+        parts = [text or " " for element, text in self.nodes if not text or self.paths[element] in content and not self.other[element]]
         return " ".join(html.unescape("".join(parts)).split())
 
 

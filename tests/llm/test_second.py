@@ -170,6 +170,22 @@ def test_main_text_forms():
     assert maintext.main_text('<p a="' + "x" * 50_000) == ""
 
 
+def test_main_text_covers_all_content_and_no_other_paths():
+    def body(name, n):
+        return "".join(f"<p>Part {k} of {name}, with <a href=x>a link</a>, commas, and some length to it.</p>" for k in range(n))
+
+    def want(name, n):
+        return " ".join(f"Part {k} of {name}, with a link, commas, and some length to it." for k in range(n))
+
+    two = f"<body><article>{body('one', 6)}</article><article>{body('two', 4)}</article></body>"
+    assert maintext.main_text(two) == f"{want('one', 6)} {want('two', 4)}"
+    beside = f"<body><div id=page><h1>A title, of some kind</h1><p class=lead>The lead says, in short, what follows.</p><div class=story>{body('story', 12)}</div><p class=end>The closing words, at last, are here.</p></div></body>"
+    assert maintext.main_text(beside) == f"A title, of some kind The lead says, in short, what follows. {want('story', 12)} The closing words, at last, are here."
+    links = "<ul>" + "".join(f"<li><a href=x>Elsewhere {k}</a></li>" for k in range(9)) + "</ul><table><tr><td>7</td><td>8</td></tr></table>"
+    assert maintext.main_text(f"<body><article><h2><a href=x>A linked title</a></h2>{body('it', 6)}{links}</article></body>") == f"A linked title {want('it', 6)}"
+    assert maintext.main_text("<p><a href=x>only a link</a></p>") == "only a link"
+
+
 def test_main_text_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "c"), (1, "u", None, "c"), (None, None, "<p>x, y.</p>", "c")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in maintext.extract(df).collect()) == [(0, "x, y.", 5), (1, "", 0), (1, "", 0)]
