@@ -42,7 +42,7 @@ def statistics(raw: bytes, text: str, found: list[bytes], counts: Counter) -> li
     return [
         math.log1p(len(text)) / 5, math.log1p(len(found)) / 4, min(chars / n, 40) / 8, len(counts) / n, max(counts.values(), default=0) / n, 10 * upper / chars, 10 * digit / chars, 10 * marks / chars, 20 * odd / chars,
         20 * (raw.count(b". ") + raw.count(b".\n") + raw.endswith(b".")) / n, 20 * raw.count(b"|") / n, 20 * len(lines) / n, 1 - len(set(lines)) / len(lines), 1 - pairs / max(len(found) - 1, 1) if len(found) > 1 else 0.0,
-        5 * (len(raw) - len(text)) / chars, sum(w[:1].isupper() for w in found[:4096]) / min(n, 4096), sum(len(w) > 14 for w in counts) / max(len(counts), 1),
+        5 * (len(raw) - len(text)) / chars, sum(w[:1].isupper() for w in found) / n, sum(len(w) > 14 for w in counts) / max(len(counts), 1),
     ]
 
 

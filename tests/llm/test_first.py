@@ -121,6 +121,12 @@ def test_separator_scan_groups(spark):
 DECON = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def test_capitals_are_those_of_the_whole_text():
+    at = quality.STATISTICS.index("capitals")
+    shares = [quality.features("word " * 5000 + tail * 5000)[1][at] for tail in ("word ", "Word ")]
+    assert shares == [0.0, 0.5]
+
+
 def test_decontamination(spark, small):
     docs, items = read(small, "documents"), read(small, "benchmark")
     want = brute.decontaminated(zip(docs.doc_id, docs.text, strict=True), zip(items.item_id, items.text, strict=True))
