@@ -142,6 +142,18 @@ def test_ownership_frequency(spark):
     assert [r.spans for r in got if r.doc_id == 52] == ["assign:0:46"] and len(got) == len(rows)
 
 
+def test_further_secrets_of_any_length(spark):
+    jwt = "eyJ" + "x" * 5000 + ".eyJ" + "y" * 5000 + "." + "z" * 5000
+    pem = "-----BEGIN VERY LONG LABELLED ENCRYPTED PRIVATE KEY-----\n" + "QUJD\n" * 3000 + "-----END"
+    found = [("service", head + "a1B2" * 100) for head in ("ghp_", "xoxb-", "sk_live_", "glpat-")] + [("web_token", jwt), ("bearer", "Bearer " + "x.Y" * 400 + "=="), ("address_password", "abcdefgh+" * 4 + "db://" + "u" * 90 + ":" + "p" * 300 + "@"), ("address_password", "ftp://me:secret12@"), ("key_block", pem)]
+    rows = [(k, f"see {value} here", f"s{k}") for k, (_, value) in enumerate(found)]
+    rows += [(100 + k, "bearer " + "x" * 512 + str(k), f"s{k}") for k in range(9)]  # one beginning, different ends
+    rows += [(200, "a+" * 60_000 + "eyJ" * 60_000 + " bearer " * 9_000 + "xx://" * 9_000, "s0")]
+    got = {r.doc_id: r.spans for r in credentials.digest(credentials.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert [got[k] for k in range(len(found))] == [f"{kind}:4:{4 + len(value)}" for kind, value in found]
+    assert [got[100 + k] for k in range(9)] == ["bearer:0:520"] * 9 and got[200] == ""
+
+
 # Main text
 
 
