@@ -28,6 +28,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 
+#: A further part of a spelled-out domain; after a bare full stop no blank, which would end a sentence.
+DOT_PART = r"(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++|\.[a-z0-9-]++(?![A-Za-z]))(?:(?<=[A-Za-z]{2})|(?=\x20?[\[(]dot|\.[a-z]))"
 #: Candidates beyond the base: kind, pattern, exact form, and a cheap test for the text.
 MORE = (
     ("national_phone", r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])", r"^(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-.])[2-9][0-9]{2}[-.][0-9]{4}$", "[0-9]"),
@@ -35,7 +37,7 @@ MORE = (
     ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?$", "[0-9]"),
     ("person", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20}){0,2}(?![A-Za-z])", r"^(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+ [A-Z][a-z]+$", "(?:Mr|Ms|Dr|Prof)"),
     ("address", r"(?<![0-9A-Za-z])[0-9]{1,5}\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20}){0,2}\x20(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|St|Ave|Rd|Ln|Dr|Blvd)(?![A-Za-z])", r"^[1-9][0-9]{0,4} .*(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court)$", "[0-9]"),
-    ("spelled_email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,40}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,40}\x20?(?:\.|[\[(]dot[\])])\x20?[a-z]{2,10}(?![A-Za-z])", r"\[at\].*\[dot\]", "[\\[(]at[\\])]"),
+    ("spelled_email", rf"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:{DOT_PART})++(?<=[A-Za-z]{{2}})|\x20?(?:\.|[\[(]dot[\])])\x20?[a-z]{{2,}}+(?:{DOT_PART})*+)(?![A-Za-z])", r"\[at\].*\[dot\]", "[\\[(]at[\\])]"),
 )
 KINDS = (*BASE, *(m[0] for m in MORE))
 #: Gazetteers: given names, mail domains, and towns' streets.
@@ -135,11 +137,11 @@ def classifier(rows: list[tuple[tuple[int, ...], int, int, float, float]], round
 
 def _features(votes: tuple, kind: int, wide: int) -> list[float]:
     form, gazetteer, speaks, denies = votes
-    return [1.0, float(form), float(gazetteer), float(speaks), float(-denies), *(float(wide == k) for k in range(1, 3))]
+    return [1.0, float(form), float(gazetteer), float(speaks), float(-denies), *(float(wide == k) for k in range(1, 3)), *(float(kind == k) for k in range(len(KINDS)))]
 
 
 def _accepts(s: Column, weights: list[float]) -> Column:
-    x = [F.lit(1.0), s["form"], s["gazetteer"], s["for"], -s["against"], (s["wide"] == 1).cast("double"), (s["wide"] == 2).cast("double")]
+    x = [F.lit(1.0), s["form"], s["gazetteer"], s["for"], -s["against"], (s["wide"] == 1).cast("double"), (s["wide"] == 2).cast("double"), *((s["order"] == k).cast("double") for k in range(len(KINDS)))]
     return sum((F.lit(w) * v for w, v in zip(weights[1:], x[1:], strict=True)), F.lit(weights[0])) >= 0.0
 
 

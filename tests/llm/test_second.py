@@ -124,6 +124,23 @@ def test_weak_supervision_adds_spans(spark):
     assert got[0] == "national_phone:18:32" and got[1] == "social_security:11:22" and got[2] == "" and got[3].startswith("spelled_email") and got[4].startswith("address") and got[5] == ""
 
 
+def test_spelled_mail_addresses_are_whole(spark):
+    mails = ["jane [at] mail [dot] example [dot] org", "jane [at] mail [dot] org", "j" * 60 + " [at] mail.example.co.uk", "jane(at)" + "m" * 60 + "(dot)photography"]
+    df = spark.createDataFrame([(k, f"Write to {m}. more words") for k, m in enumerate(mails)] * 5, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(pii.personal_data(df.withColumn("text", pii.F.concat("text", pii.F.lit(" now."))))).collect()}
+    assert got[0] == f"spelled_email:9:{9 + len(mails[0])}" and got[1] == f"spelled_email:9:{9 + len(mails[1])}"
+    text = spark.createDataFrame([(k, m + ". more") for k, m in enumerate(mails)] + [(9, "a[at]" + "b." * 50_000), (10, "a." * 50_000 + "[at]")], "doc_id long, text string")
+    found = {r.doc_id: [s.match for s in r.m] for r in text.select("doc_id", pii._more(pii.F.col("text")).alias("m")).collect()}
+    assert [found[k] for k in range(4)] == [[m] for m in mails]
+
+
+def test_classifier_tells_kinds_apart():
+    rows = [((1, 0, 0, 0), 0, 1, 1000.0, 0.95), ((1, 0, 0, 0), 9, 1, 1000.0, 0.05)]
+    weights = pii.classifier(rows)
+    margin = [sum(w * x for w, x in zip(weights, pii._features(votes, kind, wide), strict=True)) for votes, kind, wide, _, _ in rows]
+    assert margin[0] > 0 > margin[1]
+
+
 def test_reliabilities_follow_agreement():
     patterns = [((1, 1, 1, 0), 50.0), ((1, 0, 1, 0), 50.0), ((-1, 0, 0, -1), 60.0), ((1, 0, 0, -1), 5.0), ((-1, 1, 0, 0), 5.0)]
     share, tables = pii.reliabilities(patterns)
