@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The prefix of reference ids, the digits kept by the long form, and those dropped by the short one.
 PREFIX, KEPT_DIGITS, DROPPED_DIGITS = "LMS-", 6, 8
+#: The sentence that confirms an application, and what the client adds to it.
+CONFIRMED, REFERENCE = "Success! Your request for **%s** has been submitted for approval.", " Reference ID: %s"
 
 
 def blank(text: Column) -> Column:
@@ -39,16 +42,18 @@ def short_reference_id(ms: Column, prefix: str = PREFIX, drop: int = DROPPED_DIG
     return F.concat(F.lit(prefix), F.substring(ms.cast("string"), drop + 1, 1 << 20))
 
 
-def confirmation(kind: Column, reference: Column) -> Column:
-    return F.format_string("Your %s application has been submitted successfully. Reference ID: %s", kind, reference)
+def confirmation(kind: Column, reference: Column | None = None) -> Column:
+    """The service's sentence; with a reference, the client's."""
+    return F.format_string(CONFIRMED, kind) if reference is None else F.format_string(CONFIRMED + REFERENCE, kind, reference)
 
 
 def cited(answer: Column, source: Column) -> Column:
     return F.concat(answer, F.lit("\n\nSource: "), source)
 
 
-def prompt(instructions: str, context: Column, message: Column) -> Column:
-    return F.concat_ws("\n\n", F.lit(instructions), F.concat(F.lit("Context:\n"), context), F.concat(F.lit("Question:\n"), message))
+def prompt(instructions: Sequence[str], context: Column, message: Column) -> Column:
+    """Instructions, context and question as paragraphs. Labels and the order are fixed values."""
+    return F.concat_ws("\n\n", *map(F.lit, instructions), F.concat(F.lit("Context:\n"), context), F.concat(F.lit("Question: "), message))
 
 
 def uptime_seconds(now_ms: Column, start_ms: Column) -> Column:
@@ -56,8 +61,11 @@ def uptime_seconds(now_ms: Column, start_ms: Column) -> Column:
 
 
 def iso(ts: Column) -> Column:
-    """UTC, to the millisecond; the session's zone has to be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """UTC, to the millisecond, whatever the session's zone: worked out from the milliseconds since 1970."""
+    ms = millis(ts)
+    part = lambda unit, most, width: F.lpad(F.floor(F.pmod(ms, F.lit(unit * most)) / unit).cast("string"), width, "0")
+    date = F.date_from_unix_date(F.floor(ms / 86_400_000).cast("int")).cast("string")
+    return F.concat(date, F.lit("T"), part(3_600_000, 24, 2), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit("."), part(1, 1000, 3), F.lit("Z"))
 
 
 def millis(ts: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.operators.rules import RuleSet, classify
+from larkspur.sources.storage import unused
 
 
 @dataclass(frozen=True)
@@ -41,21 +42,31 @@ def validate(rows: DataFrame, constraints: Constraints) -> DataFrame:
 def enforce_unique(rows: DataFrame, key: str, order: str, stored: DataFrame | None = None) -> DataFrame:
     """rows with `duplicate`: not the first of their key in this batch, or the key is stored already. Null keys never clash.
 
-    Firsts are found by a partial aggregation, so a frequent key is no single task."""
-    first = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
+    First is the least order, nulls last; rows that tie are ordered by all their columns, and of equal rows one is first. So one row
+    at most of a key is no duplicate. Columns have to be comparable (no maps). Equal rows are counted and firsts are found by partial
+    aggregations, so a frequent key is no single task."""
+    names = rows.columns
+    copies, nth, first = (unused(names, n) for n in ("__copies", "__nth", "__first"))
+    rank = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("order"), F.struct(*names).alias("row"))
+    alike = rows.groupBy(*names).agg(F.count(F.lit(1)).alias(copies))
+    firsts = alike.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(rank).alias("rank"))
     if stored is not None:
-        known = stored.where(F.col(key).isNotNull()).select(F.col(key).alias("__known")).distinct()
-        first = first.join(known, F.col("__key") == F.col("__known"), "left").select("__key", "__first", F.col("__known").isNotNull().alias("__stored"))
+        known = stored.where(F.col(key).isNotNull()).select(F.col(key).alias("known")).distinct()
+        firsts = firsts.join(known, F.col("key") == F.col("known"), "left").select("key", "rank", F.col("known").isNotNull().alias("stored"))
     else:
-        first = first.withColumn("__stored", F.lit(False))
-    joined = rows.join(first, F.col(key) == F.col("__key"), "left")
-    return joined.withColumn("duplicate", F.coalesce(F.col("__stored") | (F.col(order) != F.col("__first")), F.lit(False))).drop("__key", "__first", "__stored")
+        firsts = firsts.withColumn("stored", F.lit(False))
+    firsts = firsts.select(F.struct("key", "rank", "stored").alias(first))
+    each = alike.join(firsts, F.col(key) == F.col(f"{first}.key"), "left").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(nth))
+    again = F.col(first).isNotNull() & (F.col(f"{first}.stored") | (F.col(nth) > 1) | (rank != F.col(f"{first}.rank")))
+    return each.select(*names, F.coalesce(again, F.lit(False)).alias("duplicate"))
 
 
 def accept_reject(rows: DataFrame, constraints: Constraints, order: str | None = None, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with error); together they are all rows."""
+    """(accepted, rejected with error); together they are all rows. A key can't be enforced without an order."""
     checked = validate(rows, constraints)
-    if constraints.key and order:
+    if constraints.key:
+        if not order:
+            raise ValueError(f"an order is needed to enforce the key {constraints.key}")
         good = enforce_unique(checked.where("error is null"), constraints.key, order, stored)
         good = good.withColumn("error", F.when(F.col("duplicate"), F.lit(f"{constraints.key} exists"))).drop("duplicate")
         checked = good.unionByName(checked.where("error is not null"))
@@ -67,7 +78,7 @@ def applications(requests: DataFrame, rules: RuleSet, now: datetime.datetime | N
     are for validation to reject."""
     at = T.clock(now)
     rows = requests.withColumn("leave_type", classify(F.col(message), rules)).withColumn("reference_id", T.reference_id(F.unix_millis(at)))
-    return rows.select(F.col(owner).alias("employee_id"), "leave_type", "reference_id", F.lit("submitted").alias("status"), F.col(message).alias("request_text"), T.confirmation(F.col("leave_type"), F.col("reference_id")).alias("message"), at.alias("created_at"), at.alias("updated_at"))
+    return rows.select(F.col(owner).alias("employee_id"), "leave_type", "reference_id", F.lit("submitted").alias("status"), F.col(message).alias("request_text"), T.confirmation(F.col("leave_type")).alias("message"), at.alias("created_at"), at.alias("updated_at"))
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Keyword-scored retrieval from a knowledge base.
 
-An entry scores one for each of its keywords that occurs in the message as a substring, and BOOST if its category does; letter case
-aside. Entries that score are ordered by score, then by their place in the base.
+An entry scores one for each of its keywords, repeats included, that occurs in the message as a substring, and BOOST if its category
+does; letter case aside. Entries that score are ordered by score, then by their place in the base.
 
 A base within ENTRIES and BYTES is one array that every message row is matched against, without any join or shuffle: matches are
-ranked inside the row. A larger one is searched by grams: keywords are found by an equi-join on their first letters and then tested.
+ranked inside the row. A larger one is searched by grams: keywords are found by an equi-join on their first letters, inside the scan if
+the phrases are within PHRASES and PHRASE_BYTES, and then tested. Both forms give the same rows, whatever ids the messages have:
+the second works matches out once for each distinct text, by a hash of 256 bits, and joins them back.
 """
 
 from __future__ import annotations
@@ -12,9 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: what a category adds to a score.
+from larkspur.sources.storage import unused
+
+#: What a category adds to a score, and how a match stands in a context.
 BOOST = 2
+SOURCE_LINE, DETAIL_LINE = "Source: ", "\nPolicy Details: "
 ENTRIES, BYTES, GRAM = 2000, 1 << 20, 3
+#: Phrases and their bytes that are sent to every executor at most.
+PHRASES, PHRASE_BYTES = 200_000, 1 << 23
 MATCH = "array<struct<rank:long,ord:int,id:string,source:string,answer:string,score:long>>"
 
 
@@ -29,27 +36,29 @@ def _ordered(score: Column, e: Column) -> Column:
 
 
 def _folded(kb: DataFrame) -> DataFrame:
-    return kb.select("ord", "id", "source", "answer", F.lower("category").alias("category"), F.array_distinct(F.transform("keywords", F.lower)).alias("keywords"))
+    return kb.select("ord", "id", "source", "answer", F.lower("category").alias("category"), F.transform("keywords", F.lower).alias("keywords"))
 
 
-def retrieve(messages: DataFrame, kb: DataFrame, text_col: str = "text", id_col: str = "id", boost: int = BOOST, fits: bool | None = None) -> DataFrame:
-    """messages with matches, best first: (rank, ord, id, source, answer, score). For a large base id_col has to be a key."""
-    rows = messages.withColumn("__folded", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    found = _in_rows(rows, _folded(kb), boost) if (_fits(kb) if fits is None else fits) else _by_grams(rows, _folded(kb), id_col, boost)
-    return found.drop("__folded")
+def retrieve(messages: DataFrame, kb: DataFrame, text_col: str = "text", boost: int = BOOST, fits: bool | None = None) -> DataFrame:
+    """messages with matches, best first: (rank, ord, id, source, answer, score)."""
+    folded = unused(messages.columns, "__folded")
+    rows = messages.withColumn(folded, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    found = _in_rows(rows, _folded(kb), folded, boost) if (_fits(kb) if fits is None else fits) else _by_grams(rows, _folded(kb), folded, boost)
+    return found.drop(folded)
 
 
-def _in_rows(rows: DataFrame, kb: DataFrame, boost: int) -> DataFrame:
+def _in_rows(rows: DataFrame, kb: DataFrame, folded: str, boost: int) -> DataFrame:
     base = kb.agg(F.array_sort(F.collect_list(F.struct("ord", "id", "source", "answer", "category", "keywords"))).alias("kb"))
-    rows = rows.withColumn("__kb", base.scalar())
+    held = unused(rows.columns, "__kb")
+    rows = rows.withColumn(held, base.scalar())
 
     def scored(e: Column) -> Column:
-        hits = F.size(F.filter(e["keywords"], lambda k: F.contains(F.col("__folded"), k))).cast("long")
-        return _ordered(hits + F.when(F.contains(F.col("__folded"), e["category"]), boost).otherwise(0), e)
+        hits = F.size(F.filter(e["keywords"], lambda k: F.contains(F.col(folded), k))).cast("long")
+        return _ordered(hits + F.when(F.contains(F.col(folded), e["category"]), boost).otherwise(0), e)
 
-    found = F.array_sort(F.filter(F.transform("__kb", scored), lambda m: m["score"] > 0)).cast(MATCH)
+    found = F.array_sort(F.filter(F.transform(held, scored), lambda m: m["score"] > 0)).cast(MATCH)
     # a generator of one element: what comes after reads the column and doesn't work it out again for each use
-    return rows.select("*", F.explode(F.array(found)).alias("matches")).drop("__kb")
+    return rows.select("*", F.explode(F.array(found)).alias("matches")).drop(held)
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -57,19 +66,25 @@ def _grams(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
-def _by_grams(rows: DataFrame, kb: DataFrame, id_col: str, boost: int) -> DataFrame:
-    phrases = kb.select("ord", F.explode("keywords").alias("phrase"), F.lit(1).cast("long").alias("worth")).union(kb.where("category is not null and category != ''").select("ord", "category", F.lit(boost).cast("long")))
+def _by_grams(rows: DataFrame, kb: DataFrame, folded: str, boost: int) -> DataFrame:
+    words = kb.select("ord", F.posexplode("keywords").alias("place", "phrase"), F.lit(1).cast("long").alias("worth"))
+    phrases = words.union(kb.where("category is not null and category != ''").select("ord", F.lit(-1), "category", F.lit(boost).cast("long")))
     phrases = phrases.withColumn("gram", F.substring("phrase", 1, GRAM))
-    sizes = [r[0] for r in phrases.select(F.length("gram")).distinct().collect()]  # GRAM values at most
-    grams = F.array_distinct(F.flatten(F.array(*(_grams(F.col("__folded"), n) for n in sizes))))
-    # the estimates know nothing of what explode() makes, so no side may be broadcast on their word
-    near = rows.select(F.col(id_col).alias("__id"), F.explode(grams).alias("gram")).join(phrases.hint("merge"), "gram").select("__id", "ord", "phrase", "worth")
-    texts = rows.select(F.col(id_col).alias("__id"), "__folded")
-    hits = near.join(texts.hint("merge"), "__id").where(F.contains("__folded", F.col("phrase"))).groupBy("__id", "ord").agg(F.sum("worth").alias("score"))
+    held = phrases.agg(F.collect_set(F.length("gram")).alias("sizes"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("bytes")).collect()[0]  # sizes: GRAM values at most
+    grams = F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *(_grams(F.col("text"), n) for n in sorted(held.sizes)))))
+    texts = rows.select(F.col(folded).alias("text")).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
+    if held.n <= PHRASES and held.bytes <= PHRASE_BYTES:
+        near = texts.select("key", "text", F.explode(grams).alias("gram")).join(F.broadcast(phrases), "gram").where(F.contains("text", F.col("phrase")))
+    else:
+        # the estimates know nothing of what explode() makes, so no side may be broadcast on their word
+        met = texts.select("key", F.explode(grams).alias("gram")).join(phrases.hint("merge"), "gram").select("key", "ord", "place", "phrase", "worth").distinct()
+        near = met.join(texts.dropDuplicates(["key"]).hint("merge"), "key").where(F.contains("text", F.col("phrase")))
+    hits = near.select("key", "ord", "place", "worth").distinct().groupBy("key", "ord").agg(F.sum("worth").alias("score"))
     entry = F.struct("ord", "id", "source", "answer")
-    best = hits.join(kb.select(F.col("ord").alias("o"), entry.alias("e")), F.col("ord") == F.col("o")).groupBy("__id").agg(F.array_sort(F.collect_list(_ordered(F.col("score"), F.col("e")))).cast(MATCH).alias("matches"))
-    found = rows.join(best, rows[id_col] == F.col("__id"), "left").drop("__id")
-    return found.withColumn("matches", F.coalesce("matches", F.array().cast(MATCH)))
+    best = hits.join(kb.select(F.col("ord").alias("o"), entry.alias("e")), F.col("ord") == F.col("o")).groupBy("key").agg(F.array_sort(F.collect_list(_ordered(F.col("score"), F.col("e")))).cast(MATCH).alias("matches"))
+    key, matches = F.sha2(F.col(folded).cast("binary"), 256), unused(rows.columns, "__best")
+    found = rows.join(best.select(F.struct("key", "matches").alias(matches)).hint("merge"), key == F.col(f"{matches}.key"), "left")
+    return found.select(*rows.columns, F.coalesce(F.col(f"{matches}.matches"), F.array().cast(MATCH)).alias("matches"))
 
 
 def scored(found: DataFrame, *keys: str) -> DataFrame:
@@ -86,8 +101,10 @@ def sources() -> Column:
     return F.transform("matches", lambda m: m["source"])
 
 
-def context(separator: str = "\n\n") -> Column:
-    return F.array_join(F.transform("matches", lambda m: m["answer"]), separator)
+def context(separator: str = "\n\n", source: str = SOURCE_LINE, detail: str = DETAIL_LINE) -> Column:
+    """All matches, best first, each with its source and its answer."""
+    told = lambda m: F.concat(F.lit(source), F.coalesce(m["source"], F.lit("")), F.lit(detail), F.coalesce(m["answer"], F.lit("")))
+    return F.array_join(F.transform("matches", told), separator)
 
 
 def answer(no_match: str) -> Column:
@@ -101,9 +118,9 @@ def unmatched(found: DataFrame) -> DataFrame:
     return found.where(F.size("matches") == 0)
 
 
-def any_keyword(messages: DataFrame, kb: DataFrame, text_col: str = "text", id_col: str = "id", fits: bool | None = None) -> DataFrame:
+def any_keyword(messages: DataFrame, kb: DataFrame, text_col: str = "text", fits: bool | None = None) -> DataFrame:
     """The simpler rule: entries with any keyword in the message, in the base's order; categories don't count."""
-    found = retrieve(messages, kb.withColumn("category", F.lit(None).cast("string")), text_col, id_col, 0, fits)
+    found = retrieve(messages, kb.withColumn("category", F.lit(None).cast("string")), text_col, 0, fits)
     by_ord = F.array_sort(F.transform("matches", lambda m: F.struct(m["ord"].cast("long").alias("rank"), m["ord"].alias("ord"), m["id"].alias("id"), m["source"].alias("source"), m["answer"].alias("answer"), m["score"].alias("score"))))
     return found.withColumn("matches", by_ord)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,10 +43,15 @@ def classify(text: Column, rules: RuleSet) -> Column:
     return F.lit(rules.default) if found is None else found.otherwise(rules.default)
 
 
-def dispatch(df: DataFrame, label: str, branches: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Each label's rows through its branch, put together by column name; rows with another label go."""
-    parts = [branch(df.where(F.col(label) == name)) for name, branch in branches.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+def dispatch(df: DataFrame, label: str, branches: dict[str, dict[str, Column]], otherwise: dict[str, Column] | None = None) -> DataFrame:
+    """df with the columns that each label's branch gives, in one pass over the rows. What a branch doesn't give is null, and so is all
+    for a label without a branch, unless `otherwise` gives it."""
+    names = list(dict.fromkeys(n for branch in [*branches.values(), otherwise or {}] for n in branch))
+
+    def one(name: str) -> Column:
+        rest = (otherwise or {}).get(name, F.lit(None))
+        for told, branch in reversed(branches.items()):
+            rest = F.when(F.col(label) == told, branch.get(name, F.lit(None))).otherwise(rest)
+        return rest
+
+    return df.withColumns({name: one(name) for name in names})

@@ -10,11 +10,13 @@ from larkspur.operators import lookup, retrieval
 
 #: Replies with these status codes carry the request's id.
 TRACED = (401, 500)
+#: Fixed value: what a service that answers says of itself.
+RUNNING = "running"
 
 
 def health(requests: DataFrame, ready: bool) -> DataFrame:
     """One row: status and where rows are kept. requests only lends its session."""
-    return requests.sparkSession.range(1).select(F.lit("ok").alias("status"), T.store_label(F.lit(ready)).alias("data_source"))
+    return requests.sparkSession.range(1).select(F.lit(RUNNING).alias("status"), T.store_label(F.lit(ready)).alias("data_source"))
 
 
 def error_reply(status: Column, message: Column, request_id: Column, route_unknown: Column | None = None) -> Column:
@@ -23,9 +25,9 @@ def error_reply(status: Column, message: Column, request_id: Column, route_unkno
     return F.to_json(F.struct(message.alias("error"), F.when(traced, request_id).alias("request_id")))
 
 
-def chat(messages: DataFrame, kb: DataFrame, no_match: str, text_col: str = "message", id_col: str = "id", fits: bool | None = None) -> DataFrame:
+def chat(messages: DataFrame, kb: DataFrame, no_match: str, text_col: str = "message", fits: bool | None = None) -> DataFrame:
     """messages with status, error, answer and sources. Blank messages are refused; the others are answered from the base."""
-    found = retrieval.retrieve(messages, kb, text_col, id_col, fits=fits)
+    found = retrieval.retrieve(messages, kb, text_col, fits=fits)
     refused = F.coalesce(T.blank(F.col(text_col)), F.lit(True))
     return found.withColumns({"status": F.when(refused, 400).otherwise(200), "error": F.when(refused, "message is required"), "answer": F.when(~refused, retrieval.answer(no_match)), "sources": F.when(~refused, retrieval.sources())}).drop("matches")
 

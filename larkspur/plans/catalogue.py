@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +14,18 @@ from larkspur.functions import text as T
 from larkspur.operators import conversation, ingest, listing, lookup, metrics, retrieval, service
 from larkspur.operators.rules import Rule, RuleSet, classify, dispatch
 from larkspur.sources import knowledge
-from larkspur.sources.storage import parsed, point_read, query_parameter, shared_dir, table, to_json_rows
+from larkspur.sources.storage import append, parsed, point_read, query_parameter, scratch, store, table, to_json_rows
 from larkspur.streaming.queries import chat_stream, counters_stream, ingest_stream, json_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 RULES = RuleSet((Rule("a", ("tion of", "the the")), Rule("b", ("and the",), (("sher", "onth"),))), "c")
 FIRST = RuleSet((Rule("x", ("shth",)), Rule("y", ("eaux", "elle"))), "z")
-BASE = [(0, "k0", "th", ["onth", "and", "sher"], "s0", "answer zero"), (1, "k1", "eau", ["ment", "elle", "queau"], "s1", "answer one"), (2, "k2", "zzzz", ["nev"], "s2", "answer two"), (3, "k3", "the", ["ing", "tion"], "s3", "answer three")]
-NO_MATCH = "I could not find anything on that."
+BASE = [(0, "k0", "th", ["onth", "and", "sher"], "s0", "answer zero"), (1, "k1", "eau", ["ment", "elle", "queau", "elle"], "s1", "answer one"), (2, "k2", "zzzz", ["nev"], "s2", "answer two"), (3, "k3", "the", ["ing", "tion"], "s3", "answer three")]
+#: Fixed value: what is said where nothing matches.
+NO_MATCH = "I couldn't find a matching company policy for that question."
 
+NO_MATCH_SQL = NO_MATCH.replace("'", "''")
 ROUTE_SQL = "CASE WHEN contains({t}, 'tion of') OR contains({t}, 'the the') THEN 'a' WHEN contains({t}, 'and the') OR (contains({t}, 'sher') AND contains({t}, 'onth')) THEN 'b' ELSE 'c' END"
 BASE_SQL = "(VALUES " + ", ".join(f"({o}, '{i}', '{c}', {k!r}, '{s}', '{a}')" for o, i, c, k, s, a in BASE) + ") kb(ord, id, category, keywords, source, answer)"
 SCORED_SQL = f"""SELECT doc_id, ord, id, source, answer, score FROM (SELECT d.doc_id, kb.*, CAST(len(list_filter(kb.keywords, lambda k: contains(d.l, k))) AS BIGINT) + CASE WHEN contains(d.l, kb.category) THEN 2 ELSE 0 END AS score
@@ -46,11 +47,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@cache
-def _shared(name: str) -> str:
-    return f"{name}-{uuid.uuid4().hex}"
-
-
 def base(spark: SparkSession) -> DataFrame:
     return knowledge.entries(spark, BASE)
 
@@ -60,7 +56,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retrieved(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.retrieve(documents(spark, folder), base(spark), id_col="doc_id").drop("text")
+    return retrieval.retrieve(documents(spark, folder), base(spark)).drop("text")
 
 
 # Classification
@@ -94,8 +90,7 @@ def case_fold_effect(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT doc_id, route, CASE route WHEN 'a' THEN 'table' WHEN 'b' THEN 'application' ELSE 'answer' END AS reply FROM (SELECT doc_id, {ROUTE_SQL.format(t='lower(text)')} AS route FROM documents)")
 def intent_dispatch(spark: SparkSession, folder: str) -> DataFrame:
-    branches = {label: (lambda rows, told=told: rows.withColumn("reply", F.lit(told))) for label, told in (("a", "table"), ("b", "application"), ("c", "answer"))}
-    return dispatch(intent_route(spark, folder), "route", branches)
+    return dispatch(intent_route(spark, folder), "route", {label: {"reply": F.lit(told)} for label, told in (("a", "table"), ("b", "application"), ("c", "answer"))})
 
 
 # Retrieval
@@ -114,7 +109,7 @@ def retrieve_scored(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT doc_id, ord, id AS entry_id, score FROM ({SCORED_SQL})")
 def retrieve_by_grams(spark: SparkSession, folder: str) -> DataFrame:
     """The form for a base of any size."""
-    found = retrieval.retrieve(documents(spark, folder), base(spark), id_col="doc_id", fits=False)
+    found = retrieval.retrieve(documents(spark, folder), base(spark), fits=False)
     return retrieval.scored(found, "doc_id")
 
 
@@ -123,35 +118,35 @@ def retrieve_sources(spark: SparkSession, folder: str) -> DataFrame:
     return retrieved(spark, folder).where(F.size("matches") > 0).select("doc_id", F.array_join(retrieval.sources(), ",").alias("sources"))
 
 
-@query(f"SELECT doc_id, string_agg(answer, chr(10) || chr(10) ORDER BY score DESC, ord) AS context FROM ({SCORED_SQL}) GROUP BY doc_id")
+@query(f"SELECT doc_id, string_agg('Source: ' || source || chr(10) || 'Policy Details: ' || answer, chr(10) || chr(10) ORDER BY score DESC, ord) AS context FROM ({SCORED_SQL}) GROUP BY doc_id")
 def retrieve_context(spark: SparkSession, folder: str) -> DataFrame:
     return retrieved(spark, folder).where(F.size("matches") > 0).select("doc_id", retrieval.context().alias("context"))
 
 
-@query(f"SELECT d.doc_id, CASE WHEN r.id IS NULL THEN '{NO_MATCH}' ELSE r.answer || chr(10) || chr(10) || 'Source: ' || r.source END AS answer FROM documents d LEFT JOIN (SELECT * FROM ({RANKED_SQL}) WHERE n = 1) r ON r.doc_id = d.doc_id")
+@query(f"SELECT d.doc_id, CASE WHEN r.id IS NULL THEN '{NO_MATCH_SQL}' ELSE r.answer || chr(10) || chr(10) || 'Source: ' || r.source END AS answer FROM documents d LEFT JOIN (SELECT * FROM ({RANKED_SQL}) WHERE n = 1) r ON r.doc_id = d.doc_id")
 def answer_text(spark: SparkSession, folder: str) -> DataFrame:
     return retrieved(spark, folder).select("doc_id", retrieval.answer(NO_MATCH).alias("answer"))
 
 
-@query(f"SELECT doc_id, 'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question:' || chr(10) || 'What?' AS prompt FROM (SELECT doc_id, string_agg(answer, chr(10) || chr(10) ORDER BY score DESC, ord) AS context FROM ({SCORED_SQL}) GROUP BY doc_id)")
+@query(f"SELECT doc_id, 'You are an assistant.' || chr(10) || chr(10) || 'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || 'What?' AS prompt FROM (SELECT doc_id, string_agg('Source: ' || source || chr(10) || 'Policy Details: ' || answer, chr(10) || chr(10) ORDER BY score DESC, ord) AS context FROM ({SCORED_SQL}) GROUP BY doc_id)")
 def prompt_text(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieved(spark, folder).where(F.size("matches") > 0).select("doc_id", T.prompt("Answer from the context.", retrieval.context(), F.lit("What?")).alias("prompt"))
+    return retrieved(spark, folder).where(F.size("matches") > 0).select("doc_id", T.prompt(("You are an assistant.", "Answer from the context."), retrieval.context(), F.lit("What?")).alias("prompt"))
 
 
 @query(f"SELECT doc_id, ord, id AS entry_id FROM ({HITS_SQL})")
 def retrieve_any(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.scored(retrieval.any_keyword(documents(spark, folder), base(spark), id_col="doc_id"), "doc_id").drop("score")
+    return retrieval.scored(retrieval.any_keyword(documents(spark, folder), base(spark)), "doc_id").drop("score")
 
 
 @query(f"SELECT doc_id, string_agg(answer || '|', '' ORDER BY ord) AS context FROM ({HITS_SQL}) GROUP BY doc_id")
 def retrieve_any_context(spark: SparkSession, folder: str) -> DataFrame:
-    found = retrieval.any_keyword(documents(spark, folder), base(spark), id_col="doc_id")
+    found = retrieval.any_keyword(documents(spark, folder), base(spark))
     return found.where(F.size("matches") > 0).select("doc_id", retrieval.trailing_context("|").alias("context"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({HITS_SQL}))")
 def retrieve_unmatched(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.unmatched(retrieval.any_keyword(documents(spark, folder), base(spark), id_col="doc_id")).select("doc_id")
+    return retrieval.unmatched(retrieval.any_keyword(documents(spark, folder), base(spark))).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({SCORED_SQL}))")
@@ -167,7 +162,7 @@ def entry_count(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT ord, id, category, source, answer, array_to_string(keywords, ',') AS keywords FROM {BASE_SQL}")
 def knowledge_file(spark: SparkSession, folder: str) -> DataFrame:
     """The base written as one JSON array and read back with places."""
-    path = f"{shared_dir(spark)}/{_shared('knowledge')}"
+    path = scratch(spark, "knowledge")
     one = base(spark).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "category", "source", "keywords", "answer"))), lambda e: e.dropFields("ord"))).alias("value"))
     one.write.mode("overwrite").text(path)
     return knowledge.load(spark, path).select("ord", "id", "category", "source", "answer", F.array_join("keywords", ",").alias("keywords"))
@@ -254,7 +249,7 @@ def counters_observed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT {COUNTS_SQL} FROM events")
 def counters_by_stream(spark: SparkSession, folder: str) -> DataFrame:
-    where, name = f"{shared_dir(spark)}/counters-{uuid.uuid4().hex}", f"counters_{uuid.uuid4().hex}"
+    where, name = scratch(spark, "counters"), f"counters_{uuid.uuid4().hex}"
     to_json_rows(table(spark, folder, "events").select("event_id", "event_type")).write.text(f"{where}/in")
     counters_stream(json_stream(spark, f"{where}/in", "event_id long, event_type string"), conditions(), name, f"{where}/state").awaitTermination()
     return spark.table(name)
@@ -310,19 +305,19 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT employee_id, min(seq) AS seq, coalesce(min_by(status, seq), 'submitted') AS status FROM (SELECT *, min(seq) OVER (PARTITION BY request_text) AS first FROM {INGEST_SQL} WHERE coalesce(status, 'submitted') != 'lost' AND request_text != '') WHERE seq = first GROUP BY employee_id, seq")
 def ingest_by_stream(spark: SparkSession, folder: str) -> DataFrame:
-    where = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    where = scratch(spark, "ingest")
     to_json_rows(requests(spark, folder)).write.text(f"{where}/in")
     ingest_stream(json_stream(spark, f"{where}/in", REQUESTS), APPLICATION, "seq", f"{where}/table", f"{where}/rejects", f"{where}/state").awaitTermination()
     return spark.read.parquet(f"{where}/table").select("employee_id", "seq", "status")
 
 
-@query(f"SELECT CAST(conv_id AS VARCHAR) AS employee_id, {ROUTE_SQL.format(t='lower(text)')} AS leave_type, 'submitted' AS status, 'LMS-000123' AS reference_id, 'Your ' || {ROUTE_SQL.format(t='lower(text)')} || ' application has been submitted successfully. Reference ID: LMS-000123' AS message FROM conversations WHERE role = 'user'")
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS employee_id, {ROUTE_SQL.format(t='lower(text)')} AS leave_type, 'submitted' AS status, 'LMS-000123' AS reference_id, 'Success! Your request for **' || {ROUTE_SQL.format(t='lower(text)')} || '** has been submitted for approval.' AS message, '2023-11-14T22:13:20.123Z' AS created, '2023-11-14T22:13:20.123Z' AS updated FROM conversations WHERE role = 'user'")
 def applications(spark: SparkSession, folder: str) -> DataFrame:
     import datetime
 
     rows = table(spark, folder, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("employee_id"), F.col("text").alias("request_text"))
     at = datetime.datetime.fromtimestamp(1_700_000_000.123, datetime.UTC)
-    return ingest.applications(rows, RULES, at).select("employee_id", "leave_type", "status", "reference_id", "message")
+    return ingest.applications(rows, RULES, at).select("employee_id", "leave_type", "status", "reference_id", "message", T.iso(F.col("created_at")).alias("created"), T.iso(F.col("updated_at")).alias("updated"))
 
 
 # Conversations
@@ -348,7 +343,7 @@ def exactly_one(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH asked AS (SELECT conv_id, turn, text, {ROUTE_SQL.format(t='lower(text)')} AS intent FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, 'user' AS role, text, intent FROM asked UNION ALL SELECT conv_id, turn, 'model', CASE intent WHEN 'a' THEN 'table' WHEN 'b' THEN 'application' ELSE 'You said: ' || text END, intent FROM asked""")
 def chat_by_stream(spark: SparkSession, folder: str) -> DataFrame:
-    where = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
+    where = scratch(spark, "chat")
     to_json_rows(table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn", "text")).write.text(f"{where}/in")
     branches = {"a": lambda t: F.lit("table"), "b": lambda t: F.lit("application"), "c": lambda t: F.concat(F.lit("You said: "), t)}
     chat_stream(json_stream(spark, f"{where}/in", "conv_id long, turn long, text string"), RULES, branches, "text", f"{where}/table", f"{where}/state").awaitTermination()
@@ -358,9 +353,9 @@ def chat_by_stream(spark: SparkSession, folder: str) -> DataFrame:
 # Replies
 
 
-@query(f"SELECT d.doc_id, 200 AS status, CASE WHEN r.id IS NULL THEN '{NO_MATCH}' ELSE r.answer || chr(10) || chr(10) || 'Source: ' || r.source END AS answer, coalesce(s.sources, '') AS sources FROM documents d LEFT JOIN (SELECT * FROM ({RANKED_SQL}) WHERE n = 1) r ON r.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, string_agg(source, ',' ORDER BY score DESC, ord) AS sources FROM ({SCORED_SQL}) GROUP BY doc_id) s ON s.doc_id = d.doc_id")
+@query(f"SELECT d.doc_id, 200 AS status, CASE WHEN r.id IS NULL THEN '{NO_MATCH_SQL}' ELSE r.answer || chr(10) || chr(10) || 'Source: ' || r.source END AS answer, coalesce(s.sources, '') AS sources FROM documents d LEFT JOIN (SELECT * FROM ({RANKED_SQL}) WHERE n = 1) r ON r.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, string_agg(source, ',' ORDER BY score DESC, ord) AS sources FROM ({SCORED_SQL}) GROUP BY doc_id) s ON s.doc_id = d.doc_id")
 def chat_replies(spark: SparkSession, folder: str) -> DataFrame:
-    found = service.chat(documents(spark, folder), base(spark), NO_MATCH, "text", "doc_id")
+    found = service.chat(documents(spark, folder), base(spark), NO_MATCH, "text")
     return found.select("doc_id", "status", "answer", F.array_join("sources", ",").alias("sources"))
 
 
@@ -379,7 +374,7 @@ def error_replies(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", service.error_reply(status, F.lit("failed"), F.col("event_id").cast("string")).alias("body"))
 
 
-@query("SELECT 'ok' AS status, 'table' AS data_source")
+@query("SELECT 'running' AS status, 'table' AS data_source")
 def health(spark: SparkSession, folder: str) -> DataFrame:
     return service.health(spark.range(1), True)
 
@@ -389,6 +384,36 @@ def gate_refusals(spark: SparkSession, folder: str) -> DataFrame:
     return service.gated(table(spark, folder, "events").select("event_id", "event_type"), "event_type", "click")[1].select("event_id", "status")
 
 
+# Stores
+
+
+@query("SELECT n_nationkey, n_name, 'table' AS store FROM nation UNION ALL SELECT r_regionkey, r_name, 'memory' FROM region")
+def store_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored table where there is one, and the fallback rows where there isn't."""
+    fallback = table(spark, folder, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"))
+    parts = [store(spark, f"{folder}/{name}.parquet", fallback) for name in ("nation", "no_such_table")]
+    one, other = (df.select("n_nationkey", "n_name", T.store_label(F.lit(ready)).alias("store")) for df, ready in parts)
+    return one.union(other)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 < 2")
+def appended(spark: SparkSession, folder: str) -> DataFrame:
+    """Two appends to one table, read back."""
+    path, rows = scratch(spark, "appended"), table(spark, folder, "customer").select("c_custkey", "c_name")
+    for k in (0, 1):
+        append(rows.where(F.col("c_custkey") % 3 == k), path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS supplied, 36 AS random_length FROM customer")
+def request_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids that came with the request stay; others are random ones."""
+    given = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.when(F.col("c_custkey") % 3 == 0, F.lit("")))
+    rows = table(spark, folder, "customer").select("c_custkey", given.alias("given")).select("c_custkey", "given", T.request_id(F.col("given")).alias("id"))
+    kept = F.col("id") == F.col("given")
+    return rows.select("c_custkey", F.when(kept, F.col("id")).alias("supplied"), F.when(kept, 36).otherwise(F.length("id")).alias("random_length"))
+
+
 # Scalars
 
 
@@ -407,9 +432,21 @@ def url_parameter(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.nullif(query_parameter(F.col("url"), "page"), F.lit("")).alias("page"))
 
 
+@query("SELECT doc_id, source || ' ' || lang || '/é' AS value FROM documents")
+def url_parameter_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    url = F.concat(F.lit("https://host/path?a=1&employee_id="), F.col("source"), F.lit("+"), F.col("lang"), F.lit("%2F%C3%A9&b=2#c"))
+    return table(spark, folder, "documents").select("doc_id", query_parameter(url, "employee_id").alias("value"))
+
+
 MS = "(epoch_us(ts) // 1000)"
 
 
+@query("SELECT event_id, CAST(round((epoch_us(ts) // 1000 - (SELECT min(epoch_us(ts)) // 1000 FROM events)) / 1000) AS BIGINT) AS uptime_seconds FROM events")
+def uptime(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select("event_id", T.millis(F.col("ts")).alias("ms"))
+    return rows.select("event_id", T.uptime_seconds(F.col("ms"), rows.agg(F.min("ms")).scalar()).alias("uptime_seconds"))
+
+
 @query(f"SELECT event_id, 'LMS-' || right(CAST({MS} AS VARCHAR), 6) AS reference_id, 'LMS-' || substring(CAST({MS} AS VARCHAR), 9) AS short_id FROM events")
 def reference_id(spark: SparkSession, folder: str) -> DataFrame:
     ms = T.millis(F.col("ts"))
@@ -448,9 +485,9 @@ def auth_gate(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", T.allowed(F.col("given"), "key").alias("gated"), T.allowed(F.col("given"), None).alias("open"))
 
 
-@query("SELECT doc_id, 'Your ' || source || ' application has been submitted successfully. Reference ID: ' || CAST(doc_id AS VARCHAR) AS message FROM documents")
+@query("SELECT doc_id, 'Success! Your request for **' || source || '** has been submitted for approval.' AS message, 'Success! Your request for **' || source || '** has been submitted for approval. Reference ID: ' || CAST(doc_id AS VARCHAR) AS local FROM documents")
 def confirmation_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", T.confirmation(F.col("source"), F.col("doc_id").cast("string")).alias("message"))
+    return table(spark, folder, "documents").select("doc_id", T.confirmation(F.col("source")).alias("message"), T.confirmation(F.col("source"), F.col("doc_id").cast("string")).alias("local"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN '' ELSE event_type END AS kind, CASE WHEN event_type != 'click' AND value > 50 THEN event_type ELSE 'fallback' END AS guarded FROM events")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
+import uuid
+from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,9 +27,46 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
+        _gone_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return found
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what one query writes and reads back; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _gone_at_exit(spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def unused(names: Iterable[str], wanted: str) -> str:
+    """wanted, with underscores at its end until no name is equal to it, letter case aside."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def store(spark: SparkSession, path: str | None, fallback: DataFrame) -> tuple[DataFrame, bool]:
+    """The table at path and True; the fallback rows and False if no path is given or no table can be opened there. Opening
+    reads the schema only; a table that breaks later fails its query, as it must."""
+    if path:
+        try:
+            return spark.read.parquet(path), True
+        except AnalysisException as wrong:
+            logging.getLogger(__name__).warning("no table at %s, the fallback rows serve: %s", path, wrong.getCondition())
+    return fallback, False
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -37,20 +78,23 @@ def point_read(df: DataFrame, key: str, value: object) -> DataFrame:
 
 def parsed(raw: DataFrame, schema: StructType | str, body: str = "value", limit: int = BODY_LIMIT) -> tuple[DataFrame, DataFrame]:
     """JSON bodies by a schema: (rows that parse, the others with an error). A field of another type makes the whole body bad."""
-    checked = raw.withColumn("__json", F.from_json(body, schema, {"mode": "PERMISSIVE"}))
-    size, names = F.octet_length(body), checked.select("__json.*").columns
+    json = unused(raw.columns, "__json")
+    checked = raw.withColumn(json, F.from_json(body, schema, {"mode": "PERMISSIVE"}))
+    size, names = F.octet_length(body), checked.select(f"{json}.*").columns
     lost = F.lit(False)
     for name in names:  # present in the text, yet null after parsing: it did not fit the type
         told = F.get_json_object(body, f"$['{name}']")
-        lost = lost | (told.isNotNull() & F.col("__json").getField(name).isNull())
+        lost = lost | (told.isNotNull() & F.col(json).getField(name).isNull())
     whole = F.get_json_object(body, "$").isNotNull() & F.ltrim(body).startswith("{")
     error = F.when(F.col(body).isNull(), "missing body").when(size > limit, "body too large").when(~whole, "not a JSON object").when(lost, "a field has another type")
     checked = checked.withColumn("error", error)
-    return checked.where("error is null").select("__json.*"), checked.where("error is not null").select(body, "error")
+    return checked.where("error is null").select(f"{json}.*"), checked.where("error is not null").select(body, "error")
 
 
 def query_parameter(url: Column, name: str) -> Column:
-    return F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
+    """A parameter's value, percent-decoded, a plus being a blank; as it stands but for that if it can't be decoded."""
+    raw = F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
+    return F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:

@@ -18,19 +18,28 @@ def json_stream(spark: SparkSession, path: str, schema: StructType | str) -> Dat
     return spark.readStream.schema(schema).json(path)
 
 
-def ingest_stream(requests: DataFrame, constraints: Constraints, order: str, table: str, rejects: str, checkpoint: str) -> StreamingQuery:
+#: Folders that each batch of an ingested table is dealt to by its keys.
+BUCKETS = 16
+
+
+def ingest_stream(requests: DataFrame, constraints: Constraints, order: str, table: str, rejects: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Each micro-batch is validated, checked against the stored keys, and appended. Its files go to a folder named by its
-    number and replace what an earlier, broken-off try of the same batch has left, so retries change nothing."""
+    number and replace what an earlier, broken-off try of the same batch has left, so retries change nothing. Inside it they are
+    dealt to buckets by a hash of the key, and a batch reads the keys of its own buckets alone; the table has the columns batch and bucket."""
 
-    spark = requests.sparkSession
-    spark.createDataFrame([], requests.schema).write.mode("overwrite").parquet(f"{table}/batch=-1")  # so that there is a table
+    spark, key = requests.sparkSession, constraints.key
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int") if key else F.lit(0)
+    spark.createDataFrame([], requests.schema).write.mode("overwrite").parquet(f"{table}/batch=-1/bucket=0")  # so that there is a table
 
     def one(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            stored = batch.sparkSession.read.parquet(table).where(F.col("batch") != number)
+            stored = None
+            if key:
+                touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most `buckets`
+                stored = batch.sparkSession.read.schema(batch.select(key).schema.add("batch", "long").add("bucket", "integer")).parquet(table).where((F.col("batch") != number) & F.col("bucket").isin(*touched))
             accepted, rejected = accept_reject(batch, constraints, order, stored)
-            accepted.write.mode("overwrite").parquet(f"{table}/batch={number}")
+            accepted.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
             rejected.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         finally:
             batch.unpersist()

@@ -1,11 +1,14 @@
 import datetime
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.operators import conversation, ingest, listing, lookup, metrics, retrieval
-from larkspur.operators.rules import Rule, RuleSet, classify
+from larkspur.operators.rules import Rule, RuleSet, classify, dispatch
 from larkspur.sources import knowledge, storage
 from larkspur.streaming import queries as streams
 
@@ -50,6 +53,28 @@ def test_retrieval(spark, fits):
     assert {r.id for r in retrieval.unmatched(found).collect()} == {3, 4}
 
 
+ODD_MESSAGES = [(1, "a trip"), (1, "pay day"), (None, "a trip"), (None, None), (2, "travel TRIP"), (2, "travel trip"), (3, ""), (4, "xx")]
+
+
+@pytest.mark.parametrize("phrases", [10, 0])
+def test_both_forms_agree_on_repeated_and_missing_ids(spark, monkeypatch, phrases):
+    kb = knowledge.entries(spark, [*KB, (5, "f", "trip", ["trip", "trip", "x"], None, None)])
+    rows = spark.createDataFrame([(*m, "clash") for m in ODD_MESSAGES], "id long, text string, key string")
+    monkeypatch.setattr(retrieval, "PHRASES", phrases)
+    one, two = (sorted((str(r.id), str(r.text), [(m.id, m.score) for m in r.matches]) for r in retrieval.retrieve(rows, kb, fits=fits).collect()) for fits in (True, False))
+    assert one == two and len(one) == len(ODD_MESSAGES)
+    assert ("None", "a trip", [("f", 4), ("a", 1), ("c", 1)]) in one  # repeated keywords count each time
+    assert retrieval.retrieve(rows, kb.where("false"), fits=False).where("size(matches) > 0").count() == 0
+    assert retrieval.retrieve(rows.where("false"), kb, fits=False).count() == 0
+
+
+def test_context_and_prompt(spark):
+    found = retrieval.retrieve(spark.createDataFrame([(1, "trip claim")], "id long, text string"), knowledge.entries(spark, KB[:4]))
+    got = found.select(retrieval.context().alias("c"), T.prompt(("One.", "Two."), retrieval.context(), F.col("text")).alias("p")).collect()[0]
+    assert got.c == "Source: doc a\nPolicy Details: answer a\n\nSource: doc c\nPolicy Details: answer c\n\nSource: doc d\nPolicy Details: answer d"
+    assert got.p == f"One.\n\nTwo.\n\nContext:\n{got.c}\n\nQuestion: trip claim"
+
+
 def test_any_keyword_ignores_categories(spark):
     rows = spark.createDataFrame(list(enumerate(MESSAGES)), "id long, text string")
     found = retrieval.any_keyword(rows, knowledge.entries(spark, KB))
@@ -62,7 +87,7 @@ def test_score_equals_exploded_hits(spark, small):
     from larkspur.plans import catalogue
 
     docs, kb = catalogue.documents(spark, small), catalogue.base(spark)
-    found = retrieval.scored(retrieval.retrieve(docs, kb, id_col="doc_id"), "doc_id").select("doc_id", "ord", "score")
+    found = retrieval.scored(retrieval.retrieve(docs, kb), "doc_id").select("doc_id", "ord", "score")
     low = docs.select("doc_id", F.lower("text").alias("l"))
     phrases = kb.select("ord", F.explode("keywords").alias("p"), F.lit(1).alias("n")).union(kb.select("ord", "category", F.lit(2)))
     want = low.join(phrases, F.contains("l", "p")).groupBy("doc_id", "ord").agg(F.sum("n").alias("score"))
@@ -94,13 +119,42 @@ def test_ingest_accounts_for_every_row(spark):
     assert sorted((r.n, r.error) for r in bad.collect()) == [(2, "key exists"), (3, "who is required"), (4, "text is required"), (5, "status is not allowed"), (6, "key exists")]
 
 
+ROWS = st.lists(st.tuples(st.sampled_from(["k1", "k2", "k3", None]), st.sampled_from([1, 2, None]), st.sampled_from(["a", "b", None])), max_size=12)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=ROWS)
+def test_one_row_of_a_key_is_taken(spark, rows):
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "key string, n int, v string, rank string").coalesce(1)
+    got = [(r.key, r.n, r.v) for r in ingest.enforce_unique(df, "key", "n").where("not duplicate").collect()]
+    want = [min((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "")) for k in {r[0] for r in rows} - {None}]
+    assert sorted(got, key=str) == sorted(want + [r for r in rows if r[0] is None], key=str)
+
+
+def test_keys_need_an_order(spark):
+    rows = spark.createDataFrame([("k1", 1)] * 3 + [("k2", None)] * 2, "key string, n int")
+    rules = ingest.Constraints(key="key")
+    with pytest.raises(ValueError, match="order"):
+        ingest.accept_reject(rows, rules)
+    good, bad = ingest.accept_reject(rows, rules, "n")
+    assert (good.count(), bad.count()) == (2, 3)
+
+
+def test_dispatch_keeps_every_row(spark):
+    rows = col(spark, ["a", "b", "x", None])
+    plain, full = ({r.k: (r.reply, r.n) for r in dispatch(rows, "v", {"a": {"reply": F.lit("one")}, "b": {"n": F.col("k") * 10}}, other).collect()} for other in (None, {"reply": F.lit("what?")}))
+    assert plain == {0: ("one", None), 1: (None, 10), 2: (None, None), 3: (None, None)}
+    assert full[2] == full[3] == ("what?", None) and full[0] == ("one", None)
+
+
 def test_applications(spark):
     at = datetime.datetime(2026, 1, 2, 3, 4, 5, 678000, datetime.UTC)
     rows = spark.createDataFrame([("e1", "Take 2 days"), ("e2", "   ")], "employee_id string, request_text string")
     got = {r.employee_id: r for r in ingest.applications(rows, ROUTER, at).collect()}
     assert got["e1"].leave_type == "apply" and got["e2"].leave_type == "question" and got["e1"].status == "submitted"
     ms = str(int(at.timestamp() * 1000))
-    assert got["e1"].reference_id == "LMS-" + ms[-6:] and got["e1"].reference_id in got["e1"].message
+    assert got["e1"].reference_id == "LMS-" + ms[-6:] and got["e1"].message == "Success! Your request for **apply** has been submitted for approval."
+    assert got["e1"].created_at == got["e1"].updated_at == at.replace(tzinfo=None)
 
 
 def test_scalars(spark):
@@ -119,6 +173,39 @@ def test_scalars(spark):
     assert answers(one, T.short_reference_id(F.lit(1_700_000_012_345))) == ["LMS-12345"]
 
 
+@pytest.mark.parametrize("zone", ["Europe/Paris", "America/Sao_Paulo", "UTC"])
+def test_iso_is_utc_in_any_zone(spark, zone):
+    times = [datetime.datetime(y, m, d, h, 30, 5, 7000, datetime.UTC) for y, m, d, h in ((2026, 3, 29, 1), (2026, 10, 25, 0), (2026, 10, 25, 1), (1969, 12, 31, 23), (2018, 11, 4, 3))]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.createDataFrame([(k, int(t.timestamp() * 1000)) for k, t in enumerate(times)], "k int, v long")
+        assert answers(df, T.iso(F.timestamp_millis("v"))) == [t.strftime("%Y-%m-%dT%H:%M:%S.007Z") for t in times]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_query_parameters(spark):
+    urls = ["http://h/p?id=a%20b%2Bc&x=1", "http://h/p?id=a+b", "http://h/p?x=1", "http://h/p?id=", "http://h/p?id=%E4%B8%AD", None]
+    assert answers(col(spark, urls), storage.query_parameter(F.col("v"), "id")) == ["a b+c", "a b", None, "", "中", None]
+
+
+def test_store_with_fallback(spark, small):
+    rows = spark.range(3)
+    assert storage.store(spark, None, rows) == (rows, False) and storage.store(spark, f"{small}/none.parquet", rows) == (rows, False)
+    there, ready = storage.store(spark, f"{small}/nation.parquet", rows)
+    assert ready and there.count() == 25
+
+
+def test_scratch_folders_go(spark):
+    path = storage.scratch(spark, "x")
+    spark.range(1).write.parquet(path)
+    storage.remove(spark, path)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    assert storage.unused(["a", "A_"], "a") == "a__"
+
+
 def test_json_bodies(spark):
     raw = spark.createDataFrame([('{"id": 1001, "n": 5}',), ('{"id": "x", "n": null}',), ('{"n": 5.5}',), ("[1]",), (None,), ("x" * 50,)], "value string")
     good, bad = storage.parsed(raw, "id string, n int", limit=40)
@@ -159,11 +246,13 @@ def test_streams(spark, tmp_path):
     feed("1.json", '{"n": 1, "who": "a", "text": "x"}', '{"n": 2, "who": "a", "text": "x"}', '{"n": 3, "who": "", "text": "y"}')
     feed("2.json", '{"n": 4, "who": "b", "text": "x"}', '{"n": 5, "who": "b", "text": "y"}')
     assert sorted(r.n for r in spark.read.parquet(str(out / "t")).collect()) == [1, 5]
-    assert sorted(r.n for r in spark.read.parquet(str(out / "r")).collect()) == [2, 3, 4]
+    feed("3.json", '{"n": 6, "who": "c", "text": "y"}', '{"n": 7, "who": "c", "text": "z"}')
+    assert sorted(r.n for r in spark.read.parquet(str(out / "t")).collect()) == [1, 5, 7]
+    assert sorted(r.n for r in spark.read.parquet(str(out / "r")).collect()) == [2, 3, 4, 6]
     stream = streams.json_stream(spark, str(src), "n long, who string, text string")
     streams.chat_stream(stream, ROUTER, {"question": lambda t: F.concat(F.lit("on "), t), "apply": lambda t: F.lit("done")}, "text", str(out / "chat"), str(out / "chat_c")).awaitTermination()
     got = spark.read.parquet(str(out / "chat")).collect()
-    assert len(got) == 10 and {r.text for r in got if r.role == "model"} == {"on x", "on y"}
+    assert len(got) == 14 and {r.text for r in got if r.role == "model"} == {"on x", "on y", "on z"}
 
 
 def test_knowledge_file(spark, tmp_path):
