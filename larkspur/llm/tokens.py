@@ -20,7 +20,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +32,24 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import shared_dir
 
 #: Ids per grammar shard, ids per flat block, and entries that a worker keeps of encoded words.
-SHARD_TOKENS, BLOCK_TOKENS, CACHE_WORDS = 1 << 18, 1 << 16, 600_000
-#: Re-Pair: replacement rounds, pairs replaced in a round, and how often a pair must occur.
-ROUNDS, PAIRS_PER_ROUND, MIN_COUNT = 4, 1024, 4
+SHARD_TOKENS, BLOCK_TOKENS, CACHE_WORDS = 1 << 18, 1 << 16, 400_000
+#: Re-Pair: pairs replaced in a round, and how often a pair must occur. A rule costs two symbols and an expansion length.
+PAIRS_PER_ROUND, MIN_COUNT = 2048, 6
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+#: What is white space beside the blank and the line feed, to a pre-tokenizer or to str.split(); and both of them beside each other or at an end.
+_WHOLE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizers file, encoding each distinct space-delimited word once.
+    """Encodes columns of texts with a tokenizers file, encoding each distinct word of a step once.
 
-    A byte-level pre-tokenizer always cuts before a single space, around a single line feed, and before a final comma
-    or full stop that follows a letter, so the pieces can be encoded apart. Texts with any other white space, or with blanks
-    or line feeds side by side or at an end, go to the tokenizer unsplit. The first CACHE_WORDS words are kept between calls; later ones for one call.
+    A byte-level pre-tokenizer always cuts before a single blank, around a single line feed, and before a final comma or full stop
+    that follows a letter, so the pieces can be encoded apart. Texts with any other white space, or with blanks or line feeds side
+    by side or at an end, go to the tokenizer unsplit. Words are found by Arrow's dictionary encoding. A word met in two calls is
+    kept, up to CACHE_WORDS of them; others are forgotten when as many new ones have come.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,61 +57,99 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: The id after the vocabulary's last, added tokens included: no text encodes to it.
-        self.separator = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.separator = max(vocabulary.values()) + 1
         self.dtype = np.uint16 if self.separator < 1 << 16 else np.uint32
-        feed = self.ids("\n")
-        #: Only where a line feed is one id of its own do words come apart again.
-        self.apart = len(feed) == 1 and len(self.ids("a\nb")) == 3 and self.ids("a\nb")[1] == feed[0]
-        self.feed, self.known = feed[0] if self.apart else 0, {"\n": feed.tobytes()}
+        self.size = self.dtype().itemsize
+        feed, blank = self.ids("\n"), self.tokenizer.id_to_token(int(self.ids(" ")[0])) if len(self.ids(" ")) == 1 else None
+        #: Only where a line feed is one id of its own, and a word's first id alone begins with its blank, do words come apart again.
+        self.apart = len(feed) == 1 and blank is not None and len(blank) == 1 and len(self.ids("a\nb")) == 3 and self.ids("a\nb")[1] == feed[0]
+        self.feed = int(feed[0]) if self.apart else 0
+        #: By id: whether a word that follows a blank begins here, and whether one that follows a line feed does.
+        self.begins = np.zeros((2, self.separator), bool)
+        self.begins[0, [i for t, i in vocabulary.items() if blank and t.startswith(blank)]] = True
+        self.begins[1, self.feed] = True
+        self.marks = {mark: self.ids(mark).tobytes() for mark in ",."}
+        #: Words (after a blank; with a line feed in front, after that) to their ids as bytes, blank or line feed included.
+        self.known: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def split(self, text: str) -> list[str] | None:
-        """Pieces to encode apart; None if the text has to stay whole."""
-        # the words joined by single blanks are the text only if no other white space, and none beside another, was in it
-        if not self.apart or "\x01" in text or " ".join(text.split()) != text.replace("\n", " "):
-            return None
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as little-endian bytes of self.dtype."""
-        known, split = self.known, [self.split(t) if t else [] for t in texts]
-        words = list(chain.from_iterable(s for s in split if s))
-        found = list(map(known.get, words))  # one look-up a word
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has; `end` is one more id after each. Nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False) if self.apart else np.ones(len(texts), bool)
+        unsplit = texts.filter(pa.array(whole)).to_pylist() if whole.any() else []
+        if unsplit:
+            texts = pc.if_else(pa.array(whole), "", texts)
+        # each line feed goes to the word after it, and every word but a text's first loses its blank
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        pieces = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets -= offsets[0]
+        place = pieces.indices.to_numpy().astype(np.int64)
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = {w: k for k, w in enumerate(dict.fromkeys(words[k] for k in place[offsets[:-1]].tolist()))}
+        found = self.find([*words, *("\n" + w for w in first)])
+        # a text's first word stands after nothing, so what the line feed gave is taken off
+        for k in range(len(words), len(found)):
+            found[k] = found[k][self.size :]
+        place[offsets[:-1]] = [len(words) + first[words[k]] for k in place[offsets[:-1]].tolist()]
+        if unsplit:
+            place[offsets[:-1][whole]] = len(found) + np.arange(len(unsplit))
+            found += [np.array(got.ids, self.dtype).tobytes() for got in self.tokenizer.encode_batch_fast(unsplit, add_special_tokens=False)]
+        if end is not None:
+            place = np.insert(place, offsets[1:], len(found))
+            offsets = offsets + np.arange(len(offsets))
+            found.append(np.array([end], self.dtype).tobytes())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.size
+        to = np.concatenate(([0], np.cumsum(sizes[place])))
+        out = np.frombuffer(b"".join(map(found.__getitem__, place.tolist())), self.dtype)
+        return out, np.diff(to[offsets])
+
+    def find(self, words: list[str]) -> list[bytes]:
+        known, fresh = self.known, self.fresh
+        found = list(map(known.get, words))
         lacking = [k for k, x in enumerate(found) if x is None]
-        if lacking:
-            added = self.learn({words[k]: None for k in lacking})
-            for k in lacking:
-                found[k] = known[words[k]]
-            if len(known) > CACHE_WORDS:
-                for word in added:
-                    known.pop(word, None)
-        out, at = [], 0
-        for text, own in zip(texts, split, strict=True):
-            if own is None:
-                out.append(self.ids(text).tobytes())
-            else:
-                out.append(b"".join(found[at : at + len(own)]))
-                at += len(own)
-        return out
-
-    def learn(self, missing: dict[str, None]) -> list[str]:
-        """Encodes words by the hundred, with line feeds between, whose id then shows where each ends; what is known now."""
-        known, size = self.known, self.dtype().itemsize
-        ended = [w for w in missing if w[-1] in ",." and w[-2:-1].isalpha()]
-        words = [w for w in dict.fromkeys([w[:-1] if w[-1] in ",." and w[-2:-1].isalpha() else w for w in missing] + [",", "."]) if w not in known]
-        parts = [words[at : at + 256] for at in range(0, len(words), 256)]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, self.dtype)
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(part, [*(np.flatnonzero(ids == self.feed) * size).tolist(), len(raw)], strict=True):
-                known[word] = raw[at:end]
-                at = end + size
+        again = [fresh.get(words[k]) for k in lacking]
+        if len(known) < CACHE_WORDS:
+            known.update((words[k], x) for k, x in zip(lacking, again, strict=True) if x is not None)
+        self.learn([words[k] for k, x in zip(lacking, again, strict=True) if x is None])
+        for k, x in zip(lacking, again, strict=True):
+            found[k] = fresh[words[k]] if x is None else x
+        if len(fresh) > CACHE_WORDS:
+            fresh.clear()
+        return found
+
+    def learn(self, missing: list[str]) -> None:
+        """Encodes words by the hundred, one after another with their blanks or line feeds, whose ids then show where each begins."""
+        known, fresh = self.known, self.fresh
+        ended: list[str] = []
+        new: tuple[dict[str, None], dict[str, None]] = {}, {}
+        for word in missing:
+            if word.endswith((",", ".")) and word[-2:-1].isalpha():
+                ended.append(word)
+                word = word[:-1]
+                if word in known or word in fresh:
+                    continue
+            new[word.startswith("\n")][word] = None
+        for kind in (0, 1):
+            words = list(new[kind])
+            parts = [words[at : at + 512] for at in range(0, len(words), 512)]
+            texts = ["".join(p) if kind else " " + " ".join(p) for p in parts]
+            for part, got in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, self.dtype)
+                starts = np.flatnonzero(self.begins[kind][ids])
+                if len(starts) != len(part):  # an added token that takes white space in, say
+                    fresh.update((w, self.ids(w if kind else " " + w).tobytes()) for w in part)
+                    continue
+                raw, cuts = ids.tobytes(), [*(starts * self.size).tolist(), len(ids) * self.size]
+                fresh.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         for word in ended:
-            known[word] = known[word[:-1]] + known[word[-1]]
-        return words + ended
+            fresh[word] = (fresh.get(word[:-1]) or known[word[:-1]]) + self.marks[word[-1]]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -116,14 +159,15 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS_PER_ROUND, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, base: int, rounds: int | None = None, pairs: int = PAIRS_PER_ROUND, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one shard: the sequence left, the rules (symbol base + k stands for rules[k]) and all expansion lengths.
 
     A round counts all adjacent pairs, gives the most frequent ones a nonterminal each and replaces them from left to
-    right; later rounds pair nonterminals too. expansion lengths: for rule k, how many ids base + k stands for.
+    right, but for those that others leave too few places; later rounds pair nonterminals too. Without `rounds` it goes on until no
+    pair occurs `least` times, or all that do stand in each other's way, or symbols of two bytes run out. expansion lengths: for rule k, how many ids base + k stands for.
     """
     seq, rules = ids.astype(np.uint32), np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         room = min(pairs, (1 << 16) - base - len(rules)) if base <= 1 << 16 else pairs
         if len(seq) < 2 or room < 1:
             break
@@ -145,20 +189,28 @@ def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS_
         table[slot] = np.arange(len(chosen))
         rule = table[(key * key.dtype.type(2654435761)).astype(np.uint32) >> np.uint32(14)]
         at = np.flatnonzero(rule < len(chosen))
-        at = at[chosen[rule[at]] == key[at]]
-        # of occurrences that overlap, every second one from the left of each run
-        first = np.concatenate(([True], np.diff(at) > 1))
-        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        at = at[((np.arange(len(at)) - run) & 1) == 0]
+        at = _apart(at[chosen[rule[at]] == key[at]])
+        good = np.bincount(rule[at], minlength=len(chosen)) >= max(least - 2, 1)
+        if not good.any():
+            break
+        at = at[good[rule[at]]]
+        number, chosen = (np.cumsum(good) - 1)[rule[at]], chosen[good]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq[at] = base + len(rules) + rule[at].astype(np.uint32)
+        seq[at] = base + len(rules) + number.astype(np.uint32)
         seq = seq[keep]
         split = np.stack([chosen >> chosen.dtype.type(32 if wide else 16), chosen & chosen.dtype.type(0xFFFFFFFF if wide else 0xFFFF)], axis=1)
         rules = np.concatenate([rules, split.astype(np.uint32)])
     return seq, rules, expansion_lengths(rules, base)
 
 
+def _apart(at: np.ndarray) -> np.ndarray:
+    """Of places of pairs, those left when of pairs that overlap every second one goes, from the left of each run."""
+    first = np.concatenate(([True], np.diff(at) > 1)) if len(at) else np.empty(0, bool)
+    run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0)) if len(at) else at
+    return at[((np.arange(len(at)) - run) & 1) == 0]
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule stands for. A rule refers to rules of earlier rounds only, which stand before it."""
     lengths = np.zeros(len(rules), np.int64)
@@ -213,46 +265,57 @@ _SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start", pa.in
 _SHARD_DDL = "part int, shard int, start long, n_tokens long, doc_id array<long>, length array<int>, base int, width int, sequence binary, rules binary, expansions binary"
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[list, list]]:
+def _steps(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) in steps of about `most` bytes, so that memory follows the step and not the batch."""
     for batch in batches:
         step = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // most
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            yield batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
+            if hi > lo:
+                yield batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)
+
 
+def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[list, list]]:
+    return ((ids.to_pylist(), texts.to_pylist()) for ids, texts in _steps(batches, most))
 
-def _grammar_rows(path: str, end_id: int, rounds: int):
+
+def _grammar_rows(path: str, end_id: int, rounds: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, shard, start = encoder(path), TaskContext.get().partitionId(), 0, 0
         base = max(enc.tokenizer.get_vocab_size(), end_id + 1)
-        end = np.array([end_id], enc.dtype).tobytes()
         docs: list = []
-        held: list[bytes] = []
+        lengths: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def row() -> pa.RecordBatch:
-            lengths = [len(x) // enc.dtype().itemsize + 1 for x in held]
-            ids = np.frombuffer(b"".join(y for x in held for y in (x, end)), enc.dtype)
+            ids = np.concatenate(held)
             seq, rules, expansions = repair(ids, base, rounds)
             width = 2 if base + len(rules) <= 1 << 16 else 4
-            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "start": start, "n_tokens": len(ids), "doc_id": docs, "length": lengths, "base": base, "width": width, "sequence": seq.astype(f"<u{width}").tobytes(), "rules": rules.astype("<u4").tobytes(), "expansions": expansions.astype("<u4").tobytes()}], schema=_SHARD)
-
-        for ids, texts in _texts(batches):
-            for doc, got in zip(ids, enc.encode(texts), strict=True):
-                docs.append(doc)
-                held.append(got)
-                size += len(got) // enc.dtype().itemsize + 1
+            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "start": start, "n_tokens": len(ids), "doc_id": docs, "length": np.concatenate(lengths), "base": base, "width": width, "sequence": seq.astype(f"<u{width}").tobytes(), "rules": rules.astype(f"<u{width}").tobytes(), "expansions": expansions.astype("<u4").tobytes()}], schema=_SHARD)
+
+        for names, texts in _steps(batches):
+            ids, sizes = enc.encode(texts, end_id)
+            ends, names = np.cumsum(sizes), names.to_pylist()
+            at, done = 0, 0
+            while at < len(sizes):
+                # up to the document that fills the shard
+                to = min(int(np.searchsorted(ends, done + SHARD_TOKENS - size)) + 1, len(sizes))
+                docs += names[at:to]
+                lengths.append(sizes[at:to])
+                held.append(ids[done : ends[to - 1]])
+                size += int(ends[to - 1]) - done
+                at, done = to, int(ends[to - 1])
                 if size >= SHARD_TOKENS:
                     yield row()
-                    docs, held, shard, start, size = [], [], shard + 1, start + size, 0
+                    docs, lengths, held, shard, start, size = [], [], [], shard + 1, start + size, 0
         if docs:
             yield row()
 
     return run
 
 
-def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, appends end_id to each and writes grammar shards in ascending id order to path."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
@@ -262,7 +325,7 @@ def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int, round
 
 def _decode(row: dict) -> np.ndarray:
     seq = np.frombuffer(row["sequence"], f"<u{row['width']}")
-    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
+    rules = np.frombuffer(row["rules"], f"<u{row['width']}").reshape(-1, 2)
     return expand(seq, rules, np.frombuffer(row["expansions"], "<u4").astype(np.int64), row["base"])
 
 
@@ -303,7 +366,7 @@ def read_span(spark: SparkSession, path: str, start: int, stop: int) -> DataFram
         for batch in batches:
             for row in batch.to_pylist():
                 lo, hi = max(start - row["at"], 0), min(stop - row["at"], row["n_tokens"])
-                rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
+                rules = np.frombuffer(row["rules"], f"<u{row['width']}").reshape(-1, 2)
                 got = expand(np.frombuffer(row["sequence"], f"<u{row['width']}"), rules, np.frombuffer(row["expansions"], "<u4").astype(np.int64), row["base"], lo, hi)
                 yield pa.RecordBatch.from_arrays([pa.array(row["at"] + lo + np.arange(len(got))), pa.array(got.astype(np.int64))], names=["position", "token"])
 
@@ -326,21 +389,20 @@ _FLAT_DDL = "kind string, file int, block long, payload binary, doc_id array<lon
 def _flat_rows(path: str, end_id: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, file, at, seen = encoder(path), TaskContext.get().partitionId(), 0, 0
-        end, held, size = np.array([end_id], enc.dtype).tobytes(), bytearray(), block * enc.dtype().itemsize
+        held, size = bytearray(), block * enc.size
 
         def row(kind: str, number: int, payload: bytes | None, ids: list | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"kind": kind, "file": file, "block": number, "payload": payload, "doc_id": ids}], schema=_FLAT)
 
-        for ids, texts in _texts(batches):
-            for got in enc.encode(texts):
-                held += got
-                held += end
-            yield row("names", seen, None, ids)
-            seen += len(ids)
-            while len(held) >= size:
-                yield row("ids", at, bytes(held[:size]), None)
-                del held[:size]
-                at += 1
+        for names, texts in _steps(batches):
+            held += enc.encode(texts, end_id)[0].tobytes()
+            yield row("names", seen, None, names.to_pylist())
+            seen += len(names)
+            full = len(held) // size
+            for k in range(full):
+                yield row("ids", at + k, bytes(held[k * size : (k + 1) * size]), None)
+            del held[: full * size]
+            at += full
         if held:
             yield row("ids", at, bytes(held), None)
 

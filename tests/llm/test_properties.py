@@ -1,4 +1,7 @@
+from itertools import product
+
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -9,12 +12,27 @@ PIECES = st.sampled_from(["the", "The", "tion", "é", "ß", "word,", "end.", "..
 TEXTS = st.one_of(st.lists(PIECES, max_size=30).map("".join), st.lists(PIECES, max_size=30).map(" ".join), st.text(max_size=60))
 
 
-@settings(max_examples=300, deadline=None)
+def encoded(enc, texts):
+    ids, sizes = enc.encode(pa.array(texts, pa.string()))
+    assert sum(sizes) == len(ids)
+    return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+
+@settings(max_examples=400, deadline=None)
 @given(st.lists(TEXTS, max_size=5))
 def test_words_apart_encode_as_whole_texts(texts):
     enc = tokens.encoder(registry.vocabulary())
     want = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in texts]
-    assert enc.encode(texts) == want
+    assert encoded(enc, texts) == want
+
+
+def test_every_short_text_encodes_as_the_tokenizer_does():
+    enc = tokens.encoder(registry.vocabulary())
+    texts = ["".join(t) for n in range(6) for t in product(" \t\n\r\u00a0a,1", repeat=n)]
+    want = [np.array(x.ids, enc.dtype).tobytes() for x in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoded(enc, texts) == want
+    ids, sizes = enc.encode(pa.array([None, *texts], pa.string()), 2)
+    assert sizes[0] == 1 and (ids[np.cumsum(sizes) - 1] == 2).all() and len(sizes) == len(texts) + 1
 
 
 def test_the_cache_stays_bounded(monkeypatch):
@@ -22,15 +40,15 @@ def test_the_cache_stays_bounded(monkeypatch):
     enc = tokens.WordEncoder(registry.vocabulary())
     for k in range(0, 400, 20):
         texts = [f"word{k + j}, again{k + j}. the the" for j in range(20)]
-        assert enc.encode(texts) == [enc.ids(t).tobytes() for t in texts]
-    assert len(enc.known) < 250
+        assert encoded(enc, texts) == [enc.ids(t).tobytes() for t in texts]
+    assert len(enc.known) < 250 and len(enc.fresh) < 250
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=400), st.integers(0, 6))
 def test_repair_expands_to_what_it_compressed(ids, rounds):
     ids = np.array(ids, np.uint32)
-    seq, rules, lengths = tokens.repair(ids, 6, rounds, least=2)
+    seq, rules, lengths = tokens.repair(ids, 6, rounds or None, least=2)
     assert (tokens.expand(seq, rules, lengths, 6) == ids).all()
     for a in range(0, len(ids), 37):
         assert (tokens.expand(seq, rules, lengths, 6, a, min(a + 11, len(ids))) == ids[a : a + 11]).all()
