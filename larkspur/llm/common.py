@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from larkspur.sources.storage import shared_dir
+from pyspark.sql import functions as F
 
-__all__ = ["cut", "shared_dir"]
+from larkspur.sources.storage import remove, scratch, shared_dir, unused
+
+__all__ = ["attach", "cut", "remove", "scratch", "shared_dir", "unused"]
+#: A key is common if more than this share of all rows has it, so there are fewer common keys than COMMON.
+COMMON = 1024
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that no later loss of an executor asks for it again."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def attach(rows: DataFrame, told: DataFrame, on: str, count: str) -> DataFrame:
+    """rows joined to what is told of each key; told has one row a key, and in `count` how many rows have it.
+
+    Rows of common keys never meet in one task: fewer than COMMON keys can have over a COMMON-th of all rows, and what is told of
+    those goes to every executor. The others are joined by key."""
+    told = cut(told)
+    total = told.agg(F.coalesce(F.sum(count), F.lit(0))).collect()[0][0]
+    common = F.col(count) > total // COMMON
+    few = told.where(common)
+    rare = rows.join(F.broadcast(few.select(on)), on, "left_anti").join(told.where(~common).hint("merge"), on)
+    return rare.drop(count).unionByName(rows.join(F.broadcast(few), on).drop(count))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import attach, cut
 from larkspur.llm.spans import apart_from, in_order, listed, matches, n_of
 
 BASE = ("assign", "access", "hex")
@@ -54,11 +54,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     rows = rows.withColumns({"base": _base(F.col("text")), "more": more})
     rows = cut(rows.select("doc_id", "repository", "owner", "key", _hashed(F.col("base")).alias("base"), _hashed(F.col("more")).alias("more")))
     each = rows.where(F.size("base") + F.size("more") > 0).select("doc_id", "key", "repository", "owner", F.explode(F.concat("base", "more")).alias("s"))
-    spread = each.groupBy("s.value", "repository", "owner").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count_distinct(F.coalesce("repository", F.lit("\0"))).alias("n_repositories"), F.count_distinct(F.coalesce("owner", F.lit("\0"))).alias("n_owners"))
-    told = each.select("doc_id", "key", "s.*").distinct().join(spread, "value")
+    distinct = lambda name: F.count_distinct(name) + F.max(F.col(name).isNull().cast("long"))
+    spread = each.groupBy("s.value", "repository", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(distinct("repository").alias("n_repositories"), distinct("owner").alias("n_owners"), F.sum("n").alias("n"))
+    told = attach(each.select("doc_id", "key", "s.*").distinct(), spread, "value", "n")
     verdict = F.struct("start", "order", "end", "kind", "value", "n_repositories", "n_owners", ((F.col("n_owners") <= owners) & (F.col("n_repositories") <= repositories)).alias("live"))
-    by_doc = told.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.array_sort(F.collect_set(verdict)).alias("verdicts"))
-    found = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
+    by_doc = told.groupBy(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")).agg(F.array_sort(F.collect_set(verdict)).alias("verdicts"))
+    found = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")), "left")
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
     live = bare(F.filter(F.col("verdicts"), lambda s: s["live"] & (s["order"] >= len(BASE))))
     added = F.when(F.size("more") > 0, apart_from(live, F.col("base"))).otherwise(F.filter("more", lambda s: F.lit(False)))

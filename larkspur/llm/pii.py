@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import cut
-from larkspur.llm.spans import apart_from, in_order, listed, matches, n_of
+from larkspur.llm.spans import apart_from, bound, in_order, listed, matches, n_of
 
 BASE = ("email", "ip", "card", "phone")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -30,13 +30,14 @@ OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 
 #: A further part of a spelled-out domain; after a bare full stop no blank, which would end a sentence.
 DOT_PART = r"(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++|\.[a-z0-9-]++(?![A-Za-z]))(?:(?<=[A-Za-z]{2})|(?=\x20?[\[(]dot|\.[a-z]))"
+STREET = r"(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|St|Ave|Rd|Ln|Dr|Blvd)(?![A-Za-z])"
 #: Candidates beyond the base: kind, pattern, exact form, and a cheap test for the text.
 MORE = (
     ("national_phone", r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])", r"^(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-.])[2-9][0-9]{2}[-.][0-9]{4}$", "[0-9]"),
     ("social_security", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "[0-9]"),
-    ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?$", "[0-9]"),
-    ("person", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20}){0,2}(?![A-Za-z])", r"^(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+ [A-Z][a-z]+$", "(?:Mr|Ms|Dr|Prof)"),
-    ("address", r"(?<![0-9A-Za-z])[0-9]{1,5}\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20}){0,2}\x20(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|St|Ave|Rd|Ln|Dr|Blvd)(?![A-Za-z])", r"^[1-9][0-9]{0,4} .*(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court)$", "[0-9]"),
+    ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,}+(?: ?[0-9]{1,3})?$", "[0-9]"),
+    ("person", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}[\p{L}'-]*+(?:\x20\p{Lu}[\p{L}'-]*+)*+", r"^(?:Mr|Mrs|Ms|Dr|Prof)\. \p{Lu}\S++ \p{Lu}\S++$", "(?:Mr|Ms|Dr|Prof)"),
+    ("address", rf"(?<![0-9A-Za-z])[0-9]++\x20[A-Z][a-z]++(?:\x20(?!{STREET})[A-Z][a-z]++)*+\x20{STREET}", r"^[1-9][0-9]{0,4} .*(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court)$", "[0-9]"),
     ("spelled_email", rf"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:{DOT_PART})++(?<=[A-Za-z]{{2}})|\x20?(?:\.|[\[(]dot[\])])\x20?[a-z]{{2,}}+(?:{DOT_PART})*+)(?![A-Za-z])", r"\[at\].*\[dot\]", "[\\[(]at[\\])]"),
 )
 KINDS = (*BASE, *(m[0] for m in MORE))
@@ -69,11 +70,11 @@ def _more(text: Column) -> Column:
     return F.concat(*(matches(text, kind, len(BASE) + k, pattern, text.rlike(test)) for k, (kind, pattern, _, test) in enumerate(MORE)))
 
 
-def _voted(text: Column, spans: Column, state: str) -> Column:
+def _voted(spans: Column, state: str) -> Column:
     """Spans with the votes of the labelers: 1 personal, -1 not, 0 no vote. state: base (checked), failed or more."""
 
     def votes(s: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(s["start"].cast("int") - 47, F.lit(1)), F.least(s["start"].cast("int"), F.lit(48))))
+        before = F.lower(s["before"])
         if state == "more":
             form = F.lit(0)
             for kind, _, exact, _ in MORE:
@@ -140,31 +141,51 @@ def _features(votes: tuple, kind: int, wide: int) -> list[float]:
     return [1.0, float(form), float(gazetteer), float(speaks), float(-denies), *(float(wide == k) for k in range(1, 3)), *(float(kind == k) for k in range(len(KINDS)))]
 
 
-def _accepts(s: Column, weights: list[float]) -> Column:
+def _margin(s: Column, weights: list[float]) -> Column:
     x = [F.lit(1.0), s["form"], s["gazetteer"], s["for"], -s["against"], (s["wide"] == 1).cast("double"), (s["wide"] == 2).cast("double"), *((s["order"] == k).cast("double") for k in range(len(KINDS)))]
-    return sum((F.lit(w) * v for w, v in zip(weights[1:], x[1:], strict=True)), F.lit(weights[0])) >= 0.0
+    return sum((F.lit(w) * v for w, v in zip(weights[1:], x[1:], strict=True)), F.lit(weights[0]))
+
+
+def _log_odds(s: Column, share: float, tables: list) -> Column:
+    """posterior() as a column, before the last step."""
+    out = F.lit(math.log(share) - math.log(1 - share))
+    for name, (on, off) in zip(LABELERS, tables, strict=True):
+        ratio = {v: math.log(on[v]) - math.log(off[v]) for v in on}
+        out = out + F.when(s[name] == 1, ratio[1]).when(s[name] == -1, ratio[-1]).otherwise(ratio[0])
+    return out
+
+
+def _place(s: Column) -> list[Column]:
+    return [s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")]
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, base (spans by pattern) and spans (all), as arrays of (start, order, end, kind)."""
+    """Per document: doc_id, base (spans by pattern) and spans (all), as arrays of (start, order, end, kind), and judged: for each
+    candidate its place, the labelers' votes, the posterior by their reliabilities, the classifier's probability, and whether the method added it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", *(c.alias(k) for k, c in _found(F.col("text")).items()), _more(F.col("text")).alias("more"))
+    rows = rows.select("doc_id", *(c.alias(k) for k, c in _found(F.col("text")).items()), _more(F.col("text")).alias("more"))
     good, failed = _checked()
-    rows = rows.select("doc_id", "text", good.alias("base"), failed.alias("failed"), "more")
-    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
-    text = F.col("text")
-    rows = rows.select("doc_id", bare(F.col("base")).alias("base"), _voted(text, F.col("base"), "base").alias("checked"), _voted(text, F.col("failed"), "failed").alias("failed"), _voted(text, F.col("more"), "more").alias("more"))
+    rows = rows.select("doc_id", good.alias("base"), failed.alias("failed"), "more")
+    bare = lambda c: F.transform(c, lambda s: F.struct(*_place(s)))
+    rows = rows.select("doc_id", bare(F.col("base")).alias("base"), _voted(F.col("base"), "base").alias("checked"), _voted(F.col("failed"), "failed").alias("failed"), _voted(F.col("more"), "more").alias("more"))
     rows = cut(rows)
     counts = rows.where(F.size("checked") + F.size("failed") + F.size("more") > 0).select(F.explode(F.concat("checked", "failed", "more")).alias("s")).groupBy("s.kind", "s.form", "s.gazetteer", "s.for", "s.against", "s.wide").count().collect()
     patterns = [((r["form"], r["gazetteer"], r["for"], r["against"]), KINDS.index(r["kind"]), r["wide"], float(r["count"])) for r in sorted(counts)]
     share, tables = reliabilities([(votes, n) for votes, _, _, n in patterns])
     weights = classifier([(votes, kind, wide, n, posterior(votes, share, tables)) for votes, kind, wide, n in patterns])
-    added = apart_from(bare(F.filter("more", lambda s: _accepts(s, weights))), F.col("base"))
-    return rows.select("doc_id", "base", in_order(F.col("base"), added).alias("spans"))
+    sure = lambda z: 1 / (1 + F.exp(-z))
+    judge = lambda s, added: F.struct(*_place(s), *(s[name].alias(name) for name in LABELERS), sure(_log_odds(s, share, tables)).alias("posterior"), sure(_margin(s, weights)).alias("probability"), added.alias("added"))
+    accepted = F.filter("more", lambda s: _margin(s, weights) >= 0.0)
+    rows = rows.select("doc_id", "base", "checked", "failed", "more", apart_from(bare(accepted), F.col("base")).alias("added"))
+    # places added are few and in order for each kind, so a look-up by place is one in a map
+    taken = F.map_from_arrays(F.transform("added", lambda s: F.concat_ws(":", s["order"], s["start"])), F.transform("added", lambda s: F.lit(True)))
+    judged = bound(taken, lambda t: F.array_sort(F.concat(F.transform(F.concat("checked", "failed"), lambda s: judge(s, F.lit(False))), F.transform("more", lambda s: judge(s, F.try_element_at(t, F.concat_ws(":", s["order"], s["start"])).isNotNull())))))
+    return rows.select("doc_id", "base", in_order(F.col("base"), F.col("added")).alias("spans"), judged.alias("judged"))
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """Counts and lists as one line a document; judged: kind:start:end:posterior (in hundredths) of all candidates."""
     base = F.col("base")
-    return found.select("doc_id", *(n_of(base, k).alias(f"n_{k}") for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
-
+    judged = F.array_join(F.transform("judged", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), F.round(s["posterior"] * 100).cast("int").cast("string"))), ",")
+    return found.select("doc_id", *(n_of(base, k).alias(f"n_{k}") for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), judged.alias("judged"))

@@ -68,7 +68,7 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
-    return credentials.digest(credentials.secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source")))
+    return credentials.digest(credentials.secrets(docs, repository=F.to_json(F.struct("source", "lang")), owner=F.col("source")))
 
 
 def queries() -> dict[str, Query]:

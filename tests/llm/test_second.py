@@ -1,13 +1,19 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from larkspur.llm import ann, credentials, maintext, pii, registry, tokens
+from larkspur.llm import common as common_
+from larkspur.llm import spans as spans_
 from tests.llm import brute
 from tests.oracle import compare
 
@@ -117,6 +123,82 @@ def test_base_spans(spark, small, which):
         assert [r[f"n_{k}"] for k, _, _ in kinds] == n and r.spans == listed
 
 
+def plain_em(items, rounds=40):
+    """The same estimate with one entry for each item, no counts."""
+    starts, prior = ({1: 0.6, 0: 0.35, -1: 0.05}, {1: 0.05, 0: 0.6, -1: 0.35}), 20.0
+    share, tables = 0.5, [tuple(map(dict, starts)) for _ in range(4)]
+    for _ in range(rounds):
+        p = []
+        for votes in items:
+            on = share * np.prod([t[0][v] for t, v in zip(tables, votes, strict=True)])
+            off = (1 - share) * np.prod([t[1][v] for t, v in zip(tables, votes, strict=True)])
+            p.append(on / (on + off))
+        p = np.array(p)
+        share = min(max((prior / 2 + p.sum()) / (prior + len(p)), 0.02), 0.98)
+        tables = []
+        for k in range(4):
+            votes, sides = np.array([i[k] for i in items]), []
+            for side, weight in ((0, p), (1, 1 - p)):
+                sums = {v: prior * starts[side][v] + weight[votes == v].sum() for v in (1, 0, -1)}
+                sides.append({v: x / sum(sums.values()) for v, x in sums.items()})
+            tables.append(tuple(sides))
+    return share, tables
+
+
+def test_reliabilities_equal_plain_estimates():
+    patterns = [((1, 1, 1, 0), 40), ((1, 0, 0, 0), 70), ((-1, 0, 0, -1), 60), ((1, 0, 0, -1), 9), ((0, 1, 0, 0), 5)]
+    share, tables = pii.reliabilities([(v, float(n)) for v, n in patterns])
+    want_share, want = plain_em([v for v, n in patterns for _ in range(n)])
+    assert abs(share - want_share) < 1e-9
+    assert all(abs(a[v] - b[v]) < 1e-9 for one, two in zip(tables, want, strict=True) for a, b in zip(one, two, strict=True) for v in a)
+
+
+def test_the_corpus_decides_what_is_added(spark):
+    """The same bare number is personal where such numbers are spoken of as such, and not where they are item numbers."""
+    def found(words):
+        rows = [(k, f"{words} {200 + k}-45-67{10 + k} there") for k in range(60)] + [(99, "xx 219-09-9998 yy")]
+        return {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    one, two = found("his ssn is"), found("see invoice")
+    assert [len(x[99].spans) for x in (one, two)] == [1, 0]
+    votes = [(j.form, j["for"], j.against) for x in (one, two) for j in x[5].judged]
+    assert votes == [(1, 1, 0), (1, 0, -1)]
+    assert one[99].judged[0].added and one[99].judged[0].posterior > two[99].judged[0].posterior and not two[99].judged[0].added
+
+
+def test_posteriors_are_those_of_the_reliabilities(spark):
+    texts = ["Please call me at (212) 555-0187 now.", "mail x@y.org or version 1.2.3.4", "+1 (724) 555-7058 and 4387513035237269", "page 10.20.30.400", None]
+    df = spark.createDataFrame([(k, texts[k % 5]) for k in range(50)], "doc_id long, text string")
+    rows = pii.personal_data(df).collect()
+    seen = [j for r in rows for j in r.judged]
+    share, tables = pii.reliabilities(sorted((v, float(n)) for v, n in Counter((j.form, j.gazetteer, j["for"], j.against) for j in seen).items()))
+    assert len(seen) >= 50 and all(abs(j.posterior - pii.posterior((j.form, j.gazetteer, j["for"], j.against), share, tables)) < 1e-6 for j in seen)
+    assert [r.spans for r in rows if r.doc_id == 4] == [[]]
+
+
+def test_long_matches_and_many(spark):
+    names = "Dr. " + "A" + "b" * 5000 + " Smith Jones Brown Miller"
+    street = "1234567 " + "Long " * 300 + "Street"
+    iban = "DE89 " + "1234 " * 40 + "12"
+    df = spark.createDataFrame([(1, f"x {names}, y"), (2, f"x {street}, y"), (3, f"x {iban}, y"), (4, "Mr " + "Bb " * 60_000), (5, "1 " + "Bb " * 60_000), (6, "AB12 " + "AB12 " * 30_000)], "doc_id long, text string")
+    got = {r.doc_id: [s.match for s in r.m] for r in df.select("doc_id", pii._more(pii.F.col("text")).alias("m")).collect()}
+    assert [got[k] for k in (1, 2, 3)] == [[names], [street], [iban]]
+    many = spark.createDataFrame([(1, "a@b.c 1.2.3.4 (212) 555-0187 token=abcdef12 " * 25_000)], "doc_id long, text string")
+    began = time.monotonic()
+    r = pii.digest(pii.personal_data(many)).collect()[0]
+    s = credentials.digest(credentials.secrets(many, owner=credentials.F.lit("o"))).collect()[0]
+    assert (r.n_email, r.n_ip, s.n_assign) == (25_000,) * 3 and time.monotonic() - began < 60
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=12))
+def test_spans_apart_from_others(spark, one, two):
+    one, two = ([(a, a + n) for a, n in x] for x in (one, two))
+    kind = "array<struct<start:long,end:long>>"
+    got = spark.createDataFrame([(one, two)], f"a {kind}, b {kind}").select(spans_.apart_from(pii.F.col("a"), pii.F.col("b")).alias("r")).collect()[0].r
+    assert sorted(map(tuple, got)) == sorted(s for s in one if not any(a < s[1] and s[0] < b for a, b in two))
+
+
 def test_weak_supervision_adds_spans(spark):
     texts = ["Please call me at (212) 555-0187 today.", "His ssn is 219-09-9999 he said.", "see invoice version 219-09-9998 there", "Write to jane [at] mail [dot] org soon.", "She lives at 12 Oak Street now.", "Nothing here but 12 words of prose."]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 5)], "doc_id long, text string")
@@ -159,6 +241,24 @@ def test_ownership_frequency(spark):
     assert [r.spans for r in got if r.doc_id == 52] == ["assign:0:46"] and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("common", [1024, 3])
+def test_owners_are_counted_over_the_corpus(spark, monkeypatch, common):
+    monkeypatch.setattr(common_, "COMMON", common)
+    rng = random.Random(5)
+    values = ["ghp_" + f"{k:04d}" + "aB" * 20 for k in range(12)]
+    rows = [(k, " ".join(["x", *rng.choices(values[: 1 + k % 12], k=rng.randrange(4))]), rng.choice([None, "o1", "o2", "o3", "o4", "o5"]), rng.choice([None, "en", "de"])) for k in range(120)]
+    df = spark.createDataFrame([*rows, *rows[:30]], "doc_id long, text string, source string, lang string")
+    got = credentials.secrets(df, repository=credentials.F.to_json(credentials.F.struct("source", "lang")), owner=credentials.F.col("source"), owners=4, repositories=9).collect()
+    owners, repositories = ({v: {r[2:n] for r in rows if v in r[1]} for v in values} for n in (3, 4))
+    assert len(got) == 150
+    for r in got:
+        text = rows[r.doc_id][1]
+        want = sorted((m.start(), len(repositories[m[0]]), len(owners[m[0]]), len(owners[m[0]]) <= 4 and len(repositories[m[0]]) <= 9) for m in re.finditer(r"ghp_\w+", text))
+        assert [(v.start, v.n_repositories, v.n_owners, v.live) for v in r.verdicts or []] == want
+        assert [s.start for s in r.spans] == [w[0] for w in want if w[3]]
+    assert any(s.spans for s in got) and any(v for r in got for v in r.verdicts or [] if not v.live)
+
+
 def test_further_secrets_of_any_length(spark):
     jwt = "eyJ" + "x" * 5000 + ".eyJ" + "y" * 5000 + "." + "z" * 5000
     pem = "-----BEGIN VERY LONG LABELLED ENCRYPTED PRIVATE KEY-----\n" + "QUJD\n" * 3000 + "-----END"
