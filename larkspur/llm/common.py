@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from pyspark.sql import functions as F
 
 from larkspur.sources.storage import remove, scratch, shared_dir, unused
 
-__all__ = ["attach", "cut", "remove", "scratch", "shared_dir", "unused"]
+__all__ = ["attach", "cut", "remove", "row_key", "scratch", "shared_dir", "unused"]
 #: A key is common if more than this share of all rows has it, so there are fewer common keys than COMMON.
 COMMON = 1024
 
@@ -30,3 +30,8 @@ def attach(rows: DataFrame, told: DataFrame, on: str, count: str) -> DataFrame:
     few = told.where(common)
     rare = rows.join(F.broadcast(few.select(on)), on, "left_anti").join(told.where(~common).hint("merge"), on)
     return rare.drop(count).unionByName(rows.join(F.broadcast(few), on).drop(count))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns. Rows with one key count as equal."""
+    return F.xxhash64(*(F.to_json(F.col(f"`{f.name}`")) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, row_key, unused
 
 #: Weights by the rank of the source, share of all sizes, and how often a source may be used.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -76,23 +76,24 @@ def demand_inverse(part: Column, rank: Column, schedules: tuple = SCHEDULES) ->
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, schedules: tuple = SCHEDULES, bucket: int = BUCKET) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, repeats, positions (one for each time it is used), key (a hash of the row).
 
-    In the source's order (by md5 of the id), a document is used again in each pass whose beginning of it lies under the
-    target; the one that crosses the target is used if its middle does not.
+    In the source's order (by md5 of id and text), a document is used again in each pass whose beginning of it lies under the
+    target; the one that crosses the target is used if its middle does not. Equal rows are counted first and told apart last.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), row_key(docs).alias("key"))
-    rows = rows.withColumn("spot", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = cut(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    plan = targets(sizes, weights, share, most).withColumn("buckets", F.ceil(F.col("n_docs") / bucket))
-    held = rows.join(plan.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    ident = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), row_key(docs).alias("key"), F.md5(ident.cast("binary")).alias("spot"))
+    rows = cut(rows.groupBy("source", "spot", "doc_id", "size", "key").agg(F.count(F.lit(1)).alias("copies")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n_docs"))
+    plan = targets(sizes, weights, share, most).withColumn("buckets", F.ceil(F.col("n_docs") / bucket)).withColumnRenamed("source", "named")
+    held = rows.join(plan, F.col("source").eqNullSafe(F.col("named"))).drop("named")
     # the first 32 bits of the order, cut into as many buckets as the source needs
     held = held.withColumn("bucket", F.floor(F.conv(F.substring("spot", 1, 8), 16, 10).cast("long") * F.col("buckets") / (1 << 32)))
     order = [F.col("spot"), F.col("doc_id"), F.col("size"), F.col("key")]
     inside = Window.partitionBy("rank", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    held = held.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     over = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = held.groupBy("rank", "bucket").agg(F.sum("size").alias("held")).select("rank", "bucket", F.coalesce(F.sum("held").over(over), F.lit(0)).alias("base"))
-    placed = held.join(totals, ["rank", "bucket"]).withColumn("start", F.col("base") + F.col("before"))
+    totals = held.groupBy("rank", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("held")).select("rank", "bucket", F.coalesce(F.sum("held").over(over), F.lit(0)).alias("base"))
+    placed = held.join(totals, ["rank", "bucket"]).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = placed.withColumn("start", F.col("base") + F.col("before") + F.col("nth") * F.col("size"))
     # pass p uses the document if its middle, start + p * source_size + size / 2, lies under the target
     middle = F.col("start") + F.col("size") / 2
     uses = sum((F.when((F.col("size") > 0) & (middle + p * F.col("source_size") < F.col("target")), 1).otherwise(0) for p in range(most)), F.lit(0))
@@ -102,17 +103,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", F.array_compact(times).alias("positions"), "key")
 
 
-def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64(*(F.to_json(F.col(f"`{f.name}`")) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields))
-
-
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs as they are trained on: each row as often as the mix uses it, range-sorted by training position."""
-    found = mix(docs, id_col, text_col, source_col, **how).where("repeats > 0")
-    # equal rows are one here, with the positions of all
-    uses = found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__use")).agg(F.flatten(F.collect_list("positions")).alias("__positions"))
-    rows = docs.withColumn("__key", row_key(docs))
-    rows = rows.join(uses, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__use")))
-    once = Window.partitionBy("__id", "__use").orderBy("__key")
-    rows = rows.withColumn("__once", F.row_number().over(once)).where("__once = 1")
-    return rows.select(*docs.columns, F.explode("__positions").alias("__position")).orderBy("__position", id_col).select(*docs.columns)
+    own, use = unused(docs.columns, "__key"), unused(docs.columns, "__use")
+    uses = mix(docs, id_col, text_col, source_col, **how).where("repeats > 0").select(F.struct("doc_id", "key", "positions").alias(use))
+    # of equal rows one meets the uses of all; the id is compared beside the join, so that both steps share one shuffle by the hash
+    rows = docs.withColumn(own, row_key(docs))
+    rows = rows.withColumn(use, F.row_number().over(Window.partitionBy(own, id_col).orderBy(own))).where(F.col(use) == 1).drop(use)
+    given = F.col(f"{use}.doc_id")
+    same = F.coalesce(F.col(id_col) == given, F.col(id_col).isNull() & given.isNull())
+    met = rows.join(uses, (F.col(own) == F.col(f"{use}.key")) & same)
+    return met.select(*docs.columns, F.explode(f"{use}.positions").alias(use)).orderBy(use, id_col).select(*docs.columns)

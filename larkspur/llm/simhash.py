@@ -6,9 +6,13 @@ fingerprints within radius r on different sides are less than r beyond the cut,
 near side too, and every pair meets in at least one shard. A shard searches itself by a tree of the same kind and gives
 back a spanning forest of its links, never all pairs; connected components join the forests.
 
+Dense clusters, which no vantage point parts, are linked through middles: two fingerprints differ in at most two bits just if some
+value differs in at most one bit from each, so those that share one of their 65 middles are linked. Inside a shard that is a sort;
+a shard that grows beyond MOST classes is left to a grouping by middle, where no group has more than 65 members.
+
 Edge cases: null and blank texts have fingerprint zero and link like any other; repeated rows are separate rows of one
 class; null document ids take part but never become a component's id unless all its ids are null; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are ignored. keep_one() tells rows of one id apart, so no component goes without a row.
 """
 
 from __future__ import annotations
@@ -19,18 +23,21 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import attach, cut, row_key, unused
 from larkspur.llm.tokens import _texts
 
 #: Words of a shingle, hash seed and linking radius.
 WORDS, SEED, RADIUS = 3, 42, 2
 #: The tree has leaves of about SHARD classes. It is fitted on about PER_LEAF distinct fingerprints for each leaf, picked by a
 #: hash, and on SAMPLE at most; it decides speed alone, never results.
-SAMPLE, PER_LEAF, SHARD, LEAF = 1 << 20, 64, 1 << 13, 256
+SAMPLE, PER_LEAF, SHARD, LEAF = 1 << 20, 2048, 1 << 17, 256
+#: Classes of a shard at most, beyond which it is linked by middles; codes sorted at once.
+MOST, CODES = 1 << 20, 1 << 22
+_FLIPS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
 
 _BITS = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8) @ (np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)).astype(object)).astype(np.uint64)
 
@@ -64,13 +71,16 @@ def majority(groups: list[np.ndarray]) -> np.ndarray:
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in _texts(batches, 1 << 20):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(majority([hashes(t) for t in texts]).view(np.int64))], names=["doc_id", "fp"])
+    for batch in batches:
+        small = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(2)], names=["k", "text"])
+        for at, texts in _texts(iter([small]), 1 << 20):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at[0], len(at)) for c in (0, 1)), pa.array(majority([hashes(t) for t in texts]).view(np.int64))], names=["doc_id", "key", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (64 bits as a signed long)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """doc_id, key (what tells rows of one id apart, if given) and fp (64 bits as a signed long)."""
+    own = F.lit(None).cast("long") if key is None else key
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), own.alias("key"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, key long, fp long")
 
 
 def _split(points: np.ndarray, vantage: np.uint64, radius: int) -> tuple[np.ndarray, int]:
@@ -123,12 +133,37 @@ class Tree:
             stack += [(self.near[node], held[d <= self.cut[node] + self.radius]), (self.far[node], held[d > self.cut[node]])]
 
 
+def _middles(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that link distinct fingerprints within two bits: neighbours in the order of the middles. Codes are taken by
+    parts, so that memory is bounded."""
+    parts = -(-65 * len(points) // CODES)
+    for part in range(parts):
+        codes, owners = [], []
+        for flip in _FLIPS:
+            code = points ^ flip
+            own = np.flatnonzero((code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts) == part)
+            codes.append(code[own]), owners.append(own)
+        code, owner = np.concatenate(codes), np.concatenate(owners)
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        same = code[1:] == code[:-1]
+        yield owner[:-1][same], owner[1:][same]
+
+
 def forest(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.ndarray:
     """For each of some distinct fingerprints, the index of the root of its linked set within them."""
     parent = np.arange(len(points))
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal parent
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def link(a: np.ndarray, b: np.ndarray, now: bool = False) -> None:
+        nonlocal parent, waiting, size
+        waiting.append((a, b))
+        size += len(a)
+        if size < len(points) and not now:
+            return
+        a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting, size = [], 0
         while len(a):
             a, b = parent[a], parent[b]
             apart = a != b
@@ -149,11 +184,16 @@ def forest(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.nda
             if max(len(near), len(far)) < 0.9 * len(held):
                 stack += [near, far]
                 continue
+            if radius == 2:
+                for a, b in _middles(here):
+                    link(held[a], held[b])
+                continue
         for lo in range(0, len(held), leaf):
             # a block of rows against itself and all that follow
             close = np.bitwise_count(here[lo : lo + leaf, None] ^ here[None, lo:]) <= radius
             a, b = np.nonzero(close)
             link(held[lo + a[a < b]], held[lo + b[a < b]])
+    link(np.empty(0, np.int64), np.empty(0, np.int64), now=True)
     return parent
 
 
@@ -167,11 +207,19 @@ def _forest_rows(radius: int):
     return run
 
 
-def links(classes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def by_middles(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) of radius two between distinct fingerprints (fp): each with the least that shares a middle."""
+    flips = F.array(*(F.lit(int(f)) for f in _FLIPS.view(np.int64)))
+    codes = classes.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("code"))
+    least = codes.groupBy("code").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high")
+    return codes.join(least.hint("merge"), "code").where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+
+
+def links(classes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp) that connect just those that chains of links connect."""
     n = max(classes.count(), 1)
     leaves = -(-n // shard)
-    part = min(1.0, min(sample, PER_LEAF * leaves) / n)
+    part = min(1.0, min(sample, PER_LEAF * leaves) / n) if leaves > 1 else 0.0
     picked = classes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(part * (1 << 30))).select("fp").toPandas()
     tree = Tree(np.sort(picked["fp"].to_numpy(np.int64)).view(np.uint64), leaves, radius)
 
@@ -180,7 +228,13 @@ def links(classes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard:
             for number, held in tree.route(batch.column(0).to_numpy().view(np.uint64)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), number, np.int32)), pa.array(held.view(np.int64))], names=["shard", "fp"])
 
-    return classes.select("fp").mapInArrow(routed, "shard int, fp long").groupBy("shard").applyInPandas(_forest_rows(radius), "a long, b long")
+    dealt = classes.select("fp").mapInArrow(routed, "shard int, fp long")
+    big: list[int] = []
+    if n > most and radius == 2:  # fewer classes than that are within it in any case
+        dealt = cut(dealt)
+        big = [r.shard for r in dealt.groupBy("shard").count().where(F.col("count") > most).collect()]
+    found = dealt.where(~F.col("shard").isin(big)).groupBy("shard").applyInPandas(_forest_rows(radius), "a long, b long")
+    return found.unionByName(by_middles(dealt.where(F.col("shard").isin(big)).select("fp").distinct())) if big else found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,24 +260,32 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def _grouped(rows: DataFrame, radius: int, low: Column) -> DataFrame:
+    """rows (with fp) with low, the least of all rows that links connect with each; `low` is an aggregate that finds it."""
+    classes = cut(rows.groupBy("fp").agg(low.alias("low"), F.count(F.lit(1)).alias("n")))
+    roots = cut(components(links(classes, radius)))
+    lowest = roots.join(classes.select(F.col("fp").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n"))
+    moved = attach(roots, lowest, "root", "n").select(F.col("node").alias("fp"), "least")
+    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("low"), "n")
+    return attach(rows, named, "fp", "n")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: the smallest id among all documents that links connect with this one."""
-    rows = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = cut(components(links(classes, radius)))
-    lowest = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("low").alias("component_id"))
-    moved = roots.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that with the smallest id, once. A null id counts as a hash of the text here."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    found = near_duplicates(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
-    from pyspark.sql import Window
-
-    once = Window.partitionBy("__key").orderBy(F.xxhash64(text_col), F.xxhash64(*docs.columns))
-    rows = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
-    return rows.withColumn("__once", F.row_number().over(once)).where("__once = 1").select(*docs.columns)
+    rows = cut(fingerprints(docs, id_col, text_col).select("doc_id", "fp"))
+    return _grouped(rows, radius, F.min("doc_id")).select("doc_id", "fp", F.col("low").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each component, all columns as they were: that with the smallest id, nulls last, and of rows with one id that with
+    the least hash. Equal rows are one."""
+    own, once = unused(docs.columns, "__key"), unused(docs.columns, "__once")
+    keyed = docs.withColumn(own, row_key(docs))
+    rows = cut(fingerprints(keyed, id_col, text_col, F.col(own)))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    kept = _grouped(rows, radius, F.min(rank)).where(F.col("doc_id").eqNullSafe(F.col("low.id")) & (F.col("key") == F.col("low.key"))).select(F.struct("doc_id", "key").alias(once)).distinct()
+    # the id is compared beside the join, so that this and the next step share one shuffle by the hash
+    given, named = F.col(id_col).cast("long"), F.col(f"{once}.doc_id")
+    same = (F.col(own) == F.col(f"{once}.key")) & F.coalesce(given == named, given.isNull() & named.isNull())
+    found = keyed.join(kept, same, "left_semi")
+    return found.withColumn(once, F.row_number().over(Window.partitionBy(own, id_col).orderBy(own))).where(F.col(once) == 1).select(*docs.columns)
