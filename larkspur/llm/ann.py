@@ -1,13 +1,15 @@
 """Nearest neighbours by largest inner product over robust-pruned directed graphs, one for each shard.
 
 Equal vectors are one class with their least ids (as many as an answer can hold), so ties cost nothing and stay exact. Classes
-are dealt to shards by hash. A shard's graph grows by insertion: a greedy beam search from the entry point proposes neighbours, robust
-pruning keeps a candidate only if no kept one is closer to it by the factor ALPHA (places left go to the nearest others), and edges back are pruned the same way when
-a node has too many. For inner products vectors get one more coordinate that makes all norms equal, which turns them into
-distances. Queries, in blocks, search every shard's graph by beam search; candidates are scored again on the original vectors
-in double precision, and the best of all shards win.
+are dealt to shards by hash; shards grow with the square root of the number of classes. A shard's graph grows by insertion: a greedy
+beam search from the entry point proposes neighbours, robust pruning keeps a candidate only if no kept one is closer to it by the
+factor ALPHA (places left go to the nearest others), and edges back are pruned the same way when a node has too many. For inner
+products vectors get one more coordinate that makes all norms equal, which turns them into distances.
 
-A shard's rows come first in its partition and its queries after them, so a task holds one shard and one block of queries.
+Graphs are built once, a task each, and written to the shared folder in chunks. A unit of the search is one shard and one block of
+queries: its task reads the shard's chunks and beam searches the graph for each query. Candidates are scored again on the original
+vectors in double precision, and the best of all shards win. A query's k nearest are spread over the shards by chance, so with more
+shards the beam in each is narrower. The cost is queries times shards, each search growing with the logarithm of a shard.
 
 Edge cases: vectors that are null, empty or zero, or that hold null or non-finite components, take no part, nor do rows with a
 null id or with another length than the most common one; repeated rows count once; fewer candidates than k give all of them; an
@@ -16,6 +18,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +28,24 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import cut
 
-K, SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, BLOCK = 20, 4096, 32, 64, 128, 1.2, 256
+K, DEGREE, BUILD_BEAM, ALPHA, BLOCK = 20, 32, 64, 1.2, 256
+#: Classes of a shard: GROWTH times the square root of all, within these bounds and so many bytes of vectors.
+GROWTH, SHARD, SHARD_MOST, SHARD_BYTES = 16, 4096, 1 << 16, 1 << 28
+#: Nodes that a search step opens; queries of a unit; classes of a chunk; the beam of one shard, and the least one of many.
+OPEN, QUERIES, CHUNK, BEAM, BEAM_LEAST = 4, 1 << 14, 2048, 128, 48
 
 
 class Graph:
     """A directed graph over points of equal norm. out: neighbours of each point, -1 where there is none."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> None:
+    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, built: tuple[np.ndarray, int] | None = None) -> None:
         norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
         lifted = np.sqrt(np.maximum(norms.max() - norms, 0))
         self.points = np.concatenate([vectors, lifted[:, None]], axis=1).astype(np.float32)
         self.norm, self.degree, self.alpha = float(norms.max()), degree, alpha
+        if built:
+            self.out, self.entry = built
+            return
         n = len(vectors)
         self.out = np.full((n, degree), -1, np.int32)
         mean = self.points.mean(axis=0)
@@ -60,11 +70,15 @@ class Graph:
         seen[:, self.entry] = True
         live = rows
         while len(live):
-            pick = np.argmin(done[live], axis=1)  # beams are sorted: the first open one is the best
-            node = ids[live, pick]
-            done[live, pick] = True
-            near = self.out[node]
+            # beams are sorted, so the first open places are the best
+            pick = np.argsort(done[live], axis=1, kind="stable")[:, : min(OPEN, beam)]
+            node = np.take_along_axis(ids[live], pick, 1)
+            node = np.where(np.take_along_axis(done[live], pick, 1), -1, node)
+            done[live[:, None], pick] = True
+            near = np.where(node[:, :, None] >= 0, self.out[node], -1).reshape(len(live), -1)
+            near.sort(axis=1)
             fresh = (near >= 0) & ~seen[live[:, None], near]
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
             r, c = np.nonzero(fresh)
             if len(r):
                 found = near[r, c]
@@ -140,13 +154,52 @@ class Graph:
                 self.out[part[hard]] = self._prune(part[hard], np.concatenate([old[hard], wide[hard]], axis=1))
 
 
+def _stacked(column: pa.Array) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+    return ((lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo)
+
+
+_CHUNK = pa.schema([("shard", pa.int32()), ("at", pa.int32()), ("entry", pa.int32()), ("width", pa.int32()), ("vectors", pa.binary()), ("out", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64())))])
+_CHUNK_DDL = "shard int, at int, entry int, width int, vectors binary, out binary, ids array<array<long>>"
+
+
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the graphs of shards, whose classes come together."""
+    shard, vectors, ids = None, [], []
+
+    def chunks() -> Iterator[pa.RecordBatch]:
+        matrix = np.concatenate(vectors)
+        graph = Graph(matrix)
+        for at in range(0, len(matrix), CHUNK):
+            part = slice(at, at + CHUNK)
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "at": at, "entry": graph.entry, "width": matrix.shape[1], "vectors": matrix[part].tobytes(), "out": graph.out[part].tobytes(), "ids": ids[part]}], schema=_CHUNK)
+
+    for batch in batches:
+        numbers = batch.column("shard").to_numpy()
+        for lo, hi in _runs(numbers):
+            if numbers[lo] != shard:
+                if vectors:
+                    yield from chunks()
+                shard, vectors, ids = int(numbers[lo]), [], []
+            vectors.append(_stacked(batch.column("vector").slice(lo, hi - lo)))
+            ids += batch.column("ids").slice(lo, hi - lo).to_pylist()
+    if vectors:
+        yield from chunks()
+
+
 def _searched(k: int, beam: int):
+    """Answers of units, whose chunks (at >= 0) come together and before their queries (at -1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, graph, vectors, ids = None, None, [], []
+        unit, graph, held, ids = None, None, [], []
         matrix = np.empty((0, 0))
 
         def found(queries: pa.RecordBatch) -> pa.RecordBatch:
-            q = np.stack(queries.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
+            q = _stacked(queries.column("vector"))
             own = queries.column("id").to_pylist()
             got, _ = graph.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), beam)
             safe = np.maximum(got, 0)
@@ -168,23 +221,21 @@ def _searched(k: int, beam: int):
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([key[r] for r in out[1]], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["query_id", "key", "vec_id", "score"])
 
         for batch in batches:
-            numbers, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(numbers)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
+            units, queries = batch.column("unit").to_numpy(), batch.column("at").to_numpy() < 0
+            for lo, hi in _runs(2 * units + queries):
                 part = batch.slice(lo, hi - lo)
-                if numbers[lo] != shard:
-                    shard, graph, vectors, ids = numbers[lo], None, [], []
-                if kinds[lo] == 0:
-                    vectors.append(np.stack(part.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64))
-                    ids += part.column("ids").to_pylist()
+                if units[lo] != unit:
+                    unit, graph, held, ids = units[lo], None, [], []
+                if not queries[lo]:
+                    held += part.select(["entry", "width", "vectors", "out"]).to_pylist()
+                    ids += [i for chunk in part.column("ids").to_pylist() for i in chunk]
                     continue
                 if graph is None:
-                    if not vectors:
+                    if not held:
                         continue
-                    matrix = np.concatenate(vectors)
-                    vectors, graph = [], Graph(matrix)
+                    matrix = np.frombuffer(b"".join(c["vectors"] for c in held), np.float64).reshape(-1, held[0]["width"])
+                    out = np.frombuffer(b"".join(c["out"] for c in held), np.int32).reshape(len(matrix), -1)
+                    graph, held = Graph(matrix, built=(out, held[0]["entry"])), []
                 for at in range(0, hi - lo, BLOCK):
                     yield found(part.slice(at, BLOCK))
 
@@ -196,22 +247,33 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None, beam: int | None = None, block: int = QUERIES) -> DataFrame:
     """For the rows for which `queries` holds: query_id, rank, vec_id and score of the k nearest other rows."""
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), queries.alias("asks"))
     widths = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
-    rows = rows.where(F.size("vector") == (widths[0].width if widths else 0))
+    width = widths[0].width if widths else 1
+    rows = rows.where(F.size("vector") == width)
     # of equal vectors, no answer holds more than the k + 1 least ids
     least = Window.partitionBy("vector").orderBy("id")
     classes = rows.withColumn("n", F.dense_rank().over(least)).where(F.col("n") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     classes = cut(classes)
-    shards = max(1, -(-classes.count() // shard))
     key = F.xxhash64("vector")
-    held = classes.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), key.alias("key"), "ids", "vector")
-    asked = rows.where("asks").select("id", key.alias("key"), "vector").dropDuplicates(["id", "key"])
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "key", F.array().cast("array<long>").alias("ids"), "vector")
-    dealt = held.unionByName(asked).repartition(2 * shards, "shard").sortWithinPartitions("shard", "kind", "key", "id")
-    found = dealt.mapInArrow(_searched(k, beam), "query_id long, key long, vec_id long, score double")
+    asked = cut(rows.where("asks").select("id", key.alias("key"), "vector").dropDuplicates(["id", "key"]))
+    n, n_asked = classes.count(), asked.count()
+    size = shard or int(min(max(SHARD, GROWTH * math.sqrt(n)), SHARD_MOST, max(SHARD_BYTES // (8 * width), 1)))
+    shards, blocks = max(1, -(-n // size)), max(1, -(-n_asked // block))
+    beam = beam or max(BEAM_LEAST, BEAM // math.isqrt(shards), k + 1)
+    held = classes.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("key"), "ids", "vector")
+    graphs = held.repartition(2 * shards, "shard").sortWithinPartitions("shard", "key", "vector").select("shard", "ids", "vector").mapInArrow(_built, _CHUNK_DDL)
+    graphs = cut(graphs)
+    unit = lambda number, part: (F.col(number).cast("long") * blocks + F.col(part)).alias("unit")
+    none = {"id": F.lit(None).cast("long"), "key": F.lit(None).cast("long"), "vector": F.lit(None).cast("array<double>")}
+    chunks = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(unit("shard", "part"), "at", "entry", "width", "vectors", "out", "ids", *(c.alias(name) for name, c in none.items()))
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("key", "id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    blank = {"at": F.lit(-1), "entry": F.lit(None).cast("int"), "width": F.lit(None).cast("int"), "vectors": F.lit(None).cast("binary"), "out": F.lit(None).cast("binary"), "ids": F.lit(None).cast("array<array<long>>")}
+    dealt = dealt.select(unit("shard", "part"), *(c.alias(name) for name, c in blank.items()), "id", "key", "vector")
+    units = chunks.unionByName(dealt).repartition(2 * shards * blocks, "unit").sortWithinPartitions("unit", F.col("at") < 0, "at", "key", "id")
+    found = units.mapInArrow(_searched(k, beam), "query_id long, key long, vec_id long, score double")
     best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -62,6 +62,20 @@ def test_nearest_recall_over_shards_of_unequal_norms():
     assert (graph.out < 3000).all() and ((graph.out >= 0).sum(axis=1) <= ann.DEGREE).all()
 
 
+def test_nearest_over_shards_and_blocks(spark):
+    rng = np.random.default_rng(8)
+    points = (rng.normal(size=(40, 24))[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<float>").cache()
+    want = exact(np.arange(4000), points.astype(float))
+    answers = []
+    for block in (1 << 14, 50):
+        found = ann.nearest(df, ann.F.col("vec_id") % 20 == 0, shard=500, block=block).collect()
+        answers.append(sorted(map(tuple, found)))
+        assert len(found) == 200 * 20
+        assert sum((r.query_id, r.vec_id) in {(q, i) for q, w in want.items() for _, i in w} for r in found) >= 0.95 * len(found)
+    assert answers[0] == answers[1]
+
+
 def test_nearest_ties_and_odd_rows(spark):
     rng = np.random.default_rng(4)
     rows = [(k, rng.normal(size=4).tolist()) for k in range(60)] + [(100 + k, [1.0, 2.0, 3.0, 4.0]) for k in range(50)]
@@ -315,6 +329,32 @@ def test_main_text_covers_all_content_and_no_other_paths():
     assert maintext.main_text("<p><a href=x>only a link</a></p>") == "only a link"
 
 
+def plain_page():
+    """A page without telling tags or names."""
+    body = [f"Sentence number {k} says, at some length, what the page is about; and it goes on." for k in range(6)]
+    menu = "".join(f"<div class=a1><div class=a2>Item {k}</div></div>" for k in range(8))
+    foot = "".join(f"<div class=c1><span>Place {k}</span></div>" for k in range(5))
+    return f"<body><div>{menu}</div><div class=b><h2>What it is about</h2>" + "".join(f"<p>{t}</p>" for t in body) + f"</div><div>{foot}</div></body>", " ".join(["What it is about", *body])
+
+
+def test_ratios_alone_find_the_text():
+    page, want = plain_page()
+    assert maintext.main_text(page) == want
+
+
+def test_without_ratios_the_text_is_not_found(monkeypatch):
+    page, want = plain_page()
+    monkeypatch.setattr(maintext.Page, "content_paths", lambda self: dict.fromkeys(self.paths, 1.0))
+    assert maintext.main_text(page) != want and want in maintext.main_text(page)
+
+
+def test_values_of_attributes_are_no_names():
+    kept = ["<p>It is, as <a href=/the-hidden-cost>they</a> say, so.</p>", "<article title='the hidden valley'><p>It is, as they say, so.</p></article>", "<p data-id='menu-3'>It is, as they say, so.</p>", "<p>It is, as <a href='/x?id=sidebar&class=ad'>they</a> say, so.</p>", "<p data-x=\"class='ad'\" class=t>It is, as they say, so.</p>"]
+    assert [maintext.main_text(k) for k in kept] == ["It is, as they say, so."] * len(kept)
+    for gone in ("<p hidden>x, y.</p>", "<p a=1 CLASS='ad'>x, y.</p>", "<p id = sidebar>x, y.</p>", "<p aria-hidden=true>x, y.</p>", "<p style='display: none'>x, y.</p>"):
+        assert maintext.main_text(f"<p>It is, so.</p>{gone}") == "It is, so."
+
+
 def test_main_text_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "c"), (1, "u", None, "c"), (None, None, "<p>x, y.</p>", "c")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in maintext.extract(df).collect()) == [(0, "x, y.", 5), (1, "", 0), (1, "", 0)]
