@@ -5,7 +5,8 @@ consecutive words of an item, or a whole shorter item) ends there. Words that no
 of words known to it that are long enough for a window are walked.
 
 Items are taken in blocks of at most BLOCK_WORDS words; each block's automaton (at most two states a word) is what is sent
-to the executors, one block after another, so its size doesn't depend on how many items or documents there are.
+to the executors, one block after another, so its size doesn't depend on how many items or documents there are. Each block is a
+pass over the documents.
 
 Edge cases: null, empty and wordless texts have no words and no hits; items without words never match; item ids that repeat
 count once, a null one as the empty text; rows that repeat get equal results; an empty item or document table is fine;
@@ -16,16 +17,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, unused
 
 #: Words of a window, and words of the items in one automaton.
-WINDOW, BLOCK_WORDS = 10, 1 << 20
+WINDOW, BLOCK_WORDS = 10, 1 << 19
 #: ASCII letters lower-cased, digits and everything beyond ASCII kept, the rest blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -36,12 +39,14 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences. Per state: transitions, suffix link, longest length."""
+    """Suffix automaton of several word sequences. Per state: suffix link, longest length, and transitions, the first of which
+    stands in flat arrays; most states have no other. Measured: about 150 bytes a word."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
         self.window, self.ids = window, sorted({name for name, got in items if got})
-        self.step: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.word, self.to = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         self.vocabulary: dict[bytes, int] = {}
         number = {name: k for k, name in enumerate(self.ids)}
         runs = [(number[name], [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in got]) for name, got in items if got]
@@ -69,38 +74,56 @@ class Automaton:
                         self.short.setdefault(state, set()).add((size, k))
         self.least = min((min(window, len(run)) for _, run in runs), default=0)
 
+    def _go(self, state: int, w: int) -> int:
+        """The state that a word leads to; -1 if there is none."""
+        if self.word[state] == w:
+            return self.to[state]
+        rest = self.more.get(state)
+        return -1 if rest is None else rest.get(w, -1)
+
+    def _set(self, state: int, w: int, to: int) -> None:
+        if self.word[state] in (w, -1):
+            self.word[state], self.to[state] = w, to
+        else:
+            self.more.setdefault(state, {})[w] = to
+
+    def _new(self, link: int, length: int) -> int:
+        self.word.append(-1), self.to.append(0), self.link.append(link), self.length.append(length)
+        return len(self.link) - 1
+
     def _extend(self, last: int, w: int) -> int:
-        step, link, length = self.step, self.link, self.length
+        link, length = self.link, self.length
 
         def split(p: int, q: int) -> int:
-            new = len(step)
-            step.append(dict(step[q])), link.append(link[q]), length.append(length[p] + 1)
+            new = self._new(link[q], length[p] + 1)
+            self.word[new], self.to[new] = self.word[q], self.to[q]
+            if q in self.more:
+                self.more[new] = dict(self.more[q])
             link[q] = new
-            while p >= 0 and step[p].get(w) == q:
-                step[p][w] = new
+            while p >= 0 and self._go(p, w) == q:
+                self._set(p, w, new)
                 p = link[p]
             return new
 
-        if (q := step[last].get(w)) is not None:
+        if (q := self._go(last, w)) >= 0:
             return q if length[q] == length[last] + 1 else split(last, q)
-        new = len(step)
-        step.append({}), link.append(0), length.append(length[last] + 1)
-        p = last
-        while p >= 0 and w not in step[p]:
-            step[p][w] = new
+        new, p = self._new(0, length[last] + 1), last
+        while p >= 0 and self._go(p, w) < 0:
+            self._set(p, w, new)
             p = link[p]
         if p >= 0:
-            q = step[p][w]
+            q = self._go(p, w)
             link[new] = q if length[q] == length[p] + 1 else split(p, q)
         return new
 
     def next(self, state: int, held: int, w: int) -> tuple[int, int]:
         """The state and length of the longest suffix of what was read, and w, that an item contains."""
-        step, link = self.step, self.link
-        while state and w not in step[state]:
-            state = link[state]
+        while (to := self._go(state, w)) < 0:
+            if not state:
+                return 0, 0
+            state = self.link[state]
             held = self.length[state]
-        return (step[state][w], held + 1) if w in step[state] else (0, 0)
+        return to, held + 1
 
     def marks(self, found: list[bytes]) -> tuple[bytearray | None, set[str]]:
         """A flag for each word inside an occurrence of a window (None: no word is), and the ids of the items concerned."""
@@ -142,29 +165,33 @@ class Automaton:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[Automaton]:
-    """One automaton for each block of items; the driver holds one block at a time. The first may be empty."""
-    held, size, made = [], 0, False
+    """One automaton for each block of items; the driver holds one block at a time. The first may be empty. An item longer than a
+    block comes in parts that overlap by all but one word of a window, so that each of its windows is whole in one of them."""
+    held, size, made, most = [], 0, False, max(most, 2 * window)
     for row in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        got = words(row.t)
-        if held and size + len(got) > most:
-            yield Automaton(held, window)
-            held, size, made = [], 0, True
-        held.append((row.i, got))
-        size += len(got)
+        whole = words(row.t)
+        for at in range(0, max(len(whole) - window + 1, 1), most - window + 1) if len(whole) > most else (0,):
+            got = whole[at : at + most]
+            if held and size + len(got) > most:
+                yield Automaton(held, window)
+                held, size, made = [], 0, True
+            held.append((row.i, got))
+            size += len(got)
     if held or not made:
         yield Automaton(held, window)
 
 
-_HITS = "__n_words int, __hits binary, __items array<string>"
-
-
-def _marked(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, block: int) -> DataFrame:
-    """docs with a flag for each hit word and the ids of the items, for all blocks of items."""
-    rows = docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def _marked(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, block: int) -> tuple[DataFrame, list[str]]:
+    """docs with a flag for each hit word and the ids of the items, for all blocks of items; and the names of the three columns."""
+    rows, old = docs, None
     columns, at = docs.columns, docs.columns.index(text_col)
+    added = [unused(columns, n) for n in ("__n_words", "__hits", "__items")]
+    schema = StructType([*docs.schema.fields, StructField(added[0], IntegerType()), StructField(added[1], BinaryType()), StructField(added[2], ArrayType(StringType()))])
     for number, automaton in enumerate(_blocks(items, item_id, item_text, window, block)):
-        sent = rows.sparkSession.sparkContext.broadcast(automaton)
+        if number:
+            rows = cut(rows)
+            old.destroy()
+        old = sent = rows.sparkSession.sparkContext.broadcast(automaton)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             automaton = sent.value
@@ -181,10 +208,10 @@ def _marked(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item
                             found |= set(before[1][k].as_py())
                         sizes.append(len(got)), hits.append(None if flags is None else bytes(flags)), names.append(sorted(found))
                     kept = part.columns[:-3] if number else part.columns
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int32()), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=[*columns, "__n_words", "__hits", "__items"])
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int32()), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=[*columns, *added])
 
-        rows = (cut(rows) if number else rows).mapInArrow(run, f"{schema}, {_HITS}")
-    return rows
+        rows = rows.mapInArrow(run, schema)
+    return rows, added
 
 
 def _spans(flags: bytes) -> Iterator[tuple[int, int]]:
@@ -193,7 +220,7 @@ def _spans(flags: bytes) -> Iterator[tuple[int, int]]:
 
 def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted ids) and spans (of hit words, [first, last))."""
-    rows = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, "text", item_id, item_text, window, block)
+    rows, added = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, "text", item_id, item_text, window, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +228,7 @@ def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
             spans = [[{"first": a, "last": b} for a, b in _spans(h)] if h else [] for h in hits]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array([h.count(1) if h else 0 for h in hits], pa.int64()), batch.column(3), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    rows = rows.select("doc_id", "__n_words", "__hits", "__items")
+    rows = rows.select("doc_id", *added)
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>")
 
 
@@ -220,12 +247,20 @@ def without(text: str, flags: bytes, longest: int) -> str:
 def clean(docs: DataFrame, items: DataFrame, longest: int = 0, coverage: float = 0.0, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK_WORDS) -> DataFrame:
     """docs without contamination, all columns kept: documents whose share of hit words is over `coverage` go; from the
     others, hit spans of over `longest` words are cut out. With coverage 0 every document with a hit goes."""
-    rows = _marked(docs, items, text_col, item_id, item_text, window, block)
-    share = F.coalesce(F.length(F.regexp_replace(F.hex("__hits"), "00", "")) / 2 / F.greatest(F.col("__n_words"), F.lit(1)), F.lit(0.0))
+    rows, (n_words, hits, found) = _marked(docs, items, text_col, item_id, item_text, window, block)
     if not coverage:
-        return rows.where("__hits is null").select(*docs.columns)
-    cut_out = F.udf(lambda t, h: without(t, bytes(h), longest) if h else t, "string")
-    return rows.where(share <= coverage).withColumn(text_col, F.when(F.col("__hits").isNull(), F.col(text_col)).otherwise(cut_out(text_col, "__hits"))).select(*docs.columns)
+        return rows.where(F.col(hits).isNull()).select(*docs.columns)
+    n_hit = F.length(F.regexp_replace(F.hex(hits), "00", "")) / 2
+    share = F.coalesce(n_hit / F.greatest(F.col(n_words), F.lit(1)), F.lit(0.0))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)
+            texts = pa.array([without(t.as_py(), h.as_py(), longest) if h.is_valid else t.as_py() for t, h in marked], batch.column(at).type)
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
+
+    return rows.where(share <= coverage).select(*docs.columns, hits).mapInArrow(run, docs.schema)
 
 
 def items_digest(ids: list[str]) -> str:

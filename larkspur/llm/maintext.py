@@ -2,8 +2,8 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path; inline elements are part of the block that they stand in. A
 path's length ratio is its text over its blocks, links not counted; its punctuation ratio is its marks over its blocks. Both are
-smoothed over neighbouring paths in page order and fused by their product; paths over a share of the page's mean are content,
-but for those that hold nothing but links and are no headings.
+smoothed over neighbouring paths in page order, the more so the more two paths have in common, and fused by their product; paths
+over a share of the page's mean are content, but for those that hold nothing but links and are no headings.
 The text nodes of all content paths, wherever they stand, are the result, except those inside elements that are something else by
 kind, class, id or role (menus, page headers, footers, sidebars, notices, adverts, forms, comments, hidden parts).
 
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from larkspur.llm.tokens import _texts
 
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)>?")
-ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden|itemprop)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?", re.I)
+#: One attribute after another, values and all, so that what stands in a value is no name.
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?")
+TOLD = frozenset(("class", "id", "role", "style", "aria-hidden", "hidden"))
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -40,7 +42,7 @@ OTHER = frozenset("nav footer aside form button select dialog menu svg canvas au
 WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|footer\w*|masthead|topbar|comment\w*|disqus\w*|repl(?:y|ies)|respond|share|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscribe\w*|signup|login|popup\w*|modal\w*|widget\w*|pagination|pager|toolbar|skip-link|search\w*)(?=$|[\s_-])", re.I)
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar", "tablist"))
 #: Neighbours that smooth a path, with their weights; a content path's share of the mean.
-KERNEL, THRESHOLD = (0.25, 0.5, 0.25), 0.25
+KERNEL, THRESHOLD = (0.25, 0.5, 0.25), 0.5
 MARKS = re.compile(r"[.,;:!?。，…]")
 
 
@@ -50,13 +52,17 @@ class Page:
     def __init__(self, text: str) -> None:
         self.tags, self.parents, self.other, self.paths = ["#page"], [-1], [False], [0]
         self.path_ids: dict[tuple[int, str], int] = {}
+        self.above, self.depth = [-1], [0]  # of each path
         self.headings: set[int] = set()
         self.blocks = [0]  # of each element, itself or, for an inline one, the element that it stands in
         self.nodes: list[tuple[int, str]] = []  # (element, text); (element, "") breaks a block
         self._scan(text)
 
     def _open(self, tag: str, rest: str, parent: int) -> int:
-        named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest else {}
+        named: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(rest):
+            if (name := m[1].lower()) in TOLD:
+                named.setdefault(name, m[2] or m[3] or m[4] or "")
         label = " ".join(filter(None, (named.get("class"), named.get("id"))))
         other = self.other[parent] or tag in OTHER or "hidden" in named or named.get("aria-hidden") == "true" or named.get("role", "").lower() in ROLES
         if not other and tag not in ("html", "body", "article", "main"):
@@ -64,7 +70,10 @@ class Page:
             other = other or tag == "header" and not self._inside(parent, "article")
         self.tags.append(tag), self.parents.append(parent), self.other.append(other)
         path = self.paths[parent]
-        path = path if tag in INLINE else self.path_ids.setdefault((path, f"{tag} {named.get('class', '')}"), len(self.path_ids) + 1)
+        if tag not in INLINE:
+            over, path = path, self.path_ids.setdefault((path, f"{tag} {named.get('class', '')}"), len(self.path_ids) + 1)
+            if path == len(self.above):
+                self.above.append(over), self.depth.append(self.depth[over] + 1)
         self.paths.append(path)
         self.blocks.append(self.blocks[parent] if tag in INLINE else len(self.tags) - 1)
         if tag in HEADINGS:
@@ -134,6 +143,16 @@ class Page:
             stack.append(self._open(tag, m[3], stack[-1]))
             count[tag] = count.get(tag, 0) + 1
 
+    def _likeness(self, a: int, b: int) -> float:
+        """How much of the longer of two paths they have in common from the root on."""
+        most = max(self.depth[a], self.depth[b])
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.above[a]
+            else:
+                b = self.above[b]
+        return (self.depth[a] + 1) / (most + 1)
+
     def content_paths(self) -> dict[int, float]:
         """Fused ratios of the paths that are content."""
         order: dict[int, list[float]] = {}
@@ -150,15 +169,23 @@ class Page:
             return {}
         lengths, marks = [s[0] / s[2] for s in order.values()], [(s[1] + 0.5) / s[2] for s in order.values()]
 
+        alike = [self._likeness(a, b) ** 2 for a, b in zip(order, list(order)[1:], strict=False)]
+
         def smooth(x: list[float]) -> list[float]:
-            padded = [x[0], *x, x[-1]]
-            return [sum(w * padded[k + j] for j, w in enumerate(KERNEL)) for k in range(len(x))]
+            out = []
+            for k, own in enumerate(x):
+                left, right = KERNEL[0] * alike[k - 1] if k else 0.0, KERNEL[2] * alike[k] if k < len(alike) else 0.0
+                out.append((KERNEL[1] * own + left * x[k - 1] + right * x[k + 1 if k < len(alike) else k]) / (KERNEL[1] + left + right))
+            return out
 
         fused = [math.sqrt(a * b) for a, b in zip(smooth(lengths), smooth(marks), strict=True)]
         least = THRESHOLD * sum(fused) / len(fused)
         # smoothing alone would lift a list of links beside long text
         links = {path for (path, _), x in zip(order.items(), lengths, strict=True) if not x and path not in self.headings} if any(lengths) else ()
-        return {path: f for path, f in zip(order, fused, strict=True) if f >= least and path not in links}
+        content = {path: f for path, f in zip(order, fused, strict=True) if f >= least and path not in links}
+        # headings are short, and content where what they stand beside is
+        beside = {self.above[path] for path in content}
+        return {path: f for path, f in zip(order, fused, strict=True) if path in content or path in self.headings and self.above[path] in beside}
 
     def text(self) -> str:
         content = self.content_paths()

@@ -2,12 +2,13 @@
 
 score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j); the pairwise part is half of (sum_i v_i x_i)^2 - sum_i
 (v_i x_i)^2, so a document is scored in time linear in its features. Features of a whole text: word counts hashed into
-BUCKETS (square roots, of unit length), and statistics of its structure and size. The model is fitted on at most SAMPLE
-labelled rows, taken in the order of a hash of their ids; their features are what comes to the driver.
+BUCKETS (square roots, of unit length), and statistics of its structure and size; beside them, two for each metadata column that
+the caller names: its size, and whether it is missing. The model is fitted on at most SAMPLE labelled rows, taken in the order of a
+hash of their ids; their features are what comes to the driver.
 
-Edge cases: null texts count as empty; empty texts get a score from the statistics alone; null labels or ids train
-nothing; repeated rows are scored one by one; without labels, or with one class only, every score is the share of ones (1/2
-without any); other columns are ignored by score() and kept by keep().
+Edge cases: null texts count as empty; empty texts get a score from the statistics alone; metadata that is null or no finite number
+is missing; null labels or ids train nothing; repeated rows are scored one by one; without labels, or with one class only, every
+score is the share of ones (1/2 without any); other columns, whatever their names, are ignored by score() and kept by keep().
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from larkspur.llm.tokens import _texts
+from larkspur.llm.common import unused
 
 #: Labelled rows to fit on at most; hash buckets, rank of the interactions, passes over the sample and rate.
 SAMPLE, BUCKETS, RANK, EPOCHS, RATE = 12_000, 1 << 14, 8, 8, 0.05
@@ -32,10 +34,10 @@ STATISTICS = ("log_chars", "log_words", "word_length", "distinct", "top_word", "
 def statistics(raw: bytes, text: str, found: list[bytes], counts: Counter) -> list[float]:
     """Numbers about a text's structure and size, each of order 1."""
     n, chars = max(len(found), 1), max(len(raw), 1)
-    plain = raw.translate(None, b"abcdefghijklmnopqrstuvwxyz \\n")
-    upper = sum(map(plain.count, [bytes([c]) for c in range(65, 91)])) if len(plain) < 64 else len(plain) - len(plain.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    plain = raw.translate(None, b"abcdefghijklmnopqrstuvwxyz \n")
+    upper = len(plain) - len(plain.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     digit = len(plain) - len(plain.translate(None, b"0123456789"))
-    odd = len(plain) - len(plain.translate(None, b"#$%&*+<=>@^_`{|}~!\\\\"))
+    odd = len(plain) - len(plain.translate(None, b"#$%&*+<=>@^_`{|}~!\\"))
     marks = len(plain) - len(plain.translate(None, b".,;:'\"()-?/"))
     lines = raw.split(b"\n")
     pairs = len(set(zip(found, found[1:], strict=False)))
@@ -46,8 +48,13 @@ def statistics(raw: bytes, text: str, found: list[bytes], counts: Counter) -> li
     ]
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values; the first len(STATISTICS) indices are the statistics, raw."""
+def _about(metadata: Sequence[float | None]) -> list[float]:
+    told = [x is not None and math.isfinite(x) for x in metadata]
+    return [f for x, ok in zip(metadata, told, strict=True) for f in ((math.copysign(math.log1p(abs(x)), x) / 5, 0.0) if ok else (0.0, 1.0))]
+
+
+def features(text: str | None, metadata: Sequence[float | None] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values; the first len(STATISTICS) + 2 len(metadata) indices are statistics, raw."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     found = raw.split()
@@ -57,22 +64,24 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         folded[zlib.crc32(word.strip(b".,").lower()) % BUCKETS] += k
     values = np.sqrt(np.fromiter(folded.values(), np.float32, len(folded)))
     values /= max(float(np.sqrt((values**2).sum())), 1.0)
-    where = np.concatenate([np.arange(len(STATISTICS)), np.fromiter(folded.keys(), np.int64, len(folded)) + len(STATISTICS)])
-    return where, np.concatenate([np.array(statistics(raw, text, found, counts), np.float32), values])
+    numbers = np.array(statistics(raw, text, found, counts) + _about(metadata), np.float32)
+    where = np.concatenate([np.arange(len(numbers)), np.fromiter(folded.keys(), np.int64, len(folded)) + len(numbers)])
+    return where, np.concatenate([numbers, values])
 
 
 class Machine:
     """The fitted model. Statistics are shifted and scaled by the sample's means and deviations, and clipped."""
 
-    def __init__(self) -> None:
-        n = len(STATISTICS) + BUCKETS
+    def __init__(self, metadata: int = 0) -> None:
+        self.raw = len(STATISTICS) + 2 * metadata
+        n = self.raw + BUCKETS
         self.bias, self.linear = 0.0, np.zeros(n, np.float32)
         self.factors = np.random.default_rng(7).normal(0, 0.01, (n, RANK)).astype(np.float32)
-        self.mean, self.scale = np.zeros(len(STATISTICS), np.float32), np.ones(len(STATISTICS), np.float32)
+        self.mean, self.scale = np.zeros(self.raw, np.float32), np.ones(self.raw, np.float32)
 
     def scaled(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Indices, values and row starts of some rows, end to end."""
-        k = len(STATISTICS)
+        k = self.raw
         values = [np.concatenate([np.clip((v[:k] - self.mean) / self.scale, -4, 4) / 4, v[k:]]) for _, v in rows]
         sizes = np.array([len(v) for v in values])
         return np.concatenate([i for i, _ in rows]), np.concatenate(values).astype(np.float32), np.cumsum(sizes) - sizes
@@ -92,7 +101,7 @@ class Machine:
         if labels.min() == labels.max():
             self.factors[:] = 0
             return self
-        stats = np.stack([v[: len(STATISTICS)] for _, v in rows])
+        stats = np.stack([v[: self.raw] for _, v in rows])
         self.mean, self.scale = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-3)
         rng, seen, seen_v, seen_b = np.random.default_rng(11), np.full(len(self.linear), 1e-6, np.float32), np.full(len(self.linear), 1e-6, np.float32), 1e-6
         batch = max(16, min(256, len(rows) // 16))
@@ -118,8 +127,8 @@ class Machine:
                 self.bias -= rate * float(wrong.sum()) / math.sqrt(seen_b)
         return self
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        z, _, _ = self.margin(*self.scaled([features(t) for t in texts]))
+    def scores(self, texts: list[str | None], metadata: list[tuple]) -> np.ndarray:
+        z, _, _ = self.margin(*self.scaled([features(t, m) for t, m in zip(texts, metadata, strict=True)]))
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
@@ -127,44 +136,50 @@ def _remainder(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
-    """Fits on labelled rows with crc32(id) mod 3 other than 1."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, metadata: Sequence[str] = ()) -> Machine:
+    """Fits on labelled rows with crc32(id) mod 3 other than 1. metadata: names of numeric columns."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (_remainder(id_col) != 1)).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label"))
     known = known.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"), _numbers(metadata).alias("about")).join(F.broadcast(known), "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [features(t) for t in part.column(2).to_pylist()]
+                found = [features(t, m) for t, m in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["id", "label", "i", "v"])
 
-    got = rows.select("__id", "label", "text").mapInArrow(run, "id long, label int, i binary, v binary").toPandas()
+    got = rows.select("__id", "label", "text", "about").mapInArrow(run, "id long, label int, i binary, v binary").toPandas()
     got = got.drop_duplicates("id").sort_values("id")
-    return Machine().fit([(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4")) for i, v in zip(got["i"], got["v"], strict=True)], got["label"].to_numpy(np.float32))
+    return Machine(len(metadata)).fit([(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4")) for i, v in zip(got["i"], got["v"], strict=True)], got["label"].to_numpy(np.float32))
+
+
+def _numbers(names: Sequence[str]) -> Column:
+    return F.array(*(F.col(n).try_cast("double") for n in names)).cast("array<double>")
 
 
-def _scored(docs: DataFrame, machine: Machine, text_col: str) -> DataFrame:
-    """docs with the column __score."""
+def _scored(docs: DataFrame, machine: Machine, text_col: str, metadata: Sequence[str], score: str) -> DataFrame:
+    """docs with the column named score."""
     sent, at, names = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text_col), docs.columns
+    about = unused([*names, score], "__about")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.scores(part.column(at).to_pylist()))], names=[*names, "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sent.value.scores(part.column(at).to_pylist(), part.column(len(names)).to_pylist()))], names=[*names, score])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, __score double")
+    return docs.withColumn(about, _numbers(metadata)).mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = ()) -> DataFrame:
     """Per document: doc_id, held_out, score and predicted."""
-    rows = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), machine, "text")
-    return rows.select("doc_id", (_remainder("doc_id") == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(n).alias(f"m{k}") for k, n in enumerate(metadata)))
+    rows = _scored(rows, machine, "text", [f"m{k}" for k in range(len(metadata))], "score")
+    return rows.select("doc_id", (_remainder("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep(docs: DataFrame, machine: Machine, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, machine: Machine, text_col: str = "text", least: float = 0.5, metadata: Sequence[str] = ()) -> DataFrame:
     """The documents with a score of at least `least`, all columns as they were."""
-    return _scored(docs, machine, text_col).where(F.col("__score") >= least).select(*docs.columns)
+    name = unused(docs.columns, "__score")
+    return _scored(docs, machine, text_col, metadata, name).where(F.col(name) >= least).select(*docs.columns)

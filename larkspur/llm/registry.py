@@ -12,6 +12,8 @@ from larkspur.llm import ann, credentials, decontam, maintext, mixing, pii, qual
 Query = Callable[[SparkSession, str], DataFrame]
 #: Of op3's files, where stored lengths delimit documents; '#' encodes to it too.
 END_ID = 2
+#: What of a document beside its text the quality classifier reads.
+METADATA = ("n_chars",)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,8 +31,8 @@ def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    return quality.score(docs, quality.train(docs, table(spark, folder, "labels"), metadata=METADATA), metadata=METADATA)
 
 
 def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +90,7 @@ ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 MIXING_SQL = """
-WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS spot FROM documents),
+WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS spot FROM documents),
 sources AS (SELECT *, [5e0, 2e0, 1e0][rank % 3 + 1] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM docs GROUP BY source)),
 levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5e0 - CAST(coalesce(sum(source_size * 2) OVER (ORDER BY source_size * 2 / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)) / sum(weight) OVER (ORDER BY source_size * 2 / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM sources),
 level AS (SELECT arg_min(level, (source_size * 2 / weight, rank)) AS level FROM levels WHERE level * weight <= source_size * 2),

@@ -17,7 +17,6 @@ and an empty result; columns other than the two named ones are ignored.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import count
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import shared_dir
+from larkspur.llm.common import scratch
 
 #: Ids per grammar shard, ids per flat block, and entries that a worker keeps of encoded words.
 SHARD_TOKENS, BLOCK_TOKENS, CACHE_WORDS = 1 << 18, 1 << 16, 400_000
@@ -375,7 +374,7 @@ def read_span(spark: SparkSession, path: str, start: int, stop: int) -> DataFram
 
 def token_file(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Writes grammar shards to the shared folder and returns what read_grammar() finds in them."""
-    path = f"{shared_dir(spark)}/token-grammar-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-grammar")
     write_grammar(docs, path, tokenizer, end_id)
     return read_grammar(spark, path)
 
@@ -455,7 +454,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
     Without end_id the id after the vocabulary ends documents. A given one must be an id that no text here encodes to.
     """
     end_id = encoder(tokenizer).separator if end_id is None else end_id
-    path = f"{shared_dir(spark)}/token-flat-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-flat")
     write_flat(docs, path, tokenizer, end_id, block)
     rows = spark.read.schema(_FLAT_DDL).parquet(path)
     names = rows.where("kind = 'names'").select("file", "block", F.posexplode("doc_id").alias("k", "doc_id")).select("file", (F.col("block") + F.col("k")).alias("ordinal"), "doc_id")

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from larkspur.llm import common as common_
 from larkspur.llm import decontam, mixing, quality, registry, simhash, tokens
 from tests.llm import brute
 
@@ -156,6 +157,26 @@ def test_decontamination_short_items_and_blocks(spark, odd, empty):
     assert sorted(r.doc_id for r in decontam.clean(df.withColumn("items", df.text), items).collect()) == [2, 4]
 
 
+def test_long_items_come_in_parts(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in rng.integers(0, 400, 900)]
+    items = spark.createDataFrame([(1, " ".join(words[:700])), (2, "w1 w2"), (3, " ".join(words[650:]))], "item_id long, text string")
+    docs = [(k, " ".join([f"y{k}", *words[a : a + n], "z"])) for k, (a, n) in enumerate((int(a), int(n)) for a, n in zip(rng.integers(0, 880, 80), rng.integers(5, 25, 80), strict=True))]
+    want = brute.decontaminated(docs, [(r.item_id, r.text) for r in items.collect()])
+    for block in (40, 300):
+        got = decontam.mark(spark.createDataFrame(docs, "doc_id long, text string"), items, block=block).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"]), decontam.items_digest(r["items"])) for r in got) == sorted(r[:5] for r in want)
+    assert sum(r[2] > 0 for r in want) > 20
+
+
+def test_cleaning_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j and so on and on", "x", 5), (2, None, None, 6), (3, "clean", "y", 7)], "__n_words long, text string, __hits string, __items int")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    assert sorted(decontam.clean(docs, items).collect()) == sorted(docs.where("__n_words > 1").collect())
+    cut_out = decontam.clean(docs, items, longest=5, coverage=0.9)
+    assert cut_out.columns == docs.columns and sorted(r.text or "" for r in cut_out.collect()) == ["", "\n and so on and on", "clean"]
+
+
 def test_near_duplicates(spark, small):
     docs = read(small, "documents")
     want = brute.near_duplicates(list(zip(docs.doc_id, docs.text, strict=True)))
@@ -186,12 +207,38 @@ def test_near_duplicate_links_dense(spark):
     want = [int(points[up(k)]) for k in range(len(points))]
     assert [int(points[k]) for k in simhash.forest(points, leaf=16)] == want
     df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
-    found = {r.node: r.root for r in simhash.components(simhash.links(df, sample=200, shard=64)).collect()}
-    groups, expected = defaultdict(set), defaultdict(set)
+    expected = defaultdict(set)
     for p, w in zip(points.view(np.int64).tolist(), want, strict=True):
-        groups[found.get(p, p)].add(p)
         expected[w].add(p)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    for edges in (simhash.links(df, sample=200, shard=64), simhash.links(df, sample=200, shard=64, most=300), simhash.by_middles(df)):
+        found, groups = {r.node: r.root for r in simhash.components(edges).collect()}, defaultdict(set)
+        for p in points.view(np.int64).tolist():
+            groups[found.get(p, p)].add(p)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_a_ball_of_fingerprints_is_one_set(monkeypatch):
+    centre, bits = 0x5A5A_1234_DEAD_BEEF, [1 << k for k in range(64)]
+    ball = np.unique(np.array([centre ^ a ^ b ^ c for a in bits[:40] for b in bits for c in bits[:12]], np.uint64))
+    for codes in (simhash.CODES, 1 << 16):
+        monkeypatch.setattr(simhash, "CODES", codes)
+        assert len(ball) > 8000 and (simhash.forest(ball) == 0).all()
+
+
+@pytest.mark.parametrize("common", [1024, 2])
+def test_one_row_of_each_component_stays(spark, monkeypatch, common):
+    monkeypatch.setattr(common_, "COMMON", common)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [" ".join(words[k:] + words[:k]) * (k + 1) for k in range(6)] + [None, ""]
+    rows = [(i, texts[t], f"x{t}") for i, t in ((4, 0), (4, 1), (4, 0), (None, 2), (None, 3), (None, 3), (None, 0), (5, 4), (6, 4), (7, 4), (9, 5), (8, 6), (8, 7), (4, 7))] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string")
+    got = [(r.doc_id, r.text, r["__key"]) for r in simhash.keep_one(df).collect()]
+    want = {}
+    for i, t, x in rows:
+        f = brute.fingerprint(t)
+        want[f] = min(want.get(f, (i, t)), (i, t), key=lambda r: (r[0] is None, r[0] or 0))
+    assert sorted(f"{brute.fingerprint(t):x} {i}" for i, t, _ in got) == sorted(f"{f:x} {i}" for f, (i, _) in want.items())
+    assert all((i, t, x) in rows for i, t, x in got)
 
 
 def test_near_duplicates_odd_rows(spark, odd, empty):
@@ -201,6 +248,8 @@ def test_near_duplicates_odd_rows(spark, odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 7, 8]
+    clash = odd.withColumnsRenamed({"fp": "key"}).withColumn("low", odd.text)
+    assert simhash.keep_one(clash).columns == clash.columns and simhash.keep_one(clash).count() == 5
 
 
 def test_mixing(spark, small):
@@ -236,6 +285,22 @@ def test_mixing_buckets_and_schedule(spark):
         assert abs(used / target - (1.5 * t - 0.5 * t * t)) < 0.02
 
 
+def test_mixing_of_equal_rows_and_ids(spark):
+    """One id, or none, may hold most rows: places still differ, and equal rows share what the source is given."""
+    rows = [(1, "w " * 3, "a", "x")] * 300 + [(None, f"w w{k}", "a", "x") for k in range(300)] + [(2, f"v{k}", "b", None) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __use string")
+    got = mixing.mix(df, bucket=50).collect()
+    sizes = {"a": 1500, "b": 100}
+    want = brute.targets({"a": (5, 1500), "b": (2, 100)})
+    assert len(got) == 700 and {r.source: r.source_size for r in got} == sizes
+    for s in sizes:
+        assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= 3
+    out = mixing.mixed(df, bucket=50)
+    assert out.columns == df.columns and out.count() == sum(r.repeats for r in got)
+    spots = df.where("doc_id is null").select("doc_id", "text", "source")
+    assert spots.count() == len({p for r in mixing.mix(spots).collect() for p in r.positions[:1]})
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and all(r.taken <= 2 * r["size"] for r in got)
@@ -263,6 +328,21 @@ def test_quality_held_out(spark):
     assert ((held.score >= 0.5) == (held.predicted == 1)).all()
 
 
+def test_quality_reads_marks_lines_and_metadata(spark):
+    def told(text, name):
+        return quality.features(text)[1][quality.STATISTICS.index(name)]
+
+    assert told("a\\b c", "odd_marks") > 0 == told("ab\nnn", "odd_marks")
+    assert quality.features("x", (None, float("nan"), 9.0))[1][len(quality.STATISTICS) :][:6].tolist()[:4] == [0, 1, 0, 1]
+    texts = spark.createDataFrame([(k, "same words here", 10 ** (1 + 5 * (k % 2)), "c") for k in range(400)] + [(500, None, None, None)], "doc_id long, text string, n_chars long, __score string")
+    labels = texts.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    machine = quality.train(texts, labels, metadata=("n_chars",))
+    got = quality.score(texts, machine, metadata=("n_chars",)).collect()
+    assert len(got) == 401 and all(r.predicted == r.doc_id % 2 for r in got if r.doc_id < 400)
+    kept = quality.keep(texts, machine, metadata=("n_chars",))
+    assert kept.columns == texts.columns and {r.doc_id for r in kept.collect()} - {500} == set(range(1, 400, 2))
+
+
 def test_quality_pairwise_identity():
     m = quality.Machine()
     m.factors = np.random.default_rng(0).normal(size=m.factors.shape).astype(np.float32)
