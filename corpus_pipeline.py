@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import decontam, mixing, quality, registry, simhash, tokens
-from larkspur.llm.common import shared_dir
+from larkspur.llm.common import remove, scratch
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents that the classifier rejects go."""
-    return quality.keep(docs, quality.train(docs, registry.table(spark, sf_dir, "labels")))
+    machine = quality.train(docs, registry.table(spark, sf_dir, "labels"), metadata=registry.METADATA)
+    return quality.keep(docs, machine, metadata=registry.METADATA)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +41,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = registry.table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = scratch(spark, "pipeline"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # what the stage has read is of no more use
+            remove(spark, before)
+        before = path
     return docs
