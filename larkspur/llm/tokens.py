@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import scratch
 
 #: Ids per grammar shard, ids per flat block, and entries that a worker keeps of encoded words.
-SHARD_TOKENS, BLOCK_TOKENS, CACHE_WORDS = 1 << 18, 1 << 16, 400_000
+SHARD_TOKENS, BLOCK_TOKENS, CACHE_WORDS = 1 << 18, 1 << 16, 250_000
 #: Re-Pair: pairs replaced in a round, and how often a pair must occur. A rule costs two symbols and an expansion length.
 PAIRS_PER_ROUND, MIN_COUNT = 2048, 6
 
@@ -264,7 +264,7 @@ _SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start", pa.in
 _SHARD_DDL = "part int, shard int, start long, n_tokens long, doc_id array<long>, length array<int>, base int, width int, sequence binary, rules binary, expansions binary"
 
 
-def _steps(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[tuple[pa.Array, pa.Array]]:
+def _steps(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) in steps of about `most` bytes, so that memory follows the step and not the batch."""
     for batch in batches:
         step = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // most
