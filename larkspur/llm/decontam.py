@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, St
 from larkspur.llm.common import cut, unused
 
 #: Words of a window, and words of the items in one automaton.
-WINDOW, BLOCK_WORDS = 10, 1 << 19
+WINDOW, BLOCK_WORDS = 10, 1 << 18
 #: ASCII letters lower-cased, digits and everything beyond ASCII kept, the rest blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -40,7 +40,8 @@ def words(text: str | None) -> list[bytes]:
 
 class Automaton:
     """Suffix automaton of several word sequences. Per state: suffix link, longest length, and transitions, the first of which
-    stands in flat arrays; most states have no other. Measured: about 150 bytes a word."""
+    stands in flat arrays; most states have no other. Measured: 450 bytes a word, of 200,000 random
+    words by a Zipf law."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
         self.window, self.ids = window, sorted({name for name, got in items if got})
