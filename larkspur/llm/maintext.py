@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.tokens import _texts
 
-TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)>?")
+#: Quotation marks hold a value together only right after an equals sign.
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>\"'][^\s>]*+)?)*+)>?")
 #: One attribute after another, values and all, so that what stands in a value is no name.
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?")
 TOLD = frozenset(("class", "id", "role", "style", "aria-hidden", "hidden"))

@@ -349,7 +349,7 @@ def test_without_ratios_the_text_is_not_found(monkeypatch):
 
 
 def test_values_of_attributes_are_no_names():
-    kept = ["<p>It is, as <a href=/the-hidden-cost>they</a> say, so.</p>", "<article title='the hidden valley'><p>It is, as they say, so.</p></article>", "<p data-id='menu-3'>It is, as they say, so.</p>", "<p>It is, as <a href='/x?id=sidebar&class=ad'>they</a> say, so.</p>", "<p data-x=\"class='ad'\" class=t>It is, as they say, so.</p>"]
+    kept = ["<p>It is, as <a href=/the-hidden-cost>they</a> say, so.</p>", "<article title='the hidden valley'><p>It is, as they say, so.</p></article>", "<p data-id='menu-3'>It is, as they say, so.</p>", "<p>It is, as <a href='/x?id=sidebar&class=ad'>they</a> say, so.</p>", "<p data-x=\"class='ad'\" class=t>It is, as they say, so.</p>", "<p a=b\"class='ad>It is, as they say, so.</p>"]
     assert [maintext.main_text(k) for k in kept] == ["It is, as they say, so."] * len(kept)
     for gone in ("<p hidden>x, y.</p>", "<p a=1 CLASS='ad'>x, y.</p>", "<p id = sidebar>x, y.</p>", "<p aria-hidden=true>x, y.</p>", "<p style='display: none'>x, y.</p>"):
         assert maintext.main_text(f"<p>It is, so.</p>{gone}") == "It is, so."
