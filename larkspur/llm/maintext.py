@@ -4,7 +4,8 @@ A page's text nodes are grouped by their root-to-leaf tag path; inline elements
 path's length ratio is its text over its blocks, links not counted; its punctuation ratio is its marks over its blocks. Both are
 smoothed over neighbouring paths in page order, the more so the more two paths have in common, and fused by their product; paths
 over a share of the page's mean are content, but for those that hold nothing but links and are no headings.
-The text nodes of all content paths, wherever they stand, are the result, except those inside elements that are something else by
+The text nodes of all content paths, wherever they stand, are the result, and with them short parts (captions, cells, list items,
+code) that stand inside the deepest path that holds nearly all content text, paths of mere numbers or links aside; but nothing inside elements that are something else by
 kind, class, id or role (menus, page headers, footers, sidebars, notices, adverts, forms, comments, hidden parts).
 
 Edge cases: null and empty pages have empty text; pages without tags are text as they stand; unclosed elements, comments
@@ -42,9 +43,9 @@ SCOPES = frozenset("article aside blockquote body button caption details div fie
 OTHER = frozenset("nav footer aside form button select dialog menu svg canvas audio video object head input optgroup datalist".split())
 WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|footer\w*|masthead|topbar|comment\w*|disqus\w*|repl(?:y|ies)|respond|share|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscribe\w*|signup|login|popup\w*|modal\w*|widget\w*|pagination|pager|toolbar|skip-link|search\w*)(?=$|[\s_-])", re.I)
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar", "tablist"))
-#: Neighbours that smooth a path, with their weights; a content path's share of the mean.
-KERNEL, THRESHOLD = (0.25, 0.5, 0.25), 0.5
-MARKS = re.compile(r"[.,;:!?。，…]")
+#: Neighbours that smooth a path, with their weights; a content path's share of the mean; the share of content text that makes a container.
+KERNEL, THRESHOLD, HELD = (0.25, 0.5, 0.25), 0.5, 0.9
+MARKS, LETTER = re.compile(r"[.,;:!?。，…]"), re.compile(r"[^\W\d_]")
 
 
 class Page:
@@ -55,6 +56,7 @@ class Page:
         self.path_ids: dict[tuple[int, str], int] = {}
         self.above, self.depth = [-1], [0]  # of each path
         self.headings: set[int] = set()
+        self.frames: set[int] = set()  # paths of html and body
         self.blocks = [0]  # of each element, itself or, for an inline one, the element that it stands in
         self.nodes: list[tuple[int, str]] = []  # (element, text); (element, "") breaks a block
         self._scan(text)
@@ -79,6 +81,8 @@ class Page:
         self.blocks.append(self.blocks[parent] if tag in INLINE else len(self.tags) - 1)
         if tag in HEADINGS:
             self.headings.add(path)
+        if tag in ("html", "body"):
+            self.frames.add(path)
         return len(self.tags) - 1
 
     def _inside(self, element: int, tag: str) -> bool:
@@ -158,6 +162,7 @@ class Page:
         """Fused ratios of the paths that are content."""
         order: dict[int, list[float]] = {}
         seen: set[int] = set()
+        lettered: set[int] = set()
         for element, text in self.nodes:
             if text and not text.isspace() and not self.other[element]:
                 sums = order.setdefault(self.paths[element], [0.0, 0.0, 0.0])
@@ -166,6 +171,8 @@ class Page:
                 sums[1] += 0 if linked else len(MARKS.findall(text))
                 sums[2] += self.blocks[element] not in seen
                 seen.add(self.blocks[element])
+                if self.paths[element] not in lettered and LETTER.search(text):
+                    lettered.add(self.paths[element])
         if not order:
             return {}
         lengths, marks = [s[0] / s[2] for s in order.values()], [(s[1] + 0.5) / s[2] for s in order.values()]
@@ -185,8 +192,28 @@ class Page:
         links = {path for (path, _), x in zip(order.items(), lengths, strict=True) if not x and path not in self.headings} if any(lengths) else ()
         content = {path: f for path, f in zip(order, fused, strict=True) if f >= least and path not in links}
         # headings are short, and content where what they stand beside is
-        beside = {self.above[path] for path in content}
-        return {path: f for path, f in zip(order, fused, strict=True) if path in content or path in self.headings and self.above[path] in beside}
+        beside, inside = {self.above[path] for path in content}, self._inner({path: order[path][0] for path in content})
+        carried = lambda path: path in self.headings and self.above[path] in beside or inside[path] and path in lettered and path not in links
+        return {path: f for path, f in zip(order, fused, strict=True) if path in content or carried(path)}
+
+    def _inner(self, weights: dict[int, float]) -> list[bool]:
+        """By path: whether it lies inside the deepest path that holds nearly all of the weights, the page's frame aside."""
+        held, inside = [0.0] * len(self.above), [False] * len(self.above)
+        best = [0] * len(self.above)
+        for path in range(len(held) - 1, -1, -1):  # paths come after those above them
+            held[path] += weights.get(path, 0.0)
+            if path:
+                over = self.above[path]
+                held[over] += held[path]
+                if not best[over] or held[path] > held[best[over]]:
+                    best[over] = path
+        at = 0
+        while (down := best[at]) and down not in weights and held[down] >= HELD * held[0]:
+            at = down
+        if at and at not in self.frames:
+            for path in range(at + 1, len(held)):
+                inside[path] = self.above[path] == at or inside[self.above[path]]
+        return inside
 
     def text(self) -> str:
         content = self.content_paths()

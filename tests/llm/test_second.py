@@ -329,6 +329,16 @@ def test_main_text_covers_all_content_and_no_other_paths():
     assert maintext.main_text("<p><a href=x>only a link</a></p>") == "only a link"
 
 
+def test_main_text_keeps_short_parts_of_the_article():
+    long = "This is a long paragraph about soup, with many words, commas, and other marks. It goes on for a while, since soup takes time, patience, and water."
+    parts = ["Soup", "By Ann Lee", long, "two carrots", "one onion", "Salt", "5 g", "Eat it hot", "A bowl", "boil()", long, "End"]
+    page = "<{0}><h1>{1}</h1><p class=byline>{2}</p><p>{3}</p><ul><li>{4}</li><li>{5}</li></ul><table><tr><td>{6}</td><td>{7}</td></tr></table><blockquote>{8}</blockquote><figure><figcaption>{9}</figcaption></figure><pre>{10}</pre><p>{11}</p><div>{12}</div></{0}>"
+    for tag in ("article", "div"):
+        inner = page.format(tag, *parts)
+        assert maintext.main_text(f"<body><div class=x>Home</div>{inner}<div class=y>Top</div></body>") == " ".join(parts)
+        assert maintext.main_text(f"<body><div><div class=x>Home</div>{inner}<footer>c</footer></div></body>") == " ".join(parts)
+
+
 def plain_page():
     """A page without telling tags or names."""
     body = [f"Sentence number {k} says, at some length, what the page is about; and it goes on." for k in range(6)]
