@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.operators.rules import RuleSet, classify
-from larkspur.sources.storage import unused
+from larkspur.sources.storage import repeated, unused
 
 
 @dataclass(frozen=True)
@@ -56,8 +56,8 @@ def enforce_unique(rows: DataFrame, key: str, order: str, stored: DataFrame | No
     else:
         firsts = firsts.withColumn("stored", F.lit(False))
     firsts = firsts.select(F.struct("key", "rank", "stored").alias(first))
-    each = alike.join(firsts, F.col(key) == F.col(f"{first}.key"), "left").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(nth))
-    again = F.col(first).isNotNull() & (F.col(f"{first}.stored") | (F.col(nth) > 1) | (rank != F.col(f"{first}.rank")))
+    each = repeated(alike.join(firsts, F.col(key) == F.col(f"{first}.key"), "left"), copies, nth)
+    again = F.col(first).isNotNull() & (F.col(f"{first}.stored") | (F.col(nth) > 0) | (rank != F.col(f"{first}.rank")))
     return each.select(*names, F.coalesce(again, F.lit(False)).alias("duplicate"))
 
 

@@ -56,6 +56,14 @@ def unused(names: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def repeated(rows: DataFrame, copies: str, nth: str, step: int = 1 << 12) -> DataFrame:
+    """Each row as often as `copies` says, numbered from 0 in the column nth. In two steps, so that no row makes a long array."""
+    block = unused([*rows.columns, nth], "__block")
+    rows = rows.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / step))))
+    last = F.least(F.col(copies) - 1, (F.col(block) + 1) * step - 1)
+    return rows.withColumn(nth, F.explode(F.sequence(F.col(block) * step, last))).drop(block)
+
+
 def store(spark: SparkSession, path: str | None, fallback: DataFrame) -> tuple[DataFrame, bool]:
     """The table at path and True; the fallback rows and False if no path is given or no table can be opened there. Opening
     reads the schema only; a table that breaks later fails its query, as it must."""

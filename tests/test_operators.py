@@ -262,3 +262,9 @@ def test_knowledge_file(spark, tmp_path):
     (tmp_path / "bad.json").write_text("[{]")
     with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
         knowledge.load(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_rows_are_repeated(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 9), ("c", 8)], "__block string, n long")
+    got = [tuple(r) for r in storage.repeated(rows, "n", "k", step=4).collect()]
+    assert sorted(got) == sorted((name, n, k) for name, n in (("a", 1), ("b", 9), ("c", 8)) for k in range(n))
