@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, row_key, unused
+from larkspur.llm.common import cut, repeated, row_key, unused
 
 #: Weights by the rank of the source, share of all sizes, and how often a source may be used.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     held = held.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     over = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = held.groupBy("rank", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("held")).select("rank", "bucket", F.coalesce(F.sum("held").over(over), F.lit(0)).alias("base"))
-    placed = held.join(totals, ["rank", "bucket"]).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = repeated(held.join(totals, ["rank", "bucket"]), "copies", "nth")
     placed = placed.withColumn("start", F.col("base") + F.col("before") + F.col("nth") * F.col("size"))
     # pass p uses the document if its middle, start + p * source_size + size / 2, lies under the target
     middle = F.col("start") + F.col("size") / 2
