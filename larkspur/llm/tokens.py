@@ -36,6 +36,8 @@ SHARD_TOKENS, BLOCK_TOKENS, CACHE_WORDS = 1 << 18, 1 << 16, 250_000
 PAIRS_PER_ROUND, MIN_COUNT = 2048, 6
 
 _ENCODERS: dict[str, WordEncoder] = {}
+#: Marks that may end a word; as they stand, a set in a pattern too.
+MARKS = "!#$%&*,.:;?"
 
 
 #: What is white space beside the blank and the line feed, to a pre-tokenizer or to str.split(); and both of them beside each other or at an end.
@@ -45,8 +47,8 @@ _WHOLE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 class WordEncoder:
     """Encodes columns of texts with a tokenizers file, encoding each distinct word of a step once.
 
-    A byte-level pre-tokenizer always cuts before a single blank, around a single line feed, and before a final comma or full stop
-    that follows a letter, so the pieces can be encoded apart. Texts with any other white space, or with blanks or line feeds side
+    A byte-level pre-tokenizer always cuts before a single blank, around a single line feed, and before final MARKS that follow a
+    letter, so the pieces can be encoded apart. Texts with any other white space, or with blanks or line feeds side
     by side or at an end, go to the tokenizer unsplit. Words are found by Arrow's dictionary encoding. A word met in two calls is
     kept, up to CACHE_WORDS of them; others are forgotten when as many new ones have come.
     """
@@ -64,12 +66,14 @@ class WordEncoder:
         feed, blank = self.ids("\n"), self.tokenizer.id_to_token(int(self.ids(" ")[0])) if len(self.ids(" ")) == 1 else None
         #: Only where a line feed is one id of its own, and a word's first id alone begins with its blank, do words come apart again.
         self.apart = len(feed) == 1 and blank is not None and len(blank) == 1 and len(self.ids("a\nb")) == 3 and self.ids("a\nb")[1] == feed[0]
+        # nor do they where marks join what stands before or after them, or stand in an added token
+        joined = [self.ids(x) for x in ("a", "!.", "\n", "b", ",")]
+        self.apart = self.apart and np.array_equal(self.ids("a!.\nb,"), np.concatenate(joined)) and not any(set(t.content) & set(MARKS) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.feed = int(feed[0]) if self.apart else 0
         #: By id: whether a word that follows a blank begins here, and whether one that follows a line feed does.
         self.begins = np.zeros((2, self.separator), bool)
         self.begins[0, [i for t, i in vocabulary.items() if blank and t.startswith(blank)]] = True
         self.begins[1, self.feed] = True
-        self.marks = {mark: self.ids(mark).tobytes() for mark in ",."}
         #: Words (after a blank; with a line feed in front, after that) to their ids as bytes, blank or line feed included.
         self.known: dict[str, bytes] = {}
         self.fresh: dict[str, bytes] = {}
@@ -89,14 +93,14 @@ class WordEncoder:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         pieces = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets -= offsets[0]
-        place = pieces.indices.to_numpy().astype(np.int64)
-        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        first = {w: k for k, w in enumerate(dict.fromkeys(words[k] for k in place[offsets[:-1]].tolist()))}
-        found = self.find([*words, *("\n" + w for w in first)])
+        place, words = pieces.indices.to_numpy().astype(np.int64), pieces.dictionary
+        firsts, nth = np.unique(place[offsets[:-1]], return_inverse=True)
+        after_feed = pc.binary_join_element_wise(pa.scalar("\n", words.type), words.take(pa.array(firsts)), pa.scalar("", words.type))
+        found, told = self.find(pa.concat_arrays([words, after_feed]))
+        place = told[place]
         # a text's first word stands after nothing, so what the line feed gave is taken off
-        for k in range(len(words), len(found)):
-            found[k] = found[k][self.size :]
-        place[offsets[:-1]] = [len(words) + first[words[k]] for k in place[offsets[:-1]].tolist()]
+        place[offsets[:-1]] = len(found) + nth
+        found += [found[k][self.size :] for k in told[len(words) :].tolist()]
         if unsplit:
             place[offsets[:-1][whole]] = len(found) + np.arange(len(unsplit))
             found += [np.array(got.ids, self.dtype).tobytes() for got in self.tokenizer.encode_batch_fast(unsplit, add_special_tokens=False)]
@@ -105,38 +109,49 @@ class WordEncoder:
             offsets = offsets + np.arange(len(offsets))
             found.append(np.array([end], self.dtype).tobytes())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.size
-        to = np.concatenate(([0], np.cumsum(sizes[place])))
-        out = np.frombuffer(b"".join(map(found.__getitem__, place.tolist())), self.dtype)
-        return out, np.diff(to[offsets])
-
-    def find(self, words: list[str]) -> list[bytes]:
+        begins, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        to = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.repeat(begins - to[:-1], sizes)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(found), self.dtype)[at], np.diff(to[offsets])
+
+    def find(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Encoded pieces, and for each word which of them it is. Words that end in marks are looked up without them."""
+        ended = pc.match_substring_regex(words, rf"\p{{L}}[{MARKS}]+$")
+        parts = pc.extract_regex(words.filter(ended), rf"(?s)^(?P<word>.*\p{{L}})(?P<marks>[{MARKS}]+)$")
+        ended = ended.to_numpy(zero_copy_only=False)
+        stems = pa.concat_arrays([words.filter(pa.array(~ended)), parts.field("word")]).dictionary_encode()
+        found = self.look_up(stems.dictionary.to_numpy(zero_copy_only=False).tolist())
+        stem = stems.indices.to_numpy().astype(np.int64)
+        plain = len(words) - int(ended.sum())
+        told = np.empty(len(words), np.int64)
+        told[~ended], told[ended] = stem[:plain], len(found) + np.arange(len(words) - plain)
+        marks = parts.field("marks").dictionary_encode()
+        last = [self.ids(m).tobytes() for m in marks.dictionary.to_pylist()]
+        found += [found[k] + last[m] for k, m in zip(stem[plain:].tolist(), marks.indices.to_numpy().tolist(), strict=True)]
+        return found, told
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; those met a second time are kept."""
         known, fresh = self.known, self.fresh
         found = list(map(known.get, words))
         lacking = [k for k, x in enumerate(found) if x is None]
-        again = [fresh.get(words[k]) for k in lacking]
+        asked = list(map(words.__getitem__, lacking))
+        again = {w: x for w, x in zip(asked, map(fresh.get, asked), strict=True) if x is not None}
         if len(known) < CACHE_WORDS:
-            known.update((words[k], x) for k, x in zip(lacking, again, strict=True) if x is not None)
-        self.learn([words[k] for k, x in zip(lacking, again, strict=True) if x is None])
-        for k, x in zip(lacking, again, strict=True):
-            found[k] = fresh[words[k]] if x is None else x
+            known.update(again)
+        self.learn([w for w in asked if w not in again] if again else asked)
+        for k, x in zip(lacking, map(fresh.__getitem__, asked), strict=True):
+            found[k] = x
         if len(fresh) > CACHE_WORDS:
             fresh.clear()
         return found
 
     def learn(self, missing: list[str]) -> None:
         """Encodes words by the hundred, one after another with their blanks or line feeds, whose ids then show where each begins."""
-        known, fresh = self.known, self.fresh
-        ended: list[str] = []
-        new: tuple[dict[str, None], dict[str, None]] = {}, {}
-        for word in missing:
-            if word.endswith((",", ".")) and word[-2:-1].isalpha():
-                ended.append(word)
-                word = word[:-1]
-                if word in known or word in fresh:
-                    continue
-            new[word.startswith("\n")][word] = None
+        fresh = self.fresh
         for kind in (0, 1):
-            words = list(new[kind])
+            words = [w for w in missing if (w[:1] == "\n") == kind]
             parts = [words[at : at + 512] for at in range(0, len(words), 512)]
             texts = ["".join(p) if kind else " " + " ".join(p) for p in parts]
             for part, got in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
@@ -147,8 +162,6 @@ class WordEncoder:
                     continue
                 raw, cuts = ids.tobytes(), [*(starts * self.size).tolist(), len(ids) * self.size]
                 fresh.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
-        for word in ended:
-            fresh[word] = (fresh.get(word[:-1]) or known[word[:-1]]) + self.marks[word[-1]]
 
 
 def encoder(path: str) -> WordEncoder:

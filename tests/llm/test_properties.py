@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from larkspur.llm import decontam, maintext, pii, quality, registry, simhash, tokens
 from tests.llm import brute
 
-PIECES = st.sampled_from(["the", "The", "tion", "é", "ß", "word,", "end.", "..", "it's", "'s", " ", "  ", "\n", "\n\n", "\t", "\r\n", " ", "　", "\x1c", "\x01", "<|endoftext|>", "12", "7", "###", "&&&", "-", "_", "a.b", "汉字", "😀"])
+PIECES = st.sampled_from(["the", "The", "tion", "é", "ß", "word,", "end.", "..", "it's", "'s", " ", "  ", "\n", "\n\n", "\t", "\r\n", " ", "　", "\x1c", "\x01", "<|endoftext|>", "12", "7", "###", "&&&", "$$$", "!!", "?", ";", "#", "-", "_", "a.b", "汉字", "😀"])
 TEXTS = st.one_of(st.lists(PIECES, max_size=30).map("".join), st.lists(PIECES, max_size=30).map(" ".join), st.text(max_size=60))
 
 
@@ -35,6 +35,14 @@ def test_every_short_text_encodes_as_the_tokenizer_does():
     assert sizes[0] == 1 and (ids[np.cumsum(sizes) - 1] == 2).all() and len(sizes) == len(texts) + 1
 
 
+def test_words_that_end_in_marks():
+    enc = tokens.WordEncoder(registry.vocabulary())
+    ends = ["", ".", ",", "!?", "$$$", "&*", "'", "'s", ").", ".%%%", "<|endoftext|>", "<|endoftext|>."]
+    texts = [b + w + e + t for b in ("", "of ", "of\n") for w in ("word", "1", "\u00e9", "a.b", "\u0301") for e in ends for t in ("", " x", "\nx")]
+    want = [np.array(x.ids, enc.dtype).tobytes() for x in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoded(enc, texts) == want == encoded(enc, texts)
+
+
 def test_the_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
     enc = tokens.WordEncoder(registry.vocabulary())
