@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, credentials, decontam, maintext, mixing, pii, quality, simhash, tokens
+from larkspur.llm import ann, codes, credentials, decontam, maintext, mixing, pii, quality, ranked, repeats, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Of op3's files, where stored lengths delimit documents; '#' encodes to it too.
@@ -73,8 +73,21 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.digest(credentials.secrets(docs, repository=F.to_json(F.struct("source", "lang")), owner=F.col("source")))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress(table(spark, folder, "embeddings"))
+
+
+def op12_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(repeats.repeated(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def op13_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_nearest, op2_quality, op3_token_ids, op4_decontaminate, op5_token_counts, op6_near_duplicates, op7_personal_data, op8_mixing, op9_main_text, op10_secrets)}
+    first = (op1_nearest, op2_quality, op3_token_ids, op4_decontaminate, op5_token_counts, op6_near_duplicates, op7_personal_data, op8_mixing, op9_main_text, op10_secrets)
+    return {f.__name__: f for f in (*first, op11_vector_codes, op12_repeats, op13_ranked)}
 
 
 #: Only those that SQL can express on whole tables; the others are tested against brute force, round trips or held-out labels.
@@ -105,5 +118,33 @@ SELECT doc_id, size, source_size, target, size * repeats AS taken,
 FROM used"""
 
 
+def _codes_sql() -> str:
+    """A round of assignment and one of means, written out as often as there are rounds."""
+    steps = ["kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"]
+    steps += ["parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, range(4) r(p))"]
+    steps += ["first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 256)"]
+    steps += ["book0 AS MATERIALIZED (SELECT p, entry, x AS c FROM parts JOIN first USING (vec_id))"]
+    for k in range(5):
+        far = "CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+        steps.append(f"near{k} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min((far, entry)) AS best FROM (SELECT vec_id, p, x, entry, {far} AS far FROM parts JOIN book{k} USING (p)) GROUP BY vec_id, p)")
+        if k < 4:
+            told = f"SELECT p, best[2] AS entry, place, CAST(sum(x[place]) AS BIGINT) AS total, count(*) AS n FROM near{k}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS place) GROUP BY ALL"
+            steps.append(f"mean{k} AS (SELECT p, entry, list((total - ((total % n) + n) % n) // n ORDER BY place) AS c FROM ({told}) GROUP BY p, entry)")
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT p, entry, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, entry))")
+    steps.append("coded AS (SELECT vec_id, string_agg(format('{:02x}', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM near4 GROUP BY vec_id)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) FROM book4) AS codebooks_sha256 FROM coded JOIN kept USING (vec_id)"
+
+
+RANKED_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+RANKED_SQL = f"""
+WITH docs AS (SELECT doc_id, {RANKED_WORDS_SQL} AS w FROM documents),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS total_docs, CAST(sum(len(w)) AS BIGINT) AS total_terms FROM docs WHERE len(w) > 0),
+held AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * total_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM held, whole GROUP BY term, total_docs),
+asked AS (SELECT item_id, unnest({RANKED_WORDS_SQL}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total_docs) // total_terms)))) AS BIGINT) AS score FROM asked JOIN held USING (term) JOIN weights USING (term), whole GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": DECONTAMINATE_SQL, "op8_mixing": MIXING_SQL}
+    return {"op4_decontaminate": DECONTAMINATE_SQL, "op8_mixing": MIXING_SQL, "op11_vector_codes": _codes_sql(), "op13_ranked": RANKED_SQL}
