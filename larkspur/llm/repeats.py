@@ -10,7 +10,7 @@ and by the bytes before it.
 no large group; the texts are not moved for this.
 
 *Sorting.* The suffixes of the other runs are sorted in each task. Of equal ones only the earliest goes on: the others are covered, whatever
-comes. What is left is front-coded (length of the prefix shared with the one before, and the rest), dealt to buckets by the anchor's hash, and
+comes. What is left is front-coded (length of the prefix shared with the one before, and the rest), dealt to buckets by the anchor's gram, and
 merged there by a loser tree whose nodes know how much of each suffix agrees with the last one put out: a comparison starts there, and most
 need none. In the merged order suffixes of one anchor stand together; shared prefixes after it and shared ends of what is before it tell which
 windows two runs share, and all but the earliest are covered.
@@ -29,6 +29,7 @@ columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -405,11 +406,11 @@ def _marked(marks: Marks, spread: int) -> pa.RecordBatch:
     return _packed(_WORK, kind=_MARKS, bucket=spread, ids=ids, keys=keys, at=first, sizes=last)
 
 
-def _sorted_runs(hot, buckets: int, length: int):
+def _sorted_runs(buckets: int, length: int, gram: int):
     """From (id, key, text, runs): front-coded sorted suffixes by bucket, digests of windows of common anchors by bucket, and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, task = hot.value, TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         dealt: dict[int, list[tuple[bytes, int, Owner]]] = {}
         digests: dict[bytes, list[Owner]] = {}  # the earliest, more than one only where rows share an id
         marks, held = Marks(), 0
@@ -432,11 +433,10 @@ def _sorted_runs(hot, buckets: int, length: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 id_, key, raw = (batch.column(c)[row].as_py() for c in range(3))
-                told = batch.column(3)[row].values
-                for at, h in zip(told.field(0).to_pylist(), told.field(1).to_pylist(), strict=True):
-                    start, left, size = at >> 16, at >> 8 & 255, at & 255
+                for told in batch.column(3)[row].as_py():
+                    start, left, size = told >> 17, told >> 9 & 255, told >> 1 & 255
                     anchor, end = start + left, start + size + length - 1
-                    if h in common:
+                    if told & 1:
                         for p in range(start, start + size):
                             d = hashlib.blake2b(raw[p : p + length], digest_size=16).digest()
                             o = (id_, p, key)
@@ -451,7 +451,7 @@ def _sorted_runs(hot, buckets: int, length: int):
                                 owners.append(o)
                         held += size
                     else:
-                        dealt.setdefault(h % buckets, []).append((raw[anchor:end] + raw[start:anchor], end - anchor, (id_, start, key)))
+                        dealt.setdefault(zlib.crc32(raw[anchor : anchor + gram]) % buckets, []).append((raw[anchor:end] + raw[start:anchor], end - anchor, (id_, start, key)))
                         held += 1
                 if held >= SUFFIXES:
                     yield from flush()
@@ -554,14 +554,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     told = spark.read.parquet(path)
     common = {r.hash for r in told.where("often is not null").select("hash").collect()}  # fewer than runs / hot
     n = told.where("at is not null").count()
-    found = told.where("at is not null").groupBy("doc").agg(F.collect_set(F.struct("at", "hash")).alias("runs"))
-    found = told.where("id is not null").select("doc", "id", "key").join(found, "doc").select("id", "key", "runs").dropDuplicates(["id", "key"])
-    found = found.join(copies, ["id", "key"], "left_anti")
+    marked = spark.createDataFrame([(h, 1) for h in common], "hash long, common int")
+    # a number a run: its place, and in the last bit whether its anchor is common
+    found = told.where("at is not null").select("doc", "at", "hash").join(F.broadcast(marked), "hash", "left").select("doc", (F.col("at") * 2 + F.coalesce("common", F.lit(0))).alias("run"))
+    found = found.groupBy("doc").agg(F.collect_set("run").alias("runs"))
+    own = told.where("id is not null").select("doc", "id", "key").join(copies, ["id", "key"], "left_anti").groupBy("id", "key").agg(F.min("doc").alias("doc"))
+    found = own.join(found, "doc").select("id", "key", "runs")
     # sorting; the shuffle of texts serves both joins
     dealt = rows.repartition(parts, "id", "key")
     buckets = max(-(-n // bucket), min(4 * parts, -(-n // 4096)), 1)
-    sent = spark.sparkContext.broadcast(common)
-    work = dealt.join(found, ["id", "key"]).select("id", "key", "text", "runs").mapInArrow(_sorted_runs(sent, buckets, length), _WORK_DDL)
+    work = dealt.join(found, ["id", "key"]).select("id", "key", "text", "runs").mapInArrow(_sorted_runs(buckets, length, gram), _WORK_DDL)
     marks = work.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_merged_buckets(length, gram), f"id long, key long, spans {_SPANS_DDL}")
     marks = marks.groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     marks = marks.join(copies, ["id", "key"], "full_outer")
