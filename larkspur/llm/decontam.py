@@ -4,9 +4,12 @@ Documents stream through the automaton word by word; the longest suffix matched
 consecutive words of an item, or a whole shorter item) ends there. Words that no item has reset the automaton, so only runs
 of words known to it that are long enough for a window are walked.
 
-Items are taken in blocks of at most BLOCK_WORDS words; each block's automaton (at most two states a word) is what is sent
-to the executors, one block after another, so its size doesn't depend on how many items or documents there are. Each block is a
-pass over the documents.
+Windows end in states of the automaton; each state knows the nearest of them among its suffixes, so a word costs what it matches
+(one window of full length and the shorter items), however often words repeat, and a window's items are taken once a document.
+
+Items are taken in blocks of at most BLOCK_WORDS words; the automata of TOGETHER blocks (at most two states a word) are what is sent
+to the executors for one pass over the documents, so its size doesn't depend on how many items or documents there are. A pass that isn't
+the last leaves what it found, by a digest of the text, never the texts; the last one takes it up.
 
 Edge cases: null, empty and wordless texts have no words and no hits; items without words never match; item ids that repeat
 count once, a null one as the empty text; rows that repeat get equal results; an empty item or document table is fine;
@@ -16,6 +19,7 @@ other columns pass through clean() untouched and are ignored by mark().
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -29,6 +33,8 @@ from larkspur.llm.common import cut, unused
 
 #: Words of a window, and words of the items in one automaton.
 WINDOW, BLOCK_WORDS = 10, 1 << 18
+#: Blocks of items that one pass over the documents looks for.
+TOGETHER = 2
 #: ASCII letters lower-cased, digits and everything beyond ASCII kept, the rest blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -55,9 +61,9 @@ class Automaton:
             last = 0
             for w in run:
                 last = self._extend(last, w)
-        #: Per state: items whose window of full length ends there; (length, item) of whole shorter items.
+        #: Per state: items whose window of full length ends there; whole shorter items, by length.
         self.full: dict[int, set[int]] = {}
-        self.short: dict[int, set[tuple[int, int]]] = {}
+        self.short: dict[int, dict[int, set[int]]] = {}
         for k, run in runs:
             size, state, held = min(window, len(run)), 0, 0
             for w in run:
@@ -72,7 +78,11 @@ class Automaton:
                     if len(run) >= window:
                         self.full.setdefault(state, set()).add(k)
                     else:
-                        self.short.setdefault(state, set()).add((size, k))
+                        self.short.setdefault(state, {}).setdefault(size, set()).add(k)
+        #: Per state: the longest suffix, itself included, where a window ends.
+        self.near = array("i", bytes(4 * len(self.link)))
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            self.near[state] = state if state in self.full or state in self.short else self.near[self.link[state]]
         self.least = min((min(window, len(run)) for _, run in runs), default=0)
 
     def _go(self, state: int, w: int) -> int:
@@ -131,6 +141,7 @@ class Automaton:
         known = list(map(self.vocabulary.get, found))
         flags: bytearray | None = None
         items: set[int] = set()
+        told: set[tuple[int, int]] = set()
         at, n, least = 0, len(known), self.least
         while self.least and at <= n - least:
             # a window's words are all known: look for an unknown one from the far end
@@ -142,25 +153,26 @@ class Automaton:
             while at < n and (w := known[at]) is not None:
                 state, held = self.next(state, held, w)
                 at += 1
-                if held >= least:
-                    size = self._match(state, held, items)
-                    if size:
-                        flags = bytearray(n) if flags is None else flags
-                        flags[at - size : at] = b"\x01" * size
+                if held >= least and (size := self._match(state, held, items, told)):
+                    flags = bytearray(n) if flags is None else flags
+                    flags[at - size : at] = b"\x01" * size
         return flags, {self.ids[k] for k in items}
 
-    def _match(self, state: int, held: int, items: set[int]) -> int:
-        """Adds the items with a window that ends here; the length of the longest such window, or 0."""
-        most = 0
+    def _match(self, state: int, held: int, items: set[int], told: set[tuple[int, int]]) -> int:
+        """Adds the items with a window that ends here, but for those of (state, length) pairs told before; the length of the longest
+        such window, or 0."""
+        most, state = 0, self.near[state]
         while state > 0:
-            if self.length[state] >= self.window and held >= self.window and state in self.full and self.length[self.link[state]] < self.window:
-                items |= self.full[state]
-                most = self.window
-            for size, k in self.short.get(state, ()):
+            sizes = self.short.get(state, {})
+            if held >= self.window and state in self.full:
+                sizes = {**sizes, self.window: self.full[state]}
+            for size, found in sizes.items():
                 if size <= held:
-                    items.add(k)
                     most = max(most, size)
-            state = self.link[state]
+                    if (state, size) not in told:
+                        told.add((state, size))
+                        items |= found
+            state = self.near[self.link[state]]
             held = min(held, self.length[state])
         return most
 
@@ -182,37 +194,67 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int
         yield Automaton(held, window)
 
 
+def _passes(found: Iterator[Automaton], together: int) -> Iterator[tuple[list[Automaton], bool]]:
+    """Automata by pass; and whether it is the last pass."""
+    held = list(itertools.islice(found, together))
+    while held:
+        after = list(itertools.islice(found, together))
+        yield held, not after
+        held = after
+
+
+def _joined(one: bytes | None, other: bytes | None) -> bytes | None:
+    return other if one is None else one if other is None else (int.from_bytes(one, "little") | int.from_bytes(other, "little")).to_bytes(len(one), "little")
+
+
+def _looked(sent, at: int, added: list[str]):
+    """Adds to the texts of column `at` what all automata and, in the last two columns, earlier passes have found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sizes, hits, names = [], [], []
+                for text, flagged, ids in zip(part.column(at), *part.columns[-2:], strict=True):
+                    got = words(text.as_py())
+                    flags, found = None, set(ids.as_py() or ())
+                    for old in flagged.as_py() or ():
+                        flags = _joined(flags, old)
+                    for automaton in sent.value:
+                        new, more = automaton.marks(got)
+                        flags, found = _joined(flags, None if new is None else bytes(new)), found | more
+                    sizes.append(len(got)), hits.append(flags), names.append(sorted(found))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(sizes, pa.int32()), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=[*part.schema.names[:-2], *added])
+
+    return run
+
+
 def _marked(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, block: int) -> tuple[DataFrame, list[str]]:
     """docs with a flag for each hit word and the ids of the items, for all blocks of items; and the names of the three columns."""
-    rows, old = docs, None
-    columns, at = docs.columns, docs.columns.index(text_col)
+    spark, columns, at = docs.sparkSession, docs.columns, docs.columns.index(text_col)
     added = [unused(columns, n) for n in ("__n_words", "__hits", "__items")]
-    schema = StructType([*docs.schema.fields, StructField(added[0], IntegerType()), StructField(added[1], BinaryType()), StructField(added[2], ArrayType(StringType()))])
-    for number, automaton in enumerate(_blocks(items, item_id, item_text, window, block)):
-        if number:
-            rows = cut(rows)
-            old.destroy()
-        old = sent = rows.sparkSession.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
-            automaton = sent.value
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    sizes, hits, names = [], [], []
-                    before = part.columns[-2:] if number else None
-                    for k, text in enumerate(part.column(at)):
-                        got = words(text.as_py())
-                        flags, found = automaton.marks(got)
-                        if before and (old := before[0][k].as_py()) is not None:
-                            flags = bytearray(old) if flags is None else bytearray(a | b for a, b in zip(old, flags, strict=True))
-                            found |= set(before[1][k].as_py())
-                        sizes.append(len(got)), hits.append(None if flags is None else bytes(flags)), names.append(sorted(found))
-                    kept = part.columns[:-3] if number else part.columns
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int32()), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=[*columns, *added])
-
-        rows = rows.mapInArrow(run, schema)
-    return rows, added
+    key = unused([*columns, *added], "__key")
+    digest = F.md5(F.col(text_col).cast("binary"))
+    before: DataFrame | None = None  # (key, flags of each pass, items)
+    for automata, last in _passes(_blocks(items, item_id, item_text, window, block), TOGETHER):
+        sent = spark.sparkContext.broadcast(automata)
+        told = StructType([StructField(added[0], IntegerType()), StructField(added[1], BinaryType()), StructField(added[2], ArrayType(StringType()))])
+        none = F.lit(None).cast("array<binary>").alias(added[1]), F.lit(None).cast("array<string>").alias(added[2])
+        if not last:
+            rows = docs.select(F.col(text_col), digest.alias(key))
+            shape = StructType([StructField(text_col, docs.schema[text_col].dataType), StructField(key, StringType()), *told])
+            mine = rows.select(text_col, key, *none).mapInArrow(_looked(sent, 0, added), shape).where(F.col(added[1]).isNotNull())
+            mine = cut(mine.groupBy(key).agg(F.first(added[1]).alias(added[1]), F.first(added[2]).alias(added[2])))
+            before = mine if before is None else before.unionByName(mine)
+            sent.destroy()
+            continue
+        if before is None:
+            rows = docs.select("*", *none)
+        else:
+            merged = before.groupBy(key).agg(F.collect_list(added[1]).alias(added[1]), F.flatten(F.collect_list(added[2])).alias(added[2]))
+            rows = docs.withColumn(key, digest).join(merged, key, "left").select(*columns, added[1], added[2])
+        return rows.mapInArrow(_looked(sent, at, added), StructType([*docs.schema.fields, *told])), added
+    raise AssertionError("there is a last pass")
 
 
 def _spans(flags: bytes) -> Iterator[tuple[int, int]]:

@@ -1,12 +1,15 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from larkspur.llm import codes, ranked, registry, repeats
+from pyspark.sql import functions as F
+
+from larkspur.llm import codes, decontam, quality, ranked, registry, repeats
 
 
 def rows(df):
@@ -214,3 +217,53 @@ def test_bytes_bound_impacts():
     for w in (7, -7):
         low, high = ranked.bounds(np.full(5000, w), steps)
         assert (low <= w * real).all() and (w * real <= high).all() and ranked.TOP <= 255 * ranked.STEP
+
+
+# What stands in several blocks, or repeats
+
+
+@pytest.mark.parametrize("block", [20, 45])
+def test_decontamination_in_several_passes(spark, small, block):
+    docs = registry.table(spark, small, "documents").select("doc_id", "text", F.lit(1).alias("__hits"))
+    items = registry.table(spark, small, "benchmark")
+    same = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in df.collect())
+    assert same(decontam.mark(docs, items, block=block)) == same(decontam.mark(docs, items))
+    whole = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    assert whole(decontam.clean(docs, items, block=block)) == whole(decontam.clean(docs, items))
+    assert whole(decontam.clean(docs, items, 12, 0.3, block=block)) == whole(decontam.clean(docs, items, 12, 0.3))
+
+
+def test_decontamination_of_equal_words_takes_linear_time():
+    took = []
+    for n in (20_000, 80_000):
+        automaton = decontam.Automaton([("a", [b"0"] * n), ("b", [b"0"] * 7), ("c", [b"0", b"1"] * (n // 2))])
+        began = time.process_time()
+        flags, found = automaton.marks([b"0"] * n)
+        took.append(time.process_time() - began)
+        assert sum(flags) == n and found == {"a", "b"}
+    assert took[1] < 3 and took[1] < 12 * max(took[0], 0.02)
+
+
+def test_decontamination_of_periodic_items_against_windows():
+    rng = random.Random(9)
+    some = lambda n: [rng.choice([b"a", b"b"]) for _ in range(n)]
+    for _ in range(60):
+        items = [(str(k), some(rng.choice([1, 2, 3, 5, 9, 10, 11, 14]))) for k in range(rng.randrange(1, 6))]
+        text = [w if rng.random() < 0.97 else b"z" for w in some(60)]
+        want, hit = set(), set()
+        for k, item in items:
+            n = min(10, len(item))
+            windows = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)}
+            for i in range(len(text) - n + 1):
+                if tuple(text[i : i + n]) in windows:
+                    want.add(k), hit.update(range(i, i + n))
+        flags, found = decontam.Automaton(items).marks(text)
+        assert found == want and {i for i in range(len(text)) if flags and flags[i]} == hit
+
+
+def test_training_takes_one_row_an_id(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    docs = [(k, f"word{k % 2} " * (k + 3)) for k in range(60)] + [(6, f"copy {k}") for k in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, other = (quality.train(df.repartition(k), labels) for k in (1, 9))
+    assert np.array_equal(one.linear, other.linear) and np.array_equal(one.factors, other.factors) and one.bias == other.bias
