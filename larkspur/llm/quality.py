@@ -3,11 +3,12 @@
 score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j); the pairwise part is half of (sum_i v_i x_i)^2 - sum_i
 (v_i x_i)^2, so a document is scored in time linear in its features. Features of a whole text: word counts hashed into
 BUCKETS (square roots, of unit length), and statistics of its structure and size; beside them, two for each metadata column that
-the caller names: its size, and whether it is missing. The model is fitted on at most SAMPLE labelled rows, taken in the order of a
-hash of their ids; their features are what comes to the driver.
+the caller names: its size, and whether it is missing. The model is fitted on at most SAMPLE labelled ids, taken in the order of a
+hash of the ids, one row each; the features of those rows are what comes to the driver.
 
 Edge cases: null texts count as empty; empty texts get a score from the statistics alone; metadata that is null or no finite number
-is missing; null labels or ids train nothing; repeated rows are scored one by one; without labels, or with one class only, every
+is missing; null labels or ids train nothing; of rows that share an id the one whose text and metadata have the least hash trains, and an id
+with both labels counts as 1; repeated rows are scored one by one; without labels, or with one class only, every
 score is the share of ones (1/2 without any); other columns, whatever their names, are ignored by score() and kept by keep().
 """
 
@@ -149,8 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found = [features(t, m) for t, m in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["id", "label", "i", "v"])
 
+    # one row an id, found by hashes alone, so that neither many rows of one id nor their order matter
+    own = rows.withColumn("own", F.struct(F.xxhash64("text", "about").alias("a"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("b")))
+    least = own.groupBy("__id").agg(F.min("own").alias("own"))
+    rows = own.join(F.broadcast(least), ["__id", "own"]).groupBy("__id").agg(F.first("label").alias("label"), F.first("text").alias("text"), F.first("about").alias("about"))
     got = rows.select("__id", "label", "text", "about").mapInArrow(run, "id long, label int, i binary, v binary").toPandas()
-    got = got.drop_duplicates("id").sort_values("id")
+    got = got.sort_values("id")
     return Machine(len(metadata)).fit([(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4")) for i, v in zip(got["i"], got["v"], strict=True)], got["label"].to_numpy(np.float32))
 
 
