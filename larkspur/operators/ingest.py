@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.operators.rules import RuleSet, classify
-from larkspur.sources.storage import repeated, unused
+from larkspur.sources.storage import free, repeated, unused
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,8 @@ def violation(constraints: Constraints) -> Column:
 
 
 def validate(rows: DataFrame, constraints: Constraints) -> DataFrame:
-    """rows with defaults filled in and a column error."""
+    """rows with defaults filled in and a column error; a table that has one already is refused."""
+    free(rows, "error")
     filled = rows.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in constraints.defaults.items()}) if constraints.defaults else rows
     return filled.withColumn("error", violation(constraints))
 
@@ -45,6 +46,7 @@ def enforce_unique(rows: DataFrame, key: str, order: str, stored: DataFrame | No
     First is the least order, nulls last; rows that tie are ordered by all their columns, and of equal rows one is first. So one row
     at most of a key is no duplicate. Columns have to be comparable (no maps). Equal rows are counted and firsts are found by partial
     aggregations, so a frequent key is no single task."""
+    free(rows, "duplicate")
     names = rows.columns
     copies, nth, first = (unused(names, n) for n in ("__copies", "__nth", "__first"))
     rank = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("order"), F.struct(*names).alias("row"))
@@ -80,7 +82,3 @@ def applications(requests: DataFrame, rules: RuleSet, now: datetime.datetime | N
     rows = requests.withColumn("leave_type", classify(F.col(message), rules)).withColumn("reference_id", T.reference_id(F.unix_millis(at)))
     return rows.select(F.col(owner).alias("employee_id"), "leave_type", "reference_id", F.lit("submitted").alias("status"), F.col(message).alias("request_text"), T.confirmation(F.col("leave_type")).alias("message"), at.alias("created_at"), at.alias("updated_at"))
 
-
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with a running number; for small batches, where one task may sort all."""
-    return rows.withColumn("seq", F.row_number().over(Window.orderBy(*order)))

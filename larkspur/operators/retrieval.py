@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.sources.storage import unused
+from larkspur.sources.storage import free, unused
 
 #: What a category adds to a score, and how a match stands in a context.
 BOOST = 2
 SOURCE_LINE, DETAIL_LINE = "Source: ", "\nPolicy Details: "
+#: Fixed value: the context where nothing matches.
+NO_POLICY = "No specific company policy information was found for this query. Answer based on general knowledge."
 ENTRIES, BYTES, GRAM = 2000, 1 << 20, 3
 #: Phrases and their bytes that are sent to every executor at most.
 PHRASES, PHRASE_BYTES = 200_000, 1 << 23
@@ -40,7 +42,8 @@ def _folded(kb: DataFrame) -> DataFrame:
 
 
 def retrieve(messages: DataFrame, kb: DataFrame, text_col: str = "text", boost: int = BOOST, fits: bool | None = None) -> DataFrame:
-    """messages with matches, best first: (rank, ord, id, source, answer, score)."""
+    """messages with matches, best first: (rank, ord, id, source, answer, score). A column of that name is refused, not overwritten."""
+    free(messages, "matches")
     folded = unused(messages.columns, "__folded")
     rows = messages.withColumn(folded, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
     found = _in_rows(rows, _folded(kb), folded, boost) if (_fits(kb) if fits is None else fits) else _by_grams(rows, _folded(kb), folded, boost)
@@ -125,6 +128,15 @@ def any_keyword(messages: DataFrame, kb: DataFrame, text_col: str = "text", fits
     return found.withColumn("matches", by_ord)
 
 
-def trailing_context(separator: str = "\n\n") -> Column:
-    """Answers with the separator after each."""
-    return F.array_join(F.transform("matches", lambda m: F.concat(m["answer"], F.lit(separator))), "")
+def trailing_context(separator: str = "\n\n", nothing: str = NO_POLICY, source: str = SOURCE_LINE, detail: str = DETAIL_LINE) -> Column:
+    """Each match with its source and its answer, the separator after each; the sentence for none."""
+    told = lambda m: F.concat(F.lit(source), F.coalesce(m["source"], F.lit("")), F.lit(detail), F.coalesce(m["answer"], F.lit("")), F.lit(separator))
+    return F.when(F.size("matches") > 0, F.array_join(F.transform("matches", told), "")).otherwise(F.lit(nothing))
+
+
+def answer_of_context(context: Column, no_match: str, nothing: str = NO_POLICY, source: str = SOURCE_LINE, detail: str = DETAIL_LINE.lstrip()) -> Column:
+    """What is answered from a trailing_context() alone: its first details, up to a blank line, with its first source; no_match where there are none."""
+    details = F.nullif(F.regexp_extract(context, rf"\Q{detail}\E([\s\S]+?)(?:\n\n|\z)", 1), F.lit(""))
+    cited = F.nullif(F.regexp_extract(context, rf"\Q{source}\E(.+)", 1), F.lit(""))
+    told = F.concat(details, F.coalesce(F.concat(F.lit("\n\n" + source), cited), F.lit("")))
+    return F.when(context.startswith(nothing) | details.isNull(), F.lit(no_match)).otherwise(told)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.operators import lookup, retrieval
+from larkspur.sources.storage import free
 
 #: Replies with these status codes carry the request's id.
 TRACED = (401, 500)
@@ -15,8 +16,8 @@ RUNNING = "running"
 
 
 def health(requests: DataFrame, ready: bool) -> DataFrame:
-    """One row: status and where rows are kept. requests only lends its session."""
-    return requests.sparkSession.range(1).select(F.lit(RUNNING).alias("status"), T.store_label(F.lit(ready)).alias("data_source"))
+    """One row: status, where rows are kept, and how many requests there are."""
+    return requests.agg(F.count(F.lit(1)).alias("requests")).select(F.lit(RUNNING).alias("status"), T.store_label(F.lit(ready)).alias("data_source"), "requests")
 
 
 def error_reply(status: Column, message: Column, request_id: Column, route_unknown: Column | None = None) -> Column:
@@ -26,7 +27,8 @@ def error_reply(status: Column, message: Column, request_id: Column, route_unkno
 
 
 def chat(messages: DataFrame, kb: DataFrame, no_match: str, text_col: str = "message", fits: bool | None = None) -> DataFrame:
-    """messages with status, error, answer and sources. Blank messages are refused; the others are answered from the base."""
+    """messages with status, error, answer and sources; a table that has one of these is refused. Blank messages are refused; the others are answered from the base."""
+    free(messages, "status", "error", "answer", "sources")
     found = retrieval.retrieve(messages, kb, text_col, fits=fits)
     refused = F.coalesce(T.blank(F.col(text_col)), F.lit(True))
     return found.withColumns({"status": F.when(refused, 400).otherwise(200), "error": F.when(refused, "message is required"), "answer": F.when(~refused, retrieval.answer(no_match)), "sources": F.when(~refused, retrieval.sources())}).drop("matches")

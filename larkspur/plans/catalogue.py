@@ -4,18 +4,21 @@ Rules and the knowledge base are data. RULES, FIRST and BASE speak of letter gro
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import conversation, ingest, listing, lookup, metrics, retrieval, service
+from larkspur.operators import conversation, fulltext, ingest, listing, lookup, metrics, retrieval, service, temporal
 from larkspur.operators.rules import Rule, RuleSet, classify, dispatch
 from larkspur.sources import knowledge
 from larkspur.sources.storage import append, parsed, point_read, query_parameter, scratch, store, table, to_json_rows
-from larkspur.streaming.queries import chat_stream, counters_stream, ingest_stream, json_stream
+from larkspur.streaming import sessions
+from larkspur.streaming.queries import chat_stream, counters_stream, guard_stream, ingest_stream, json_stream
+from larkspur.streaming.sessions import part_late, sessions_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +33,7 @@ ROUTE_SQL = "CASE WHEN contains({t}, 'tion of') OR contains({t}, 'the the') THEN
 BASE_SQL = "(VALUES " + ", ".join(f"({o}, '{i}', '{c}', {k!r}, '{s}', '{a}')" for o, i, c, k, s, a in BASE) + ") kb(ord, id, category, keywords, source, answer)"
 SCORED_SQL = f"""SELECT doc_id, ord, id, source, answer, score FROM (SELECT d.doc_id, kb.*, CAST(len(list_filter(kb.keywords, lambda k: contains(d.l, k))) AS BIGINT) + CASE WHEN contains(d.l, kb.category) THEN 2 ELSE 0 END AS score
 FROM (SELECT doc_id, lower(text) AS l FROM documents) d, {BASE_SQL}) WHERE score > 0"""
-HITS_SQL = f"""SELECT d.doc_id, kb.ord, kb.id, kb.answer FROM (SELECT doc_id, lower(text) AS l FROM documents) d, {BASE_SQL} WHERE len(list_filter(kb.keywords, lambda k: contains(d.l, k))) > 0"""
+HITS_SQL = f"""SELECT d.doc_id, kb.ord, kb.id, kb.source, kb.answer FROM (SELECT doc_id, lower(text) AS l FROM documents) d, {BASE_SQL} WHERE len(list_filter(kb.keywords, lambda k: contains(d.l, k))) > 0"""
 RANKED_SQL = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS n FROM ({SCORED_SQL})"
 
 _QUERIES: dict[str, Query] = {}
@@ -138,10 +141,19 @@ def retrieve_any(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.scored(retrieval.any_keyword(documents(spark, folder), base(spark)), "doc_id").drop("score")
 
 
-@query(f"SELECT doc_id, string_agg(answer || '|', '' ORDER BY ord) AS context FROM ({HITS_SQL}) GROUP BY doc_id")
+CONTEXT_SQL = f"SELECT d.doc_id, coalesce(h.context, '{retrieval.NO_POLICY}') AS context, h.first FROM documents d LEFT JOIN (SELECT doc_id, string_agg('Source: ' || source || chr(10) || 'Policy Details: ' || answer || chr(10) || chr(10), '' ORDER BY ord) AS context, arg_min(answer || chr(10) || chr(10) || 'Source: ' || source, ord) AS first FROM ({HITS_SQL}) GROUP BY doc_id) h USING (doc_id)"
+
+
+@query(f"SELECT doc_id, context FROM ({CONTEXT_SQL})")
 def retrieve_any_context(spark: SparkSession, folder: str) -> DataFrame:
     found = retrieval.any_keyword(documents(spark, folder), base(spark))
-    return found.where(F.size("matches") > 0).select("doc_id", retrieval.trailing_context("|").alias("context"))
+    return found.select("doc_id", retrieval.trailing_context().alias("context"))
+
+
+@query(f"SELECT doc_id, coalesce(first, '{NO_MATCH_SQL}') AS answer FROM ({CONTEXT_SQL})")
+def answer_offline(spark: SparkSession, folder: str) -> DataFrame:
+    """The answer without a service: from the context's text alone."""
+    return retrieve_any_context(spark, folder).select("doc_id", retrieval.answer_of_context(F.col("context"), NO_MATCH).alias("answer"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({HITS_SQL}))")
@@ -154,18 +166,155 @@ def retrieve_unscored(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.unmatched(retrieved(spark, folder)).select("doc_id")
 
 
-@query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM {BASE_SQL}")
+#: A base made of the benchmark's items: their words of six ASCII letters and more are keywords.
+ITEMS_SQL = "SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS ord, CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, 'item ' || item_id AS source, text AS answer, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS keywords FROM benchmark"
+
+
+def items_base(spark: SparkSession, folder: str) -> DataFrame:
+    """Written as JSON arrays and read back with places. Places are numbered in one task: a base is small."""
+    path, item = scratch(spark, "knowledge"), F.col("item_id")
+    rows = table(spark, folder, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("ord"), item.cast("string").alias("id"), F.when(item % 2 == 0, "even").otherwise("odd").alias("category"), F.concat(F.lit("item "), item).alias("source"), F.col("text").alias("answer"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("keywords"))
+    knowledge.write(rows, path)
+    return knowledge.load(spark, path)
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM ({ITEMS_SQL})")
 def entry_count(spark: SparkSession, folder: str) -> DataFrame:
-    return base(spark).agg(F.count(F.lit(1)).alias("n"))
+    return items_base(spark, folder).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT ord, id, category, source, answer, array_to_string(keywords, ',') AS keywords FROM {BASE_SQL}")
+@query(f"SELECT ord, id, category, source, answer, array_to_string(keywords, ',') AS keywords FROM ({ITEMS_SQL})")
 def knowledge_file(spark: SparkSession, folder: str) -> DataFrame:
-    """The base written as one JSON array and read back with places."""
-    path = scratch(spark, "knowledge")
-    one = base(spark).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "category", "source", "keywords", "answer"))), lambda e: e.dropFields("ord"))).alias("value"))
-    one.write.mode("overwrite").text(path)
-    return knowledge.load(spark, path).select("ord", "id", "category", "source", "answer", F.array_join("keywords", ",").alias("keywords"))
+    return items_base(spark, folder).select("ord", "id", "category", "source", "answer", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query(f"""WITH kb AS ({ITEMS_SQL}), scored AS (SELECT conv_id, turn, ord, id, CAST(len(list_filter(keywords, lambda k: contains(lower(text), k))) AS BIGINT) + CASE WHEN contains(lower(text), category) THEN 2 ELSE 0 END AS score FROM conversations, kb)
+SELECT conv_id, turn, id AS entry_id, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ord) AS n FROM scored WHERE score > 0) WHERE n = 1""")
+def knowledge_matched(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages matched against the base that was read back."""
+    return retrieval.best(retrieval.retrieve(table(spark, folder, "conversations"), items_base(spark, folder)), "conv_id", "turn")
+
+
+# Ranked full text
+
+ASKED_SQL = "SELECT 'b' || item_id AS query, text FROM benchmark UNION ALL SELECT 'c' || conv_id, text FROM conversations WHERE turn = 0"
+FULLTEXT_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(f"""WITH docs AS (SELECT doc_id AS doc, CAST(len(w) AS BIGINT) AS n, w FROM (SELECT doc_id, {FULLTEXT_WORDS_SQL} AS w FROM documents) WHERE len(w) > 0),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS total_docs, CAST(sum(n) AS BIGINT) AS total_words FROM docs),
+held AS (SELECT doc, n, word, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc, n, unnest(w) AS word FROM docs) GROUP BY ALL),
+weights AS (SELECT word, CAST(floor(1000 * ln(1 + (2 * total_docs - 2 * count(*) + 1) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM held, whole GROUP BY word, total_docs),
+asked AS (SELECT query, unnest({FULLTEXT_WORDS_SQL}) AS word FROM ({ASKED_SQL})),
+scored AS (SELECT query, doc, CAST(sum(weight * ((2200000 * tf) // (1000 * tf + 300 + (900 * n * total_docs) // total_words))) AS BIGINT) AS score FROM asked JOIN held USING (word) JOIN weights USING (word), whole GROUP BY query, doc)
+SELECT query, CAST(rank AS INTEGER) AS rank, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""")
+def fulltext_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for each benchmark item and for the first message of each conversation."""
+    index = fulltext.build(documents(spark, folder), "doc_id", "text", scratch(spark, "fulltext"))
+    items = table(spark, folder, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("query"), "text")
+    messages = table(spark, folder, "conversations").where("turn = 0").select(F.concat(F.lit("c"), "conv_id").alias("query"), "text")
+    return fulltext.search(index, items.union(messages), "query", "text")[0]
+
+
+# By time
+
+
+@query("SELECT a.event_id, b.event_id AS click_id, CAST(epoch_us(b.ts) AS BIGINT) AS click_us FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') b ON a.user_id = b.user_id AND a.ts >= b.ts")
+def asof_last_click(spark: SparkSession, folder: str) -> DataFrame:
+    """Each purchase with its user's last click before."""
+    events = table(spark, folder, "events")
+    clicks = events.where("event_type = 'click'").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    found = temporal.as_of(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "ts", "event_id", {"event_id": "click_id", "us": "click_us"}, 86_400_000_000)
+    return found.select("event_id", "click_id", "click_us")
+
+
+@query("SELECT e.event_id, o.o_orderkey, o.o_totalprice FROM events e ASOF LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1) o ON e.user_id = o.o_custkey AND e.ts - INTERVAL 26 YEAR >= o.o_orderdate")
+def asof_last_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Each event with the last order of the customer of the user's number, 26 years before; of a day's orders that of the greatest number."""
+    events = table(spark, folder, "events").select("event_id", "user_id", F.expr("ts - INTERVAL 26 YEAR").alias("at"))
+    found = temporal.as_of(events, table(spark, folder, "orders").withColumnRenamed("o_custkey", "user_id"), "user_id", "at", "o_orderdate", "o_orderkey", {"o_orderkey": "o_orderkey", "o_totalprice": "o_totalprice"})
+    return found.select("event_id", "o_orderkey", "o_totalprice")
+
+
+#: A purchase's time runs for as many hours as it is worth, every seventh one's for 40 times as long; an error's for 2 hours.
+SPANS_SQL = "WITH spans AS (SELECT event_id, user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS a, CAST(epoch_us(ts) AS BIGINT) + CASE WHEN event_type = 'error' THEN 7200000000 ELSE CAST(floor(value * 3600) AS BIGINT) * 1000000 * CASE WHEN event_id % 7 = 0 THEN 40 ELSE 1 END END AS b FROM events)"
+
+
+@query(f"{SPANS_SQL} SELECT p.event_id AS purchase_id, e.event_id AS error_id FROM spans p JOIN spans e ON p.user_id = e.user_id AND p.a < e.b AND e.a < p.b WHERE p.event_type = 'purchase' AND e.event_type = 'error' AND p.a < p.b")
+def overlapping_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of the user while a purchase runs."""
+    length = F.when(F.col("event_type") == "error", F.lit(7_200_000_000)).otherwise(F.floor(F.col("value") * 3600) * 1_000_000 * F.when(F.col("event_id") % 7 == 0, 40).otherwise(1))
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, folder, "events").where("event_type in ('purchase', 'error')").select("event_id", "user_id", "event_type", F.timestamp_micros(start).alias("a"), F.timestamp_micros(start + length).alias("b"))
+    one, other = (rows.where(F.col("event_type") == kind) for kind in ("purchase", "error"))
+    found = temporal.overlaps(one, other, "user_id", ("a", "b"), ("a", "b"), 6 * 3_600_000_000)
+    return found.select(F.col("left.event_id").alias("purchase_id"), F.col("right.event_id").alias("error_id"))
+
+
+# Streams with state
+
+
+@query("""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('click', 'purchase')),
+walk AS (SELECT user_id, n, event_id, CASE WHEN event_type = 'click' THEN 'accepted' END AS said, CASE WHEN event_type = 'click' THEN ts END AS open_at, CASE WHEN event_type = 'click' THEN event_id END AS open_id, CAST(NULL AS BIGINT) AS closed, CAST(NULL AS VARCHAR) AS how FROM r WHERE n = 1
+UNION ALL SELECT r.user_id, r.n, r.event_id,
+  CASE WHEN event_type = 'click' THEN CASE WHEN open_at IS NOT NULL AND r.ts < open_at + INTERVAL 12 HOUR THEN 'refused' ELSE 'accepted' END END,
+  CASE WHEN event_type = 'click' THEN CASE WHEN open_at IS NOT NULL AND r.ts < open_at + INTERVAL 12 HOUR THEN open_at ELSE r.ts END END,
+  CASE WHEN event_type = 'click' THEN CASE WHEN open_at IS NOT NULL AND r.ts < open_at + INTERVAL 12 HOUR THEN open_id ELSE r.event_id END END,
+  CASE WHEN open_at IS NOT NULL AND (event_type = 'purchase' OR r.ts >= open_at + INTERVAL 12 HOUR) THEN open_id END,
+  CASE WHEN r.ts >= open_at + INTERVAL 12 HOUR THEN 'timed out' ELSE 'answered' END
+  FROM walk JOIN r ON r.user_id = walk.user_id AND r.n = walk.n + 1),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back FROM walk) WHERE back = 1)
+SELECT user_id, event_id, said AS state FROM walk WHERE said IS NOT NULL UNION ALL SELECT user_id, closed, how FROM walk WHERE closed IS NOT NULL
+UNION ALL SELECT user_id, open_id, 'timed out' FROM last WHERE open_at + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM r)""")
+def in_flight_by_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Clicks as requests, purchases as answers: one open request a user, for 12 hours at most."""
+    where = scratch(spark, "in_flight")
+    rows = table(spark, folder, "events").where("event_type in ('click', 'purchase')")
+    to_json_rows(rows.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_type") == "click").alias("asks"))).write.text(f"{where}/in")
+    stream = json_stream(spark, f"{where}/in", "event_id long, user_id long, us long, asks boolean").withColumn("at", F.timestamp_micros("us"))
+    guard_stream(stream, "user_id", "event_id", "at", "asks", datetime.timedelta(hours=12), "1 day", f"{where}/table", f"{where}/state").awaitTermination()
+    return spark.read.parquet(f"{where}/table").select("user_id", "event_id", "state")
+
+
+LATE_SQL = "WITH parted AS (SELECT *, event_id % 10 >= 8 AND ts < (SELECT max(ts) FROM events WHERE event_id % 10 < 8) - INTERVAL 10 DAY AS late FROM events)"
+
+
+def _parted(spark: SparkSession, folder: str) -> str:
+    """Eight of ten events come in a first batch, the others in a second one, where those over ten days old are late."""
+    where = scratch(spark, "late")
+    rows = table(spark, folder, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    for batch in (F.col("event_id") % 10 < 8, F.col("event_id") % 10 >= 8):
+        to_json_rows(rows.where(batch)).write.mode("append").text(f"{where}/in")
+        stream = json_stream(spark, f"{where}/in", "event_id long, user_id long, us long").withColumn("at", F.timestamp_micros("us"))
+        part_late(stream, "at", "10 days", f"{where}/accepted", f"{where}/late", f"{where}/marks", f"{where}/state").awaitTermination()
+    return where
+
+
+@query(f"{LATE_SQL} SELECT event_id, late FROM parted")
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted and late rows together are all."""
+    where = _parted(spark, folder)
+    one, other = (spark.read.parquet(f"{where}/{name}").select("event_id", F.lit(late).alias("late")) for name, late in (("accepted", False), ("late", True)))
+    return one.union(other)
+
+
+@query(f"""{LATE_SQL}, kept AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, true) AS new FROM parted WHERE NOT late),
+marked AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM kept)
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts)) AS BIGINT) + 21600000000 AS end_us, count(*) AS n FROM marked GROUP BY user_id, nth
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 DAY FROM kept)""")
+def sessions_by_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of the rows that were not late, as far as the watermark has closed them."""
+    where = _parted(spark, folder)
+    rows = spark.readStream.schema("event_id long, user_id long, us long, at timestamp, batch int").parquet(f"{where}/accepted")
+    sessions_stream(rows, "user_id", "at", "6 hours", "10 days", f"{where}/sessions", f"{where}/sessions-state").awaitTermination()
+    return spark.read.parquet(f"{where}/sessions").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("""WITH marked AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, true) AS new FROM events))
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts)) AS BIGINT) + 21600000000 AS end_us, count(*) AS n FROM marked GROUP BY user_id, nth""")
+def sessions_of_table(spark: SparkSession, folder: str) -> DataFrame:
+    found = sessions.sessions_of_table(table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("at")), "user_id", "at", "6 hours")
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 # Lookup
@@ -313,8 +462,6 @@ def ingest_by_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT CAST(conv_id AS VARCHAR) AS employee_id, {ROUTE_SQL.format(t='lower(text)')} AS leave_type, 'submitted' AS status, 'LMS-000123' AS reference_id, 'Success! Your request for **' || {ROUTE_SQL.format(t='lower(text)')} || '** has been submitted for approval.' AS message, '2023-11-14T22:13:20.123Z' AS created, '2023-11-14T22:13:20.123Z' AS updated FROM conversations WHERE role = 'user'")
 def applications(spark: SparkSession, folder: str) -> DataFrame:
-    import datetime
-
     rows = table(spark, folder, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("employee_id"), F.col("text").alias("request_text"))
     at = datetime.datetime.fromtimestamp(1_700_000_000.123, datetime.UTC)
     return ingest.applications(rows, RULES, at).select("employee_id", "leave_type", "status", "reference_id", "message", T.iso(F.col("created_at")).alias("created"), T.iso(F.col("updated_at")).alias("updated"))
@@ -374,9 +521,10 @@ def error_replies(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", service.error_reply(status, F.lit("failed"), F.col("event_id").cast("string")).alias("body"))
 
 
-@query("SELECT 'running' AS status, 'table' AS data_source")
+@query("SELECT 'running' AS status, 'table' AS data_source, count(*) AS requests FROM events")
 def health(spark: SparkSession, folder: str) -> DataFrame:
-    return service.health(spark.range(1), True)
+    requests, ready = store(spark, f"{folder}/events.parquet", table(spark, folder, "nation"))
+    return service.health(requests, ready)
 
 
 @query("SELECT event_id, 401 AS status FROM events WHERE event_type != 'click'")
@@ -473,16 +621,19 @@ def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return parsed(to_json_rows(table(spark, folder, "labels")), "doc_id long, quality int, toxic int")[0]
 
 
-@query("SELECT * FROM (VALUES ('not json', 'not a JSON object'), ('{\"n\": 5.5}', 'a field has another type')) v(value, error)")
+@query("SELECT CASE WHEN event_type = 'error' THEN 'not json ' || event_id ELSE '{\"n\": ' || event_id || '.5}' END AS value, CASE WHEN event_type = 'error' THEN 'not a JSON object' ELSE 'a field has another type' END AS error FROM events WHERE event_type IN ('error', 'view')")
 def json_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.createDataFrame([("not json",), ('{"n": 5.5}',), ('{"n": 5}',), ("{}",)], "value string")
-    return parsed(raw, "n int")[1]
+    """Of bodies made of events, those that are no JSON or have another type."""
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    body = F.when(kind == "error", F.concat(F.lit("not json "), number)).when(kind == "view", F.concat(F.lit('{"n": '), number, F.lit(".5}"))).when(kind == "click", "{}").otherwise(F.concat(F.lit('{"n": '), number, F.lit("}")))
+    return parsed(table(spark, folder, "events").select(body.alias("value")), "n int")[1]
 
 
-@query("SELECT * FROM (VALUES (1, false, true), (2, true, true), (3, false, true)) v(id, gated, open)")
+@query("SELECT event_id, event_type IS NOT DISTINCT FROM 'click' AS gated, true AS open FROM events")
 def auth_gate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, None), (2, "key"), (3, "other")], "id int, given string")
-    return rows.select("id", T.allowed(F.col("given"), "key").alias("gated"), T.allowed(F.col("given"), None).alias("open"))
+    """A key that has to be given, and none."""
+    given = F.when(F.col("event_type") != "view", F.col("event_type"))
+    return table(spark, folder, "events").select("event_id", T.allowed(given, "click").alias("gated"), T.allowed(given, None).alias("open"))
 
 
 @query("SELECT doc_id, 'Success! Your request for **' || source || '** has been submitted for approval.' AS message, 'Success! Your request for **' || source || '** has been submitted for approval. Reference ID: ' || CAST(doc_id AS VARCHAR) AS local FROM documents")

@@ -56,6 +56,12 @@ def unused(names: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def free(df: DataFrame, *wanted: str) -> None:
+    """Refuses a table that has columns named like a result's, letter case aside: they would be lost without a word."""
+    if taken := sorted({n.lower() for n in df.columns} & {n.lower() for n in wanted}):
+        raise ValueError(f"the table has columns {', '.join(taken)}, which the result needs; rename them first")
+
+
 def repeated(rows: DataFrame, copies: str, nth: str, step: int = 1 << 12) -> DataFrame:
     """Each row as often as `copies` says, numbered from 0 in the column nth. In two steps, so that no row makes a long array."""
     block = unused([*rows.columns, nth], "__block")
@@ -85,8 +91,10 @@ def point_read(df: DataFrame, key: str, value: object) -> DataFrame:
 
 
 def parsed(raw: DataFrame, schema: StructType | str, body: str = "value", limit: int = BODY_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """JSON bodies by a schema: (rows that parse, the others with an error). A field of another type makes the whole body bad."""
-    json = unused(raw.columns, "__json")
+    """JSON bodies by a schema: (rows that parse, the others as body and error). A field of another type makes the whole body bad."""
+    json, wrong = unused(raw.columns, "__json"), unused(raw.columns, "__error")
+    if body.lower() == "error":
+        free(raw, "error")
     checked = raw.withColumn(json, F.from_json(body, schema, {"mode": "PERMISSIVE"}))
     size, names = F.octet_length(body), checked.select(f"{json}.*").columns
     lost = F.lit(False)
@@ -95,8 +103,8 @@ def parsed(raw: DataFrame, schema: StructType | str, body: str = "value", limit:
         lost = lost | (told.isNotNull() & F.col(json).getField(name).isNull())
     whole = F.get_json_object(body, "$").isNotNull() & F.ltrim(body).startswith("{")
     error = F.when(F.col(body).isNull(), "missing body").when(size > limit, "body too large").when(~whole, "not a JSON object").when(lost, "a field has another type")
-    checked = checked.withColumn("error", error)
-    return checked.where("error is null").select(f"{json}.*"), checked.where("error is not null").select(body, "error")
+    checked = checked.withColumn(wrong, error)
+    return checked.where(F.col(wrong).isNull()).select(f"{json}.*"), checked.where(F.col(wrong).isNotNull()).select(body, F.col(wrong).alias("error"))
 
 
 def query_parameter(url: Column, name: str) -> Column:

@@ -1,7 +1,8 @@
-"""Structured Streaming forms: validated append, running counters, chat turns."""
+"""Structured Streaming forms: validated append, running counters, chat turns, the guard of open requests."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,42 +10,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from larkspur.operators.ingest import Constraints, accept_reject
+from larkspur.operators.ingest import Constraints, validate
 from larkspur.operators.metrics import counts
 from larkspur.operators.rules import RuleSet, classify
+from larkspur.sources.storage import unused
+from larkspur.streaming.stateful import first_of_key, in_flight, started
 
 
 def json_stream(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-#: Folders that each batch of an ingested table is dealt to by its keys.
-BUCKETS = 16
-
-
-def ingest_stream(requests: DataFrame, constraints: Constraints, order: str, table: str, rejects: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Each micro-batch is validated, checked against the stored keys, and appended. Its files go to a folder named by its
-    number and replace what an earlier, broken-off try of the same batch has left, so retries change nothing. Inside it they are
-    dealt to buckets by a hash of the key, and a batch reads the keys of its own buckets alone; the table has the columns batch and bucket."""
-
+def ingest_stream(requests: DataFrame, constraints: Constraints, order: str, table: str, rejects: str, checkpoint: str, stored: DataFrame | None = None) -> StreamingQuery:
+    """Each micro-batch is validated, checked against all keys so far, and appended. Keys are kept in the stream's state, so a batch reads
+    those that it brings and no stored row; keys of a table from before the stream are handed over as `stored`, once. A batch's files go to a folder
+    named by its number and replace what an earlier, broken-off try of the same batch has left, so retries change nothing."""
     spark, key = requests.sparkSession, constraints.key
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int") if key else F.lit(0)
-    spark.createDataFrame([], requests.schema).write.mode("overwrite").parquet(f"{table}/batch=-1/bucket=0")  # so that there is a table
+    checked = validate(requests, constraints)
+    spark.createDataFrame([], requests.schema).write.mode("overwrite").parquet(f"{table}/batch=-1")  # so that there is a table
+    if key:
+        again = unused(checked.columns, "__again")
+        good = first_of_key(checked.where("error is null"), key, order, stored, again)
+        good = good.withColumn("error", F.when(F.col(again), F.lit(f"{key} exists"))).drop(again)
+        checked = good.unionByName(checked.where(F.col("error").isNotNull() | F.col(key).isNull()))
 
     def one(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            stored = None
-            if key:
-                touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most `buckets`
-                stored = batch.sparkSession.read.schema(batch.select(key).schema.add("batch", "long").add("bucket", "integer")).parquet(table).where((F.col("batch") != number) & F.col("bucket").isin(*touched))
-            accepted, rejected = accept_reject(batch, constraints, order, stored)
-            accepted.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
-            rejected.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+            batch.where("error is null").drop("error").write.mode("overwrite").parquet(f"{table}/batch={number}")
+            batch.where("error is not null").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         finally:
             batch.unpersist()
 
-    return requests.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return started(spark, checked.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True))
+
+
+def guard_stream(rows: DataFrame, owner: str, request: str, at: str, asks: str, timeout: datetime.timedelta, delay: str, table: str, checkpoint: str) -> StreamingQuery:
+    """in_flight() as a table."""
+    found = in_flight(rows, owner, request, at, asks, timeout, delay)
+    return started(rows.sparkSession, found.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True))
 
 
 def counters_stream(requests: DataFrame, conditions: dict[str, Column], name: str, checkpoint: str) -> StreamingQuery:

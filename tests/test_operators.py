@@ -80,7 +80,7 @@ def test_any_keyword_ignores_categories(spark):
     found = retrieval.any_keyword(rows, knowledge.entries(spark, KB))
     got = {r.id: [m.id for m in r.matches] for r in found.collect()}
     assert got[5] == [] and got[6] == ["a", "c", "d"]
-    assert {r.id: r.t for r in found.select("id", retrieval.trailing_context("|").alias("t")).collect()}[6] == "answer a|answer c|answer d|"
+    assert {r.id: r.t for r in found.select("id", retrieval.trailing_context("|").alias("t")).collect()}[6] == "".join(f"Source: doc {k}\nPolicy Details: answer {k}|" for k in "acd")
 
 
 def test_score_equals_exploded_hits(spark, small):
