@@ -5,8 +5,11 @@ path's length ratio is its text over its blocks, links not counted; its punctuat
 smoothed over neighbouring paths in page order, the more so the more two paths have in common, and fused by their product; paths
 over a share of the page's mean are content, but for those that hold nothing but links and are no headings.
 The text nodes of all content paths, wherever they stand, are the result, and with them short parts (captions, cells, list items,
-code) that stand inside the deepest path that holds nearly all content text, paths of mere numbers or links aside; but nothing inside elements that are something else by
+code) of an article that has content, or of the deepest path that holds nearly all content text: all but lists and divisions of mere links, and
+divisions of mere numbers; but nothing inside elements that are something else by
 kind, class, id or role (menus, page headers, footers, sidebars, notices, adverts, forms, comments, hidden parts).
+Inside an article a name that only may tell so (related-work, search-history, alert-level) counts if the element's own ratios
+agree: if none of its paths is content.
 
 Edge cases: null and empty pages have empty text; pages without tags are text as they stand; unclosed elements, comments
 and scripts end with the page or, for paragraphs and list items, where the next one begins; repeated rows are treated one by
@@ -42,6 +45,10 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 SCOPES = frozenset("article aside blockquote body button caption details div fieldset footer form header html main nav section table td th ul ol dl figure".split())
 OTHER = frozenset("nav footer aside form button select dialog menu svg canvas audio video object head input optgroup datalist".split())
 WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|footer\w*|masthead|topbar|comment\w*|disqus\w*|repl(?:y|ies)|respond|share|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscribe\w*|signup|login|popup\w*|modal\w*|widget\w*|pagination|pager|toolbar|skip-link|search\w*)(?=$|[\s_-])", re.I)
+#: Of those, names that articles use for parts of their own too, where they aren't the whole name.
+MAYBE = re.compile(r"(?:notice|alert|menu|nav|repl|respond|shar|social|related|recommend|search|widget|banner|masthead|topbar)", re.I)
+#: Blocks that hold text even where it is one link or number.
+TEXTUAL = frozenset("p td th dd dt caption figcaption blockquote pre".split())
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar", "tablist"))
 #: Neighbours that smooth a path, with their weights; a content path's share of the mean; the share of content text that makes a container.
 KERNEL, THRESHOLD, HELD = (0.25, 0.5, 0.25), 0.5, 0.9
@@ -57,6 +64,8 @@ class Page:
         self.above, self.depth = [-1], [0]  # of each path
         self.headings: set[int] = set()
         self.frames: set[int] = set()  # paths of html and body
+        self.kinds = ["#page"]  # tag of each path
+        self.maybe, self.article = [0], [0]  # of each path: the uppermost one that may be something else; the uppermost article
         self.blocks = [0]  # of each element, itself or, for an inline one, the element that it stands in
         self.nodes: list[tuple[int, str]] = []  # (element, text); (element, "") breaks a block
         self._scan(text)
@@ -67,16 +76,21 @@ class Page:
             if (name := m[1].lower()) in TOLD:
                 named.setdefault(name, m[2] or m[3] or m[4] or "")
         label = " ".join(filter(None, (named.get("class"), named.get("id"))))
+        doubtful = False
         other = self.other[parent] or tag in OTHER or "hidden" in named or named.get("aria-hidden") == "true" or named.get("role", "").lower() in ROLES
         if not other and tag not in ("html", "body", "article", "main"):
-            other = bool(label and WORDS.search(label)) or "display:none" in named.get("style", "").replace(" ", "").lower()
+            telling = [name for name in label.split() if WORDS.search(name)]
+            doubtful = bool(telling) and self.article[self.paths[parent]] > 0 and all(MAYBE.search(n) and not WORDS.fullmatch(n) and not WORDS.search(MAYBE.sub("", n)) for n in telling)
+            other = bool(telling) and not doubtful or "display:none" in named.get("style", "").replace(" ", "").lower()
             other = other or tag == "header" and not self._inside(parent, "article")
         self.tags.append(tag), self.parents.append(parent), self.other.append(other)
         path = self.paths[parent]
         if tag not in INLINE:
             over, path = path, self.path_ids.setdefault((path, f"{tag} {named.get('class', '')}"), len(self.path_ids) + 1)
             if path == len(self.above):
-                self.above.append(over), self.depth.append(self.depth[over] + 1)
+                self.above.append(over), self.depth.append(self.depth[over] + 1), self.kinds.append(tag)
+                self.maybe.append(self.maybe[over] or path * doubtful)
+                self.article.append(self.article[over] or path * (tag in ("article", "main")))
         self.paths.append(path)
         self.blocks.append(self.blocks[parent] if tag in INLINE else len(self.tags) - 1)
         if tag in HEADINGS:
@@ -193,8 +207,15 @@ class Page:
         content = {path: f for path, f in zip(order, fused, strict=True) if f >= least and path not in links}
         # headings are short, and content where what they stand beside is
         beside, inside = {self.above[path] for path in content}, self._inner({path: order[path][0] for path in content})
-        carried = lambda path: path in self.headings and self.above[path] in beside or inside[path] and path in lettered and path not in links
-        return {path: f for path, f in zip(order, fused, strict=True) if path in content or carried(path)}
+        articles, parts = {self.article[path] for path in content} - {0}, {self.maybe[path] for path in content if path not in self.headings} | {0}
+
+        def carried(path: int) -> bool:
+            if path in self.headings and self.above[path] in beside:
+                return True
+            textual = self.kinds[path] in TEXTUAL
+            return (inside[path] or self.article[path] in articles) and (textual or path not in links and (path in lettered or self.kinds[path] == "li"))
+
+        return {path: f for path, f in zip(order, fused, strict=True) if self.maybe[path] in parts and (path in content or carried(path))}
 
     def _inner(self, weights: dict[int, float]) -> list[bool]:
         """By path: whether it lies inside the deepest path that holds nearly all of the weights, the page's frame aside."""

@@ -325,7 +325,7 @@ def test_main_text_covers_all_content_and_no_other_paths():
     beside = f"<body><div id=page><h1>A title, of some kind</h1><p class=lead>The lead says, in short, what follows.</p><div class=story>{body('story', 12)}</div><p class=end>The closing words, at last, are here.</p></div></body>"
     assert maintext.main_text(beside) == f"A title, of some kind The lead says, in short, what follows. {want('story', 12)} The closing words, at last, are here."
     links = "<ul>" + "".join(f"<li><a href=x>Elsewhere {k}</a></li>" for k in range(9)) + "</ul><table><tr><td>7</td><td>8</td></tr></table>"
-    assert maintext.main_text(f"<body><article><h2><a href=x>A linked title</a></h2>{body('it', 6)}{links}</article></body>") == f"A linked title {want('it', 6)}"
+    assert maintext.main_text(f"<body><article><h2><a href=x>A linked title</a></h2>{body('it', 6)}{links}</article></body>") == f"A linked title {want('it', 6)} 7 8"
     assert maintext.main_text("<p><a href=x>only a link</a></p>") == "only a link"
 
 
@@ -339,6 +339,51 @@ def test_main_text_keeps_short_parts_of_the_article():
         assert maintext.main_text(f"<body><div><div class=x>Home</div>{inner}<footer>c</footer></div></body>") == " ".join(parts)
 
 
+def test_main_text_keeps_what_an_article_names_like_something_else():
+    long = "This is a long paragraph about soup, with many words, commas, and other marks. It goes on for a while, since soup takes time."
+    page = lambda part: f"<body><nav>Home</nav><article><h1>Soup</h1>{f'<p>{long}</p>' * 4}{part}<p>{long}</p></article></body>"
+    for tag in ("div id='related-work'", "section class='search-history'", "p class='alert-level-text'", "div class='social-history x'"):
+        assert f" {long} X{long} {long}" in maintext.main_text(page(f"<{tag}>X{long}</{tag.split()[0]}>")), tag
+    for inner, kept in (("<p class=more><a href=x>A linked sentence alone.</a></p>", "A linked sentence alone."), ("<table><tr><td>7</td><td>8</td></tr></table>", "7 8"), ("<p>1984</p>", "1984"), ("<ul><li>5</li></ul>", "5")):
+        assert f"{long} {kept} {long}" in maintext.main_text(page(inner))
+    links = "<ul><li><a href=x>Other soup</a></li><li><a href=y>More soup</a></li></ul>"
+    for gone in (f"<div class='related-posts'><h3>Related</h3>{links}</div>", f"<div class='share-buttons'>{links}</div>", f"<div class=related><p>{long}</p></div>", f"<div class='ad-slot'><p>{long}</p></div>", f"<div class='comment-list'><p>{long}</p></div>", f"<div class='search-ad'><p>{long}</p></div>"):
+        assert maintext.main_text(page(gone)) == maintext.main_text(page("")), gone
+    # outside an article the names tell
+    assert maintext.main_text(f"<body><div id='related-work'><p>{long}</p></div>{page('')}") == maintext.main_text(page(""))
+
+
+def summed(page):
+    """Fused ratios by path of a page whose blocks are all <div class=..><p class=..>text</p>, by the letter."""
+    paths = {}
+    for division, par, text in re.findall(r"<div class=(\w+)><p class=(\w+)>(.*?)</p></div>", page):
+        s = paths.setdefault((division, par), [0, 0, 0])
+        s[0], s[1], s[2] = s[0] + len(text.strip()), s[1] + len(re.findall(r"[.,;:!?]", text)), s[2] + 1
+    keys = list(paths)
+    length, marks = [paths[k][0] / paths[k][2] for k in keys], [(paths[k][1] + 0.5) / paths[k][2] for k in keys]
+
+    def smooth(x):
+        out = []
+        for k in range(len(x)):
+            # page, body, div, p: two paths share two steps, or three if the division is the same
+            near = [(0.25 * ((3 if keys[j][0] == keys[k][0] else 2) / 4) ** 2, x[j]) for j in (k - 1, k + 1) if 0 <= j < len(x)]
+            out.append((0.5 * x[k] + sum(w * v for w, v in near)) / (0.5 + sum(w for w, _ in near)))
+        return out
+
+    return [(a * b) ** 0.5 for a, b in zip(smooth(length), smooth(marks), strict=True)]
+
+
+def test_ratios_against_plain_sums():
+    rng = random.Random(3)
+    for _ in range(30):
+        blocks = [(rng.choice("abc"), rng.choice("xyz"), " ".join(rng.choice(["word", "so,", "end."]) for _ in range(rng.randrange(1, 40)))) for _ in range(12)]
+        page = "<body>" + "".join(f"<div class={d}><p class={p}>{t}</p></div>" for d, p, t in blocks) + "</body>"
+        fused = summed(page)
+        found = maintext.Page(page).content_paths()
+        least = 0.5 * sum(fused) / len(fused)
+        assert sorted(round(f, 9) for f in fused if f >= least) == sorted(round(f, 9) for f in found.values() if f >= least)
+
+
 def plain_page():
     """A page without telling tags or names."""
     body = [f"Sentence number {k} says, at some length, what the page is about; and it goes on." for k in range(6)]
