@@ -8,8 +8,9 @@ products vectors get one more coordinate that makes all norms equal, which turns
 
 Graphs are built once, a task each, and written to the shared folder in chunks. A unit of the search is one shard and one block of
 queries: its task reads the shard's chunks and beam searches the graph for each query. Candidates are scored again on the original
-vectors in double precision, and the best of all shards win. A query's k nearest are spread over the shards by chance, so with more
-shards the beam in each is narrower. The cost is queries times shards, each search growing with the logarithm of a shard.
+vectors in double precision, and the best of all shards win. The beam is the same however many shards there are. A shard's queries are cut into
+blocks only where there are fewer shards than task slots, so a graph is sent about slots / shards times, whatever the number of queries. The cost
+is queries times shards, each search growing with the logarithm of a shard.
 
 Edge cases: vectors that are null, empty or zero, or that hold null or non-finite components, take no part, nor do rows with a
 null id or with another length than the most common one; repeated rows count once; fewer candidates than k give all of them; an
@@ -30,9 +31,9 @@ from larkspur.llm.common import cut
 
 K, DEGREE, BUILD_BEAM, ALPHA, BLOCK = 20, 32, 64, 1.2, 256
 #: Classes of a shard: GROWTH times the square root of all, within these bounds and so many bytes of vectors.
-GROWTH, SHARD, SHARD_MOST, SHARD_BYTES = 16, 4096, 1 << 16, 1 << 28
-#: Nodes that a search step opens; queries of a unit; classes of a chunk; the beam of one shard, and the least one of many.
-OPEN, QUERIES, CHUNK, BEAM, BEAM_LEAST = 4, 1 << 14, 2048, 128, 48
+GROWTH, SHARD, SHARD_MOST, SHARD_BYTES = 16, 4096, 1 << 14, 1 << 28
+#: Nodes that a search step opens; classes of a chunk; the beam.
+OPEN, CHUNK, BEAM = 4, 2048, 96
 
 
 class Graph:
@@ -247,8 +248,9 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None, beam: int | None = None, block: int = QUERIES) -> DataFrame:
-    """For the rows for which `queries` holds: query_id, rank, vec_id and score of the k nearest other rows."""
+def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None, beam: int = BEAM, blocks: int | None = None) -> DataFrame:
+    """For the rows for which `queries` holds: query_id, rank, vec_id and score of the k nearest other rows. blocks: of each shard's queries; by default
+as many as give each task slot two units."""
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), queries.alias("asks"))
     widths = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
@@ -262,8 +264,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
     asked = cut(rows.where("asks").select("id", key.alias("key"), "vector").dropDuplicates(["id", "key"]))
     n, n_asked = classes.count(), asked.count()
     size = shard or int(min(max(SHARD, GROWTH * math.sqrt(n)), SHARD_MOST, max(SHARD_BYTES // (8 * width), 1)))
-    shards, blocks = max(1, -(-n // size)), max(1, -(-n_asked // block))
-    beam = beam or max(BEAM_LEAST, BEAM // math.isqrt(shards), k + 1)
+    shards, beam = max(1, -(-n // size)), max(beam, k + 1)
+    blocks = blocks or max(1, min(-(-n_asked // BLOCK), -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // shards)))
     held = classes.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("key"), "ids", "vector")
     graphs = held.repartition(2 * shards, "shard").sortWithinPartitions("shard", "key", "vector").select("shard", "ids", "vector").mapInArrow(_built, _CHUNK_DDL)
     graphs = cut(graphs)

@@ -68,8 +68,8 @@ def test_nearest_over_shards_and_blocks(spark):
     df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<float>").cache()
     want = exact(np.arange(4000), points.astype(float))
     answers = []
-    for block in (1 << 14, 50):
-        found = ann.nearest(df, ann.F.col("vec_id") % 20 == 0, shard=500, block=block).collect()
+    for blocks in (1, 7):
+        found = ann.nearest(df, ann.F.col("vec_id") % 20 == 0, shard=500, blocks=blocks).collect()
         answers.append(sorted(map(tuple, found)))
         assert len(found) == 200 * 20
         assert sum((r.query_id, r.vec_id) in {(q, i) for q, w in want.items() for _, i in w} for r in found) >= 0.95 * len(found)
