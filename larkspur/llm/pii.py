@@ -2,10 +2,11 @@
 
 Base spans (email, ip, card, phone) are found by pattern and check, and stay. Further candidates (national phone numbers,
 social security numbers, account numbers, named persons, street addresses, spelled-out mail addresses) and base matches, good
-or failed, are voted on by labelers: the exactness of the form, gazetteers, and words before them for or against. Expectation
+or failed, are voted on by labelers: the exactness of the form, gazetteers (names, mail domains, card issuers, reserved addresses, country codes), and words
+before them for or against. Expectation
 maximisation over the counts of each pattern of votes, of which there are at most len(KINDS) * 3^4, estimates how reliable each
-labeler is; the posteriors train a logistic span classifier on votes, kind and length. Candidates that it accepts and that overlap no
-base span are added.
+labeler is; the posteriors train a logistic span classifier on votes, kind and length. Candidates that overlap a base span are
+left out before the votes are counted; of the others those that it accepts are added.
 
 Edge cases: null texts count as empty; empty texts have no spans; repeated rows are treated one by one; an empty table gives an
 empty result, and the labelers' starting reliabilities hold; other columns are ignored.
@@ -33,7 +34,7 @@ DOT_PART = r"(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]++|\.[a-z0-9-]++(?![A-Za-z]))
 STREET = r"(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|St|Ave|Rd|Ln|Dr|Blvd)(?![A-Za-z])"
 #: Candidates beyond the base: kind, pattern, exact form, and a cheap test for the text.
 MORE = (
-    ("national_phone", r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])", r"^(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-.])[2-9][0-9]{2}[-.][0-9]{4}$", "[0-9]"),
+    ("national_phone", r"(?<![0-9+().-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])", r"^(?:\+[0-9]{1,3}[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-.])[2-9][0-9]{2}[-.][0-9]{4}$", "[0-9]"),
     ("social_security", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "[0-9]"),
     ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,}+(?: ?[0-9]{1,3})?$", "[0-9]"),
     ("person", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}[\p{L}'-]*+(?:\x20\p{Lu}[\p{L}'-]*+)*+", r"^(?:Mr|Mrs|Ms|Dr|Prof)\. \p{Lu}\S++ \p{Lu}\S++$", "(?:Mr|Ms|Dr|Prof)"),
@@ -44,6 +45,10 @@ KINDS = (*BASE, *(m[0] for m in MORE))
 #: Gazetteers: given names, mail domains, and towns' streets.
 NAMES = "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Anna|Peter|Paul|Maria|Hans|Pierre|Marie|Carlos|Sofia"
 PLACES = "gmail|yahoo|outlook|hotmail|icloud|proton|Main|Oak|Park|Elm|Maple|Cedar|Church|High|Station|Washington"
+#: First digits of card issuers; addresses that no one has to himself (loopback, private, reserved, documentation); country codes.
+ISSUERS = r"^(?:4|5[1-5]|2(?:2[2-9]|[3-6]|7[01]|720)|3[47]|3(?:0[0-5]|[689])|6(?:011|4[4-9]|5)|35)"
+RESERVED = r"^(?:0|10|127|2(?:2[4-9]|[345][0-9]))\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^169\.254\.|^192\.0\.[02]\.|^198\.51\.100\.|^203\.0\.113\."
+COUNTRIES = r"^\+(?:1|7|2(?:[07]|[1-6][0-9]|9[01789])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[013])|5(?:[1-8]|0[0-9]|9[0-9])|6(?:[0-6]|[789][0-9])|8(?:[1246]|[05][0-9]|8[06])|9(?:[0-58]|[679][0-9]))"
 #: Words shortly before a span that speak for personal data, and against.
 FOR = r"(?:call|phone|tel|mobile|fax|contact|reach|write|mail|e-mail|ssn|social security|iban|account|card|name is|named|dear|signed|lives? at|address|resid|born|patient|customer)\W{0,3}(?:\w+\W{1,3}){0,2}$"
 AGAINST = r"(?:version|release|isbn|page|chapter|section|order|invoice|item|model|serial|build|figure|table|example|sample|part no)\W{0,3}(?:\w+\W{1,3}){0,1}$"
@@ -81,7 +86,10 @@ def _voted(spans: Column, state: str) -> Column:
                 form = F.when((s["kind"] == kind) & s["match"].rlike(exact), 1).otherwise(form)
         else:
             form = F.lit(1 if state == "base" else -1)
-        gazetteer = F.when(s["match"].rlike(rf"(?:{NAMES}|{PLACES})"), 1).otherwise(0)
+        known = lambda pattern, yes, no: F.when(figures.rlike(pattern), yes).otherwise(no)
+        figures = F.regexp_replace(s["match"], "[^0-9.+]", "")
+        gazetteer = F.when(s["kind"] == "card", known(ISSUERS, 1, -1)).when(s["kind"] == "ip", known(RESERVED, -1, 1)).when(s["kind"] == "phone", known(COUNTRIES, 1, -1))
+        gazetteer = gazetteer.when(s["match"].rlike(rf"(?:{NAMES}|{PLACES})"), 1).otherwise(0)
         speaks, denies = F.when(before.rlike(FOR), 1).otherwise(0), F.when(before.rlike(AGAINST), -1).otherwise(0)
         wide = F.when(F.length(s["match"]) < 9, 0).when(F.length(s["match"]) < 16, 1).otherwise(2)
         return F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), form.alias("form"), gazetteer.alias("gazetteer"), speaks.alias("for"), denies.alias("against"), wide.alias("wide"))
@@ -167,6 +175,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select("doc_id", *(c.alias(k) for k, c in _found(F.col("text")).items()), _more(F.col("text")).alias("more"))
     good, failed = _checked()
     rows = rows.select("doc_id", good.alias("base"), failed.alias("failed"), "more")
+    # what lies in a base span is found already, and would count a second time
+    rows = rows.withColumn("more", F.when(F.size("more") > 0, apart_from(F.col("more"), F.col("base"))).otherwise(F.col("more")))
     bare = lambda c: F.transform(c, lambda s: F.struct(*_place(s)))
     rows = rows.select("doc_id", bare(F.col("base")).alias("base"), _voted(F.col("base"), "base").alias("checked"), _voted(F.col("failed"), "failed").alias("failed"), _voted(F.col("more"), "more").alias("more"))
     rows = cut(rows)
@@ -177,7 +187,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sure = lambda z: 1 / (1 + F.exp(-z))
     judge = lambda s, added: F.struct(*_place(s), *(s[name].alias(name) for name in LABELERS), sure(_log_odds(s, share, tables)).alias("posterior"), sure(_margin(s, weights)).alias("probability"), added.alias("added"))
     accepted = F.filter("more", lambda s: _margin(s, weights) >= 0.0)
-    rows = rows.select("doc_id", "base", "checked", "failed", "more", apart_from(bare(accepted), F.col("base")).alias("added"))
+    rows = rows.select("doc_id", "base", "checked", "failed", "more", bare(accepted).alias("added"))
     # places added are few and in order for each kind, so a look-up by place is one in a map
     taken = F.map_from_arrays(F.transform("added", lambda s: F.concat_ws(":", s["order"], s["start"])), F.transform("added", lambda s: F.lit(True)))
     judged = bound(taken, lambda t: F.array_sort(F.concat(F.transform(F.concat("checked", "failed"), lambda s: judge(s, F.lit(False))), F.transform("more", lambda s: judge(s, F.try_element_at(t, F.concat_ws(":", s["order"], s["start"])).isNotNull())))))
@@ -185,7 +195,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and lists as one line a document; judged: kind:start:end:posterior (in hundredths) of all candidates."""
+    """Counts and lists as one line a document; judged: kind:start:end:posterior (both in hundredths):probability:votes of all candidates."""
     base = F.col("base")
-    judged = F.array_join(F.transform("judged", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), F.round(s["posterior"] * 100).cast("int").cast("string"))), ",")
+    hundredths = lambda c: F.round(c * 100).cast("int").cast("string")
+    judged = F.array_join(F.transform("judged", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), hundredths(s["posterior"]), hundredths(s["probability"]), *(s[name].cast("string") for name in LABELERS))), ",")
     return found.select("doc_id", *(n_of(base, k).alias(f"n_{k}") for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), judged.alias("judged"))
