@@ -28,8 +28,9 @@ MORE = (
     ("address_password", r"(?:(?<![A-Za-z0-9])[a-z][a-z0-9+]{1,15}+|(?<![A-Za-z0-9+])[a-z][a-z0-9+]{16,}+)://[^\s:/@]++:[^\s:/@]{6,}+@", "://"),
     ("key_block", r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----[A-Za-z0-9+/=\s]{32,}+-----END", "-----BEGIN"),
 )
-#: A value is live-looking with at most so many distinct owners and repositories.
-OWNERS, REPOSITORIES = 3, 6
+#: A value is live-looking with at most so many distinct owners and repositories; and, where there are few of them, at most this part of all, but
+#: for one owner and two repositories.
+OWNERS, REPOSITORIES, PART = 3, 6, 20
 
 
 def _base(text: Column) -> Column:
@@ -44,8 +45,8 @@ def _hashed(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(value(s).cast("binary"), 256).alias("value")))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
-    """Per document: doc_id, base and spans (start, order, end, kind, value), and verdicts (start, end, kind, n_repositories, n_owners, live)."""
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, owners: int | None = None, repositories: int | None = None) -> DataFrame:
+    """owners, repositories: how many a live-looking value has at most; by default from OWNERS, REPOSITORIES and PART. Per document: doc_id, base and spans (start, order, end, kind, value), and verdicts (start, end, kind, n_repositories, n_owners, live)."""
     owner = F.col("source") if owner is None else owner
     repository = owner if repository is None else repository
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -57,6 +58,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     distinct = lambda name: F.count_distinct(name) + F.max(F.col(name).isNull().cast("long"))
     spread = each.groupBy("s.value", "repository", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(distinct("repository").alias("n_repositories"), distinct("owner").alias("n_owners"), F.sum("n").alias("n"))
     told = attach(each.select("doc_id", "key", "s.*").distinct(), spread, "value", "n")
+    whole = rows.agg(distinct("repository").alias("repositories"), distinct("owner").alias("owners")).collect()[0]
+    owners = min(OWNERS, max(1, (whole.owners or 0) // PART)) if owners is None else owners
+    repositories = min(REPOSITORIES, max(2, (whole.repositories or 0) // PART)) if repositories is None else repositories
     verdict = F.struct("start", "order", "end", "kind", "value", "n_repositories", "n_owners", ((F.col("n_owners") <= owners) & (F.col("n_repositories") <= repositories)).alias("live"))
     by_doc = told.groupBy(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")).agg(F.array_sort(F.collect_set(verdict)).alias("verdicts"))
     found = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")), "left")
@@ -69,4 +73,5 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
 def digest(found: DataFrame) -> DataFrame:
     base = F.col("base")
     n_live = F.size(F.filter("verdicts", lambda s: s["live"]))
-    return found.select("doc_id", *(n_of(base, k).alias(f"n_{k}") for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.coalesce(F.when(F.col("verdicts").isNotNull(), n_live), F.lit(0)).cast("long").alias("n_live"))
+    spread = F.array_join(F.transform("verdicts", lambda s: F.concat_ws(":", s["kind"], *(s[name].cast("string") for name in ("start", "end", "n_repositories", "n_owners")))), ",")
+    return found.select("doc_id", *(n_of(base, k).alias(f"n_{k}") for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.coalesce(F.when(F.col("verdicts").isNotNull(), n_live), F.lit(0)).cast("long").alias("n_live"), F.coalesce(spread, F.lit("")).alias("ownership"))

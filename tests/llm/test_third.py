@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import codes, decontam, quality, ranked, registry, repeats
+from larkspur.llm import codes, credentials, decontam, pii, quality, ranked, registry, repeats
 
 
 def rows(df):
@@ -267,3 +267,37 @@ def test_training_takes_one_row_an_id(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     one, other = (quality.train(df.repartition(k), labels) for k in (1, 9))
     assert np.array_equal(one.linear, other.linear) and np.array_equal(one.factors, other.factors) and one.bias == other.bias
+
+
+# Methods that show in the results
+
+
+def test_owners_decide_on_a_table(spark):
+    small = "/root/testdata/sf0.01"
+    docs = registry.table(spark, small, "documents")
+    got = registry.op10_secrets(spark, small).where("ownership != ''").collect()
+    seen = [tuple(x.split(":")) for r in got for x in r.ownership.split(",")]
+    assert seen and all(int(reps) >= 1 and int(own) >= 1 for _, _, _, reps, own in seen)
+    # the same values under one owner, and each document its own
+    find = lambda owner: credentials.digest(credentials.secrets(docs, owner=owner)).agg(F.sum("n_live")).collect()[0][0]
+    shared = docs.where(F.col("doc_id").isin([r.doc_id for r in got]))
+    many = shared.unionByName(shared.withColumn("source", F.lit("x"))).unionByName(shared.withColumn("source", F.lit("y")))
+    alive = lambda df: credentials.digest(credentials.secrets(df, owner=F.col("source"))).agg(F.sum("n_live")).collect()[0][0]
+    assert alive(shared) > 0 and alive(many) < 3 * alive(shared) and find(F.lit("one")) >= find(F.col("source"))
+
+
+def test_labelers_vote_on_base_kinds(spark):
+    texts = ["pay 4111 1111 1111 1111 now", "pay 9111 1111 1111 1111 now", "from 192.168.0.1 on", "from 8.8.8.8 on", "call +1 (826) 555-4081 190.137.223.204 now", "call +839 826 555 4081 now"]
+    rows = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    vote = lambda k, kind: [j.gazetteer for j in rows[k].judged if j.kind == kind]
+    assert vote(0, "card") == [1] and vote(1, "card") == [-1] and vote(2, "ip") == [-1] and vote(3, "ip") == [1] and vote(5, "phone") == [-1]
+    # the whole number, with its country code; what a base span covers is judged once
+    found = [texts[4][j.start : j.end] for j in rows[4].judged if j.kind == "national_phone"]
+    assert found == ["+1 (826) 555-4081"] and not [j for j in rows[0].judged if j.order > 3]
+
+
+def test_reliabilities_show_on_a_table(spark, small, monkeypatch):
+    before = registry.op7_personal_data(spark, small).orderBy("doc_id").collect()
+    monkeypatch.setattr(pii, "reliabilities", lambda patterns, rounds=0: (0.5, [({1: 0.6, 0: 0.35, -1: 0.05}, {1: 0.05, 0: 0.6, -1: 0.35})] * len(pii.LABELERS)))
+    after = registry.op7_personal_data(spark, small).orderBy("doc_id").collect()
+    assert [r.base_sha256 for r in before] == [r.base_sha256 for r in after] and [r.judged for r in before] != [r.judged for r in after]
