@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import calendar
 from larkspur.functions import text as T
 from larkspur.operators import conversation, fulltext, ingest, listing, lookup, metrics, retrieval, service, temporal
 from larkspur.operators.rules import Rule, RuleSet, classify, dispatch
@@ -404,6 +405,24 @@ def counters_by_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(name)
 
 
+@query("SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(GROUPING(event_type, day) AS BIGINT) AS level, CAST(count(DISTINCT user_id) AS BIGINT) AS n FROM events GROUP BY CUBE(event_type, day)")
+def distinct_users_by_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct users by type and day, by each alone, and of all."""
+    rows = table(spark, folder, "events").select("event_type", F.to_date("ts").cast("string").alias("day"), "user_id")
+    return metrics.distinct_by_levels(rows, ["event_type", "day"], "user_id")
+
+
+HOLIDAYS = [datetime.date(year, month, day) for year in range(1994, 2003) for month, day in ((1, 1), (5, 1), (12, 25), (12, 26))]
+
+
+@query("SELECT o_orderkey, CAST(count(*) FILTER (isodow(d) < 6 AND NOT (month(d), day(d)) IN ((1, 1), (5, 1), (12, 25), (12, 26))) AS BIGINT) AS days FROM (SELECT o_orderkey, unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER), INTERVAL 1 DAY)) AS d FROM orders) GROUP BY o_orderkey")
+def leave_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Working days of a leave that begins with the order and goes on for up to 39 days."""
+    rows = table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("first"))
+    last = F.date_add("first", (F.col("o_orderkey") % 40).cast("int"))
+    return rows.select("o_orderkey", calendar.working_days(F.col("first"), last, HOLIDAYS).cast("long").alias("days"))
+
+
 # Ingest
 
 ORDERS = ingest.Constraints(("o_orderkey",), {"o_orderstatus": "O"}, {"o_orderstatus": ("P", "F")})

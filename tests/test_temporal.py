@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import fulltext, temporal
+from larkspur.functions import calendar
+from larkspur.operators import fulltext, metrics, temporal
 from larkspur.plans import catalogue
 from larkspur.sources import storage
 
@@ -122,3 +123,28 @@ def test_a_search_opens_the_folders_of_its_words(spark):
 def test_new_queries_split_their_rows(spark):
     for name, column in (("late_rows", "late"), ("in_flight_by_stream", "state"), ("asof_last_click", "click_id"), ("knowledge_matched", "score"), ("answer_offline", "answer")):
         assert catalogue.queries()[name](spark, FOLDER).select(column).distinct().count() > 1, name
+
+
+# Calendar and levels
+
+
+def test_working_days_day_by_day(spark):
+    holidays = [datetime.date(2024, 1, 1), datetime.date(2024, 1, 6), datetime.date(2024, 1, 10), datetime.date(2024, 1, 10)]
+    start = datetime.date(2023, 12, 20)
+    pairs = [(start + datetime.timedelta(a), start + datetime.timedelta(b)) for a in range(0, 30, 3) for b in range(0, 40, 3)] + [(datetime.date(1969, 12, 25), datetime.date(1970, 1, 9)), (None, start), (start, None)]
+    free = lambda d: d.weekday() > 4 or d in holidays
+    want = [None if None in p else sum(not free(p[0] + datetime.timedelta(k)) for k in range((p[1] - p[0]).days + 1)) for p in pairs]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a date, b date")
+    got = rows.select("k", calendar.working_days(F.col("a"), F.col("b"), holidays).alias("n"), calendar.working_days(F.col("a"), F.col("b")).alias("plain"))
+    assert [r.n for r in got.orderBy("k").collect()] == want
+    assert "Generate" not in plan(got)
+
+
+def test_levels_read_rows_once(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 1, 5), ("a", 2, -7), ("b", None, 10**12), (None, 2, None), ("b", 2, 40_000)], "x string, y int, k long")
+    got = metrics.distinct_by_levels(rows, ["x", "y"], "k")
+    want = rows.cube("x", "y").agg(F.count_distinct("k").alias("n"), F.grouping_id().alias("level")).select("x", "y", "level", "n")
+    assert sorted(map(str, map(tuple, got.select("x", "y", "level", "n").collect()))) == sorted(map(str, map(tuple, want.collect())))
+    text = plan(got)
+    # the finest bitmaps are made before rows are multiplied by level
+    assert text.index("Expand") < text.index("bitmap_construct_agg") or "Expand" in text.split("bitmap_construct_agg")[0]
