@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import calendar
 from larkspur.functions import text as T
-from larkspur.operators import conversation, fulltext, ingest, listing, lookup, metrics, retrieval, service, temporal
+from larkspur.operators import conversation, fulltext, ingest, listing, lookup, metrics, quantiles, retrieval, service, temporal
 from larkspur.operators.rules import Rule, RuleSet, classify, dispatch
-from larkspur.sources import knowledge
+from larkspur.plans.functions import create_lookup, create_router
+from larkspur.sources import knowledge, owners, versioned
 from larkspur.sources.storage import append, parsed, point_read, query_parameter, scratch, store, table, to_json_rows
 from larkspur.streaming import sessions
 from larkspur.streaming.queries import chat_stream, counters_stream, guard_stream, ingest_stream, json_stream
@@ -97,6 +98,13 @@ def intent_dispatch(spark: SparkSession, folder: str) -> DataFrame:
     return dispatch(intent_route(spark, folder), "route", {label: {"reply": F.lit(told)} for label, told in (("a", "table"), ("b", "application"), ("c", "answer"))})
 
 
+@query(f"SELECT doc_id, {ROUTE_SQL.format(t='lower(text)')} AS route FROM documents")
+def sql_route(spark: SparkSession, folder: str) -> DataFrame:
+    """The router, called from SQL."""
+    create_router(spark, "larkspur_route", RULES)
+    return spark.sql("SELECT doc_id, larkspur_route(text) AS route FROM {docs}", docs=documents(spark, folder))
+
+
 # Retrieval
 
 
@@ -321,6 +329,39 @@ def sessions_of_table(spark: SparkSession, folder: str) -> DataFrame:
 # Lookup
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def owned_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders of a nation's customers, by an index on the customer."""
+    path = scratch(spark, "owners")
+    owners.write_index(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", path)
+    asked = table(spark, folder, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return owners.owned_by(asked, path, "o_custkey")
+
+
+CUSTOMER_TIERS_SQL = "SELECT o.o_orderkey, CASE WHEN c.c_custkey % 3 < 2 THEN c.c_name ELSE s.c_name END AS c_name, CASE WHEN c.c_custkey % 3 < 2 THEN 'primary' WHEN s.c_custkey IS NOT NULL THEN 'fallback' ELSE 'none' END AS tier FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 > 0) s ON s.c_custkey = o.o_custkey"
+
+
+def _customer_tiers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders, and two tiers of customers that overlap and leave some out."""
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name")
+    return table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), rows.where("c_custkey % 3 < 2"), rows.where("c_custkey % 5 > 0")
+
+
+@query(CUSTOMER_TIERS_SQL)
+def lookup_customers(spark: SparkSession, folder: str) -> DataFrame:
+    return lookup.lookup_tiered(*_customer_tiers(spark, folder), "c_custkey").select("o_orderkey", "c_name", "tier")
+
+
+@query(CUSTOMER_TIERS_SQL)
+def sql_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lookup as a table function, called from SQL."""
+    orders, primary, fallback = _customer_tiers(spark, folder)
+    primary.createOrReplaceTempView("larkspur_primary")
+    fallback.createOrReplaceTempView("larkspur_fallback")
+    create_lookup(spark, "larkspur_customer", "larkspur_primary", "larkspur_fallback", "c_custkey")
+    return spark.sql("SELECT o.o_orderkey, t.c_name, coalesce(t.tier, 'none') AS tier FROM {orders} o LEFT JOIN LATERAL larkspur_customer(o.c_custkey) t", orders=orders)
+
+
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 42")
 def lookup_key(spark: SparkSession, folder: str) -> DataFrame:
     return point_read(table(spark, folder, "customer"), "c_custkey", 42).select("c_custkey", "c_name", "c_acctbal")
@@ -369,6 +410,31 @@ def last_appended_50(spark: SparkSession, folder: str) -> DataFrame:
     return listing.last_appended(table(spark, folder, "events"), "event_id").select("event_id", "ts", "event_type")
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 950")
+def listing_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20th page of the orders, latest first."""
+    path = scratch(spark, "pages")
+    listing.write_pages(table(spark, folder, "orders"), "o_orderdate", "o_orderkey", path, 16)
+    return listing.page(spark, path, "o_orderdate", "o_orderkey", 20).select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+PARTS = [0.0, 0.5, 0.9, 0.99, 1.0]
+BIN_STEP, BIN_ABOVE = quantiles.scale(quantiles.ACCURACY)
+
+
+@query(f"""WITH bins AS (SELECT event_type, date_trunc('week', ts) AS week, CASE WHEN value = 0 THEN 0 ELSE CAST(sign(value) * (ceil(ln(abs(value)) / {BIN_STEP!r}) + {BIN_ABOVE}) AS BIGINT) END AS bin FROM events WHERE value IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type, week ORDER BY bin) AS r, count(*) OVER (PARTITION BY event_type, week) AS n FROM bins)
+SELECT event_type, strftime(week, '%Y-%m-%d') AS week, CAST(part AS DOUBLE) AS part, round(sign(bin) * exp((abs(bin) - {BIN_ABOVE}) * {BIN_STEP!r}) * 2 / (1 + exp({BIN_STEP!r})), 6) AS estimate, CAST(n AS BIGINT) AS n
+FROM ranked JOIN (SELECT unnest([{", ".join(map(str, PARTS))}]) AS part) p ON r = greatest(ceil(CAST(part AS DOUBLE) * n), 1)""")
+def weekly_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles of values by type and week, from sketches stored by day in two batches."""
+    path, rows = scratch(spark, "quantiles"), table(spark, folder, "events").select(F.to_date("ts").alias("day"), "event_type", "value", "event_id")
+    for batch in (0, 1):
+        quantiles.store(rows.where(F.col("event_id") % 2 == batch), "day", ["event_type"], "value", path, batch)
+    stored = spark.read.parquet(path).withColumn("week", F.date_format(F.trunc("day", "week"), "yyyy-MM-dd"))
+    return quantiles.estimates(stored, ["event_type", "week"], PARTS).withColumn("estimate", F.round("estimate", 6))
+
+
 CONDITIONS = {"errors_total": "error", "chat_requests_total": "click", "applications_total": "purchase"}
 COUNTS_SQL = "CAST(count(*) AS BIGINT) AS requests_total, " + ", ".join(f"CAST(count(*) FILTER (event_type = '{v}') AS BIGINT) AS {k}" for k, v in CONDITIONS.items())
 
@@ -486,6 +552,27 @@ def applications(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.applications(rows, RULES, at).select("employee_id", "leave_type", "status", "reference_id", "message", T.iso(F.col("created_at")).alias("created"), T.iso(F.col("updated_at")).alias("updated"))
 
 
+CHANGES = ingest.Constraints(("application",), {}, {"status": ("submitted", "approved", "rejected")})
+CHANGES_SQL = "(SELECT o_orderkey AS application, o_orderdate AS told_at, 'submitted' AS status, NULL AS line FROM orders UNION ALL SELECT l_orderkey, l_shipdate, CASE l_returnflag WHEN 'A' THEN 'approved' ELSE 'rejected' END, CASE WHEN l_returnflag = 'R' THEN l_linenumber END FROM lineitem WHERE l_returnflag IN ('A', 'R'))"
+
+
+@query(f"""SELECT s.application, s.status, l.line FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY application ORDER BY told_at DESC, status DESC) AS n FROM {CHANGES_SQL}) WHERE n = 1) s
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY application ORDER BY told_at DESC, line DESC) AS n FROM {CHANGES_SQL} WHERE line IS NOT NULL) WHERE n = 1) l ON l.application = s.application""")
+def application_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as applications, their lines as changes of status, which come in two batches with a compaction between them. `line` is set by
+    rejections alone."""
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("application"), F.col("o_orderdate").alias("at"), F.lit("submitted").alias("status"), F.lit(None).cast("int").alias("line"))
+    status = F.when(F.col("l_returnflag") == "A", "approved").when(F.col("l_returnflag") == "R", "rejected").otherwise("lost")
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("application"), F.col("l_shipdate").alias("at"), status.alias("status"), F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).alias("line"), "l_linenumber")
+    good, _ = ingest.accept_reject(lines, CHANGES)
+    held = versioned.create(spark, scratch(spark, "status"), rows.schema, "application", "at", 16)
+    versioned.change(held, rows, 0)
+    versioned.change(held, good.where("l_linenumber < 4"), 1)
+    held = versioned.compact(spark, held)
+    versioned.change(held, good.where("l_linenumber >= 4"), 2)
+    return versioned.current(spark, held)
+
+
 # Conversations
 
 
