@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 
 from pyspark.sql import functions as F
 
-from larkspur.sources.storage import remove, repeated, scratch, shared_dir, unused
+from larkspur.sources.storage import free, remove, repeated, scratch, shared_dir, unused
 
-__all__ = ["attach", "cut", "remove", "repeated", "row_key", "scratch", "shared_dir", "unused"]
+__all__ = ["attach", "cut", "free", "remove", "repeated", "row_key", "scratch", "shared_dir", "unused"]
 #: A key is common if more than this share of all rows has it, so there are fewer common keys than COMMON.
 COMMON = 1024
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, repeated, row_key, unused
+from larkspur.llm.common import cut, free, repeated, row_key, unused
 
 #: Weights by the rank of the source, share of all sizes, and how often a source may be used.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -106,11 +106,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs as they are trained on: each row as often as the mix uses it, range-sorted by training position."""
     own, use = unused(docs.columns, "__key"), unused(docs.columns, "__use")
-    uses = mix(docs, id_col, text_col, source_col, **how).where("repeats > 0").select(F.struct("doc_id", "key", "positions").alias(use))
-    # of equal rows one meets the uses of all; the id is compared beside the join, so that both steps share one shuffle by the hash
-    rows = docs.withColumn(own, row_key(docs))
-    rows = rows.withColumn(use, F.row_number().over(Window.partitionBy(own, id_col).orderBy(own))).where(F.col(use) == 1).drop(use)
-    given = F.col(f"{use}.doc_id")
-    same = F.coalesce(F.col(id_col) == given, F.col(id_col).isNull() & given.isNull())
-    met = rows.join(uses, (F.col(own) == F.col(f"{use}.key")) & same)
+    uses = mix(docs, id_col, text_col, source_col, **how).where("repeats > 0").select(F.struct(F.struct("key", "doc_id").alias("row"), "positions").alias(use))
+    # of equal rows one meets the uses of all; they become one in each task before they meet in any. The key is the row's hash and
+    # its id, in which nulls are equal, so that this and the join share one shuffle
+    rows = docs.withColumn(own, F.struct(row_key(docs).alias("key"), F.col(id_col).alias("doc_id"))).dropDuplicates([own])
+    met = rows.join(uses, F.col(own) == F.col(f"{use}.row"))
     return met.select(*docs.columns, F.explode(f"{use}.positions").alias(use)).orderBy(use, id_col).select(*docs.columns)
+
+
+def with_position(docs: DataFrame, name: str = "position") -> DataFrame:
+    """docs and each row's place, from 0, in its files: part after part, row after row. Of mixed() written and read again, this is
+    the order of training.
+
+    docs has to be a table as it is read from files. What is summed up in one task and sent to all is one number a file, as many
+    as the driver lists to read the table at all. An empty table gives an empty result; a column of the place's name is refused.
+    """
+    free(docs, name)
+    meta, file, row, before = docs.metadataColumn("_metadata"), *(unused(docs.columns, n) for n in ("__file", "__row", "__before"))
+    held = docs.select("*", meta["file_path"].alias(file), meta["row_index"].alias(row))
+    # part numbers have five digits, or more if there are more parts
+    leaf = F.element_at(F.split(file, "/"), -1)
+    earlier = Window.orderBy(F.length(leaf), leaf, file).rowsBetween(Window.unboundedPreceding, -1)
+    files = held.groupBy(file).agg(F.count(F.lit(1)).alias(before)).select(F.col(file), F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    return held.join(F.broadcast(files), file).select(*docs.columns, (F.col(before) + F.col(row)).alias(name))

@@ -23,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -280,12 +280,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """One row of each component, all columns as they were: that with the smallest id, nulls last, and of rows with one id that with
     the least hash. Equal rows are one."""
     own, once = unused(docs.columns, "__key"), unused(docs.columns, "__once")
-    keyed = docs.withColumn(own, row_key(docs))
-    rows = cut(fingerprints(keyed, id_col, text_col, F.col(own)))
+    # equal rows become one in each task before they meet in any; the key is the row's and the id's, so that this and the join share one shuffle
+    keyed = docs.withColumn(own, F.struct(row_key(docs).alias("key"), F.col(id_col).cast("long").alias("doc_id"))).dropDuplicates([own])
+    rows = cut(fingerprints(docs.withColumn(own, row_key(docs)), id_col, text_col, F.col(own)))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
-    kept = _grouped(rows, radius, F.min(rank)).where(F.col("doc_id").eqNullSafe(F.col("low.id")) & (F.col("key") == F.col("low.key"))).select(F.struct("doc_id", "key").alias(once)).distinct()
-    # the id is compared beside the join, so that this and the next step share one shuffle by the hash
-    given, named = F.col(id_col).cast("long"), F.col(f"{once}.doc_id")
-    same = (F.col(own) == F.col(f"{once}.key")) & F.coalesce(given == named, given.isNull() & named.isNull())
-    found = keyed.join(kept, same, "left_semi")
-    return found.withColumn(once, F.row_number().over(Window.partitionBy(own, id_col).orderBy(own))).where(F.col(once) == 1).select(*docs.columns)
+    kept = _grouped(rows, radius, F.min(rank)).where(F.col("doc_id").eqNullSafe(F.col("low.id")) & (F.col("key") == F.col("low.key"))).select(F.struct("key", "doc_id").alias(once)).distinct()
+    return keyed.join(kept, F.col(own) == F.col(once), "left_semi").select(*docs.columns)

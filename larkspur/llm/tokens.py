@@ -273,22 +273,22 @@ def _flatten(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndar
     return seq.astype(np.uint32), at
 
 
-_SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("length", pa.list_(pa.int32())), ("base", pa.int32()), ("width", pa.int32()), ("sequence", pa.binary()), ("rules", pa.binary()), ("expansions", pa.binary())])
-_SHARD_DDL = "part int, shard int, start long, n_tokens long, doc_id array<long>, length array<int>, base int, width int, sequence binary, rules binary, expansions binary"
+_SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("position", pa.list_(pa.int64())), ("length", pa.list_(pa.int32())), ("base", pa.int32()), ("width", pa.int32()), ("sequence", pa.binary()), ("rules", pa.binary()), ("expansions", pa.binary())])
+_SHARD_DDL = "part int, shard int, start long, n_tokens long, doc_id array<long>, position array<long>, length array<int>, base int, width int, sequence binary, rules binary, expansions binary"
 
 
-def _steps(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) in steps of about `most` bytes, so that memory follows the step and not the batch."""
+def _steps(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns, ids and texts before others, in steps of about `most` bytes, so that memory follows the step and not the batch."""
     for batch in batches:
         step = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // most
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
-                yield batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)
+                yield tuple(column.slice(lo, hi - lo) for column in batch.columns)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[list, list]]:
-    return ((ids.to_pylist(), texts.to_pylist()) for ids, texts in _steps(batches, most))
+    return ((ids.to_pylist(), texts.to_pylist()) for ids, texts, *_ in _steps(batches, most))
 
 
 def _grammar_rows(path: str, end_id: int, rounds: int | None):
@@ -296,6 +296,7 @@ def _grammar_rows(path: str, end_id: int, rounds: int | None):
         enc, part, shard, start = encoder(path), TaskContext.get().partitionId(), 0, 0
         base = max(enc.tokenizer.get_vocab_size(), end_id + 1)
         docs: list = []
+        places: list = []
         lengths: list[np.ndarray] = []
         held: list[np.ndarray] = []
         size = 0
@@ -304,34 +305,39 @@ def _grammar_rows(path: str, end_id: int, rounds: int | None):
             ids = np.concatenate(held)
             seq, rules, expansions = repair(ids, base, rounds)
             width = 2 if base + len(rules) <= 1 << 16 else 4
-            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "start": start, "n_tokens": len(ids), "doc_id": docs, "length": np.concatenate(lengths), "base": base, "width": width, "sequence": seq.astype(f"<u{width}").tobytes(), "rules": rules.astype(f"<u{width}").tobytes(), "expansions": expansions.astype("<u4").tobytes()}], schema=_SHARD)
+            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "start": start, "n_tokens": len(ids), "doc_id": docs, "position": places, "length": np.concatenate(lengths), "base": base, "width": width, "sequence": seq.astype(f"<u{width}").tobytes(), "rules": rules.astype(f"<u{width}").tobytes(), "expansions": expansions.astype("<u4").tobytes()}], schema=_SHARD)
 
-        for names, texts in _steps(batches):
+        for names, texts, spots in _steps(batches):
             ids, sizes = enc.encode(texts, end_id)
-            ends, names = np.cumsum(sizes), names.to_pylist()
+            ends, names, spots = np.cumsum(sizes), names.to_pylist(), spots.to_pylist()
             at, done = 0, 0
             while at < len(sizes):
                 # up to the document that fills the shard
                 to = min(int(np.searchsorted(ends, done + SHARD_TOKENS - size)) + 1, len(sizes))
                 docs += names[at:to]
+                places += spots[at:to]
                 lengths.append(sizes[at:to])
                 held.append(ids[done : ends[to - 1]])
                 size += int(ends[to - 1]) - done
                 at, done = to, int(ends[to - 1])
                 if size >= SHARD_TOKENS:
                     yield row()
-                    docs, lengths, held, shard, start, size = [], [], [], shard + 1, start + size, 0
+                    docs, places, lengths, held, shard, start, size = [], [], [], [], shard + 1, start + size, 0
         if docs:
             yield row()
 
     return run
 
 
-def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every whole text, appends end_id to each and writes grammar shards in ascending id order to path."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tie = F.xxhash64("text")
-    rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+def write_grammar(docs: DataFrame, path: str, tokenizer: str, end_id: int, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text", position_col: str | None = None) -> None:
+    """Encodes every whole text, appends end_id to each and writes grammar shards in ascending id order to path.
+
+    With position_col, a number that tells where in the order of training a row stands, each document's is kept beside its length.
+    """
+    position = F.col(position_col).cast("long") if position_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), position.alias("position"))
+    tie = (F.xxhash64("text"), *(("position",) if position_col else ()))
+    rows = rows.repartitionByRange("doc_id", *tie).sortWithinPartitions("doc_id", *tie)
     rows.mapInArrow(_grammar_rows(tokenizer, end_id, rounds), _SHARD_DDL).write.parquet(path)
 
 
@@ -349,20 +355,21 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ends = np.cumsum(n)
             buf = memoryview(ids).cast("B")
             crc = [zlib.crc32(buf[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array([row["part"]] * len(n), pa.int32()), pa.array(row["start"] + ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "part", "local", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array([row["part"]] * len(n), pa.int32()), pa.array(row["start"] + ends - n), pa.array(n), pa.array(crc, pa.int64()), pa.array(row["position"], pa.int64())], names=["doc_id", "part", "local", "n_tokens", "ids_crc32", "position"])
 
 
 def read_grammar(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start (ids of all documents before it), n_tokens and ids_crc32, decoded from the files.
+    """Per document: doc_id, start (ids of all documents before it), n_tokens and ids_crc32, decoded from the files, and position, null
+    if the files were written without.
 
     Files hold consecutive ranges; one row for each file is summed up in front of it to place its documents.
     """
     shards = spark.read.schema(_SHARD_DDL).parquet(path)
-    docs = shards.select("part", "start", "doc_id", "length", "base", "width", "sequence", "rules", "expansions").mapInArrow(_document_rows, "doc_id long, part int, local long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "start", "doc_id", "position", "length", "base", "width", "sequence", "rules", "expansions").mapInArrow(_document_rows, "doc_id long, part int, local long, n_tokens long, ids_crc32 long, position long")
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("part").alias("file"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
-    return docs.join(parts, docs.part == parts.file).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(parts, docs.part == parts.file).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "position")
 
 
 def read_span(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
@@ -385,11 +392,12 @@ def read_span(spark: SparkSession, path: str, start: int, stop: int) -> DataFram
     return wanted.select("at", "n_tokens", "base", "width", "sequence", "rules", "expansions").mapInArrow(run, "position long, token long")
 
 
-def token_file(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Writes grammar shards to the shared folder and returns what read_grammar() finds in them."""
+def token_file(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, position_col: str | None = None) -> DataFrame:
+    """Writes grammar shards to the shared folder and returns what read_grammar() finds in them, position only if it was given."""
     path = scratch(spark, "token-grammar")
-    write_grammar(docs, path, tokenizer, end_id)
-    return read_grammar(spark, path)
+    write_grammar(docs, path, tokenizer, end_id, position_col=position_col)
+    found = read_grammar(spark, path)
+    return found if position_col else found.drop("position")
 
 
 # Flat files and the separator scan

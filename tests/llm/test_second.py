@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import ann, credentials, maintext, pii, registry, tokens
+from larkspur.llm import ann, credentials, maintext, mixing, pii, registry, simhash, tokens
 from larkspur.llm import common as common_
 from larkspur.llm import spans as spans_
 from tests.llm import brute
@@ -419,7 +420,7 @@ def test_main_text_odd_rows(spark):
 # The pipeline
 
 
-def test_pipeline(spark, small):
+def test_pipeline(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = read(small, "labels").set_index("doc_id")
     seen = [docs]
@@ -437,15 +438,64 @@ def test_pipeline(spark, small):
     marked = brute.decontaminated([(d, texts[d]) for d in ids[2]], zip(items.item_id, items.text, strict=True))
     assert ids[3] == {r[0] for r in marked if not r[5]}
     assert seen[3].count() == len(ids[3])
-    last = corpus_pipeline.STAGES[4][1](spark, seen[4], small).collect()
-    want = brute.token_rows([(r.doc_id, r.text) for r in seen[4].collect()], tokens.encoder(registry.vocabulary()).tokenizer, 2)
+    seen[4].write.parquet(str(tmp_path / "mix"))
+    mix = spark.read.parquet(str(tmp_path / "mix"))
+    last = corpus_pipeline.STAGES[4][1](spark, mix, small).collect()
+    enc = tokens.encoder(registry.vocabulary()).tokenizer
+    want = brute.token_rows([(r.doc_id, r.text) for r in seen[4].collect()], enc, 2)
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in last) == want
+    assert [r.doc_id for r in sorted(last, key=lambda r: r.position)] == [r.doc_id for r in seen[4].collect()]
     for s in seen[1:]:
         s.unpersist()
 
 
-def test_pipeline_on_an_empty_table(spark, small):
+def test_pipeline_on_an_empty_table(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet").where("false")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, small)
-    assert docs.count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert docs.count() == 0 and "position" in docs.columns
+
+
+def test_token_files_in_the_order_of_training(spark, small, tmp_path):
+    """What mixed() has written is read again in its order, from many files and row groups, and the ids of its first documents as well."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("Position", F.lit("clash"))
+    path, files = str(tmp_path / "mix"), str(tmp_path / "ids")
+    mixed = mixing.mixed(docs)
+    mixed.write.option("parquet.block.size", 1 << 14).option("maxRecordsPerFile", 30).parquet(path)
+    read = spark.read.parquet(path)
+    with pytest.raises(ValueError):
+        mixing.with_position(read)
+    placed = mixing.with_position(read, "place")
+    rows = {r.place: (r.doc_id, r.text) for r in placed.collect()}
+    assert [rows[k] for k in range(len(rows))] == [(r.doc_id, r.text) for r in mixed.collect()]
+    want = mixing.mix(docs)
+    times = want.where("repeats > 0").select("doc_id", F.explode("positions").alias("at")).orderBy("at", "doc_id").collect()
+    assert [rows[k][0] for k in range(len(rows))] == [r.doc_id for r in times]
+    tokens.write_grammar(placed, files, registry.vocabulary(), 2, position_col="place")
+    found = tokens.read_grammar(spark, files).orderBy("position").limit(5).collect()
+    enc = tokens.encoder(registry.vocabulary()).tokenizer
+    for k, r in enumerate(found):
+        ids = [t.token for t in tokens.read_span(spark, files, r.start, r.start + r.n_tokens).orderBy("position").collect()]
+        assert (r.position, r.doc_id) == (k, rows[k][0]) and ids == [*enc.encode(rows[k][1] or "", add_special_tokens=False).ids, 2]
+
+
+def test_places_need_no_more_than_files(spark, small):
+    """One row a file is exchanged and sent; the rows of the table are not."""
+    plan = mixing.with_position(spark.read.parquet(f"{small}/documents.parquet"), "place")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert all("text" not in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_equal_rows_become_one_in_each_task(spark):
+    """Both steps that keep one of equal rows combine before they shuffle, and a third of all rows in one copy is one row after it."""
+    rows = [(1, "the same words here again", "a")] * 400 + [(None, "none has an id here now", None)] * 200 + [(k, f"words of number {k} and {k * k}", "b") for k in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    kept = simhash.keep_one(df)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert got.count(rows[0][:2]) == 1 and got.count(rows[400][:2]) == 1 and len(got) == len(set(got))
+    out = mixing.mixed(df)
+    assert out.count() == sum(r.repeats for r in mixing.mix(df).collect())
+    for frame in (kept, out):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "partial_first" in plan and "windowspecdefinition(__key" not in plan
