@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,38 @@ def test_a_search_opens_the_folders_of_its_words(spark):
     assert top.count() == 10
 
 
+def test_many_queries_make_no_row_for_a_pair(spark, monkeypatch):
+    """fulltext_ranked over 0.1 GB made a row of each word asked for and each document that holds it."""
+    monkeypatch.setattr(fulltext, "QUERIES", 7), monkeypatch.setattr(fulltext, "DOCUMENTS", 16)
+    docs = storage.table(spark, FOLDER, "documents").select("doc_id", "text")
+    asked = storage.table(spark, FOLDER, "benchmark").select("item_id", "text")
+    index = fulltext.build(docs, "doc_id", "text", storage.scratch(spark, "t"), 4, 64)
+    for k in (1, 3, 10):
+        assert rows(fulltext.search_all(docs, "doc_id", "text", asked, "item_id", "text", k)) == rows(fulltext.search(index, asked, "item_id", "text", k)[0])
+    # as many equal scores as there are documents, shared ids, empty rows
+    odd = spark.createDataFrame([*((f"d{n:03}", "same Words") for n in range(90)), ("a", "rare word"), ("a", "rare again"), ("b", None), ("c", ""), (None, "rare"), ("e", "É é")], "id string, text string")
+    few = spark.createDataFrame([("a", "RARE"), ("b", "word words"), ("b", "é"), ("c", None), (None, "rare"), ("d", "unheard"), ("e", "same")], "q string, text string")
+    found = fulltext.search_all(odd, "id", "text", few, "q", "text", 3)
+    assert rows(found) == rows(fulltext.search(fulltext.build(odd, "id", "text", storage.scratch(spark, "t"), 2, 1), few, "q", "text", 3)[0])
+    assert [r.doc for r in sorted(found.where("query = 'e'").collect(), key=lambda r: r["rank"])] == ["d000", "d001", "d002"]
+    assert fulltext.search_all(odd.where("false"), "id", "text", few, "q", "text").count() == fulltext.search_all(odd, "id", "text", few.where("false"), "q", "text").count() == 0
+    text = plan(catalogue.queries()["fulltext_ranked"](spark, FOLDER))
+    assert "MapInArrow" in text and "postings" not in text
+
+
+def test_a_matrix_holds_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    for dense, pairs in ((0, 5), (4, 50), (1 << 40, 1 << 20)):
+        monkeypatch.setattr(fulltext, "DENSE", dense), monkeypatch.setattr(fulltext, "PAIRS", pairs), monkeypatch.setattr(fulltext, "SLAB", 3)
+        sides = [np.where(rng.random((n, 40)) < rng.random(40), rng.integers(1, 1 << 20, (n, 40)), 0) for n in (9, 13)]
+        packed = []
+        for side in sides:
+            word, row = np.nonzero(side.T)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            packed.append((word[starts], starts.astype("<i4"), row.astype("<i4"), side[row, word]))
+        assert (fulltext._matrix(*packed, (9, 13)) == sides[0] @ sides[1].T).all()
+
+
 def test_new_queries_split_their_rows(spark):
     for name, column in (("late_rows", "late"), ("in_flight_by_stream", "state"), ("asof_last_click", "click_id"), ("knowledge_matched", "score"), ("answer_offline", "answer")):
         assert catalogue.queries()[name](spark, FOLDER).select(column).distinct().count() > 1, name
