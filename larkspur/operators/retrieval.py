@@ -4,8 +4,9 @@ An entry scores one for each of its keywords, repeats included, that occurs in t
 does; letter case aside. Entries that score are ordered by score, then by their place in the base.
 
 A base within ENTRIES and BYTES is one array that every message row is matched against, without any join or shuffle: matches are
-ranked inside the row. A larger one is searched by grams: keywords are found by an equi-join on their first letters, inside the scan if
-the phrases are within PHRASES and PHRASE_BYTES, and then tested. Both forms give the same rows, whatever ids the messages have:
+ranked inside the row. A larger one is searched by grams: keywords are found by an equi-join on their first letters, as many as GRAMS
+has for their length, inside the scan if the phrases are within PHRASES and PHRASE_BYTES, and then tested. Of up to KNOWN grams of a
+length only these are taken from a message, else all of that length. Both forms give the same rows, whatever ids the messages have:
 the second works matches out once for each distinct text, by a hash of 256 bits, and joins them back.
 """
 
@@ -21,7 +22,8 @@ BOOST = 2
 SOURCE_LINE, DETAIL_LINE = "Source: ", "\nPolicy Details: "
 #: Fixed value: the context where nothing matches.
 NO_POLICY = "No specific company policy information was found for this query. Answer based on general knowledge."
-ENTRIES, BYTES, GRAM = 2000, 1 << 20, 3
+ENTRIES, BYTES = 2000, 1 << 20
+GRAMS, KNOWN = (1, 2, 3, 6), 64
 #: Phrases and their bytes that are sent to every executor at most.
 PHRASES, PHRASE_BYTES = 200_000, 1 << 23
 MATCH = "array<struct<rank:long,ord:int,id:string,source:string,answer:string,score:long>>"
@@ -64,30 +66,44 @@ def _in_rows(rows: DataFrame, kb: DataFrame, folded: str, boost: int) -> DataFra
     return rows.select("*", F.explode(F.array(found)).alias("matches")).drop(held)
 
 
-def _grams(text: Column, n: int) -> Column:
-    """All runs of n characters, overlapping, in one linear pass."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def _grams(text: Column, n: int, known: list[str] | None) -> Column:
+    """The runs of n characters, overlapping, in one linear pass: all, or those known."""
+    told = f".{{{n}}}"
+    if known:
+        literal = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else f"\\{c}" for c in t)
+        heads = "".join(sorted({literal(g[0]) for g in known}))
+        told = f"(?=[{heads}])(?:{'|'.join(map(literal, sorted(known)))})"
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({told}))"), F.lit(1))
 
 
 def _by_grams(rows: DataFrame, kb: DataFrame, folded: str, boost: int) -> DataFrame:
-    words = kb.select("ord", F.posexplode("keywords").alias("place", "phrase"), F.lit(1).cast("long").alias("worth"))
-    phrases = words.union(kb.where("category is not null and category != ''").select("ord", F.lit(-1), "category", F.lit(boost).cast("long")))
-    phrases = phrases.withColumn("gram", F.substring("phrase", 1, GRAM))
-    held = phrases.agg(F.collect_set(F.length("gram")).alias("sizes"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("bytes")).collect()[0]  # sizes: GRAM values at most
-    grams = F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *(_grams(F.col("text"), n) for n in sorted(held.sizes)))))
-    texts = rows.select(F.col(folded).alias("text")).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
-    if held.n <= PHRASES and held.bytes <= PHRASE_BYTES:
+    words = kb.select("ord", F.explode("keywords").alias("phrase"), F.lit(1).cast("long").alias("worth"))
+    phrases = words.union(kb.where("category is not null and category != ''").select("ord", "category", F.lit(boost).cast("long")))
+    # repeated keywords count each time and are looked for once
+    phrases = phrases.groupBy("ord", "phrase").agg(F.sum("worth").alias("worth"))
+    size = F.greatest(*(F.when(F.length("phrase") >= n, n).otherwise(0) for n in GRAMS))
+    phrases = phrases.withColumn("gram", F.substring("phrase", F.lit(1), size))
+    # GRAMS rows at most
+    held = phrases.groupBy(F.length("gram").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("phrase")).alias("bytes"), F.count_distinct("gram").alias("grams")).orderBy("size").collect()
+    few = phrases.where(F.length("gram").isin([h.size for h in held if h.grams <= KNOWN])).select("gram").distinct().collect()  # KNOWN a size at most
+    known = {h.size: [r.gram for r in few if len(r.gram) == h.size] for h in held}
+    grams = F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *(_grams(F.col("text"), n, known[n]) for n in known))))
+    key = unused(rows.columns, "__key")
+    rows = rows.withColumn(key, F.sha2(F.col(folded).cast("binary"), 256))
+    texts = rows.select(F.col(folded).alias("text"), F.col(key).alias("key"))
+    if sum(h.n for h in held) <= PHRASES and sum(h.bytes for h in held) <= PHRASE_BYTES:
         near = texts.select("key", "text", F.explode(grams).alias("gram")).join(F.broadcast(phrases), "gram").where(F.contains("text", F.col("phrase")))
     else:
         # the estimates know nothing of what explode() makes, so no side may be broadcast on their word
-        met = texts.select("key", F.explode(grams).alias("gram")).join(phrases.hint("merge"), "gram").select("key", "ord", "place", "phrase", "worth").distinct()
+        met = texts.select("key", F.explode(grams).alias("gram")).join(phrases.hint("merge"), "gram").select("key", "ord", "phrase", "worth").distinct()
         near = met.join(texts.dropDuplicates(["key"]).hint("merge"), "key").where(F.contains("text", F.col("phrase")))
-    hits = near.select("key", "ord", "place", "worth").distinct().groupBy("key", "ord").agg(F.sum("worth").alias("score"))
+    # dealt out by key once, before the entries come in
+    hits = near.select("key", "ord", "phrase", "worth").distinct().repartition("key").groupBy("key", "ord").agg(F.sum("worth").alias("score"))
     entry = F.struct("ord", "id", "source", "answer")
     best = hits.join(kb.select(F.col("ord").alias("o"), entry.alias("e")), F.col("ord") == F.col("o")).groupBy("key").agg(F.array_sort(F.collect_list(_ordered(F.col("score"), F.col("e")))).cast(MATCH).alias("matches"))
-    key, matches = F.sha2(F.col(folded).cast("binary"), 256), unused(rows.columns, "__best")
-    found = rows.join(best.select(F.struct("key", "matches").alias(matches)).hint("merge"), key == F.col(f"{matches}.key"), "left")
-    return found.select(*rows.columns, F.coalesce(F.col(f"{matches}.matches"), F.array().cast(MATCH)).alias("matches"))
+    matches = unused(rows.columns, "__best")
+    found = rows.join(best.select(F.struct("key", "matches").alias(matches)).hint("merge"), F.col(key) == F.col(f"{matches}.key"), "left")
+    return found.select(*(c for c in rows.columns if c != key), F.coalesce(F.col(f"{matches}.matches"), F.array().cast(MATCH)).alias("matches"))
 
 
 def scored(found: DataFrame, *keys: str) -> DataFrame:

@@ -68,6 +68,23 @@ def test_both_forms_agree_on_repeated_and_missing_ids(spark, monkeypatch, phrase
     assert retrieval.retrieve(rows.where("false"), kb, fits=False).count() == 0
 
 
+@pytest.mark.parametrize("known", [64, 2, 0])
+def test_grams_of_any_letters(spark, monkeypatch, known):
+    monkeypatch.setattr(retrieval, "KNOWN", known)
+    words = ["a.b", "a+", "\\\\E x", "^x", "]-z", "[", "&&a", "line\nbreak", "\U0001f600\U0001f601", "été en", "(?s)", "-", "longer than a gram", "longer", "aa", "aaa", "aaaaaaa"]
+    kb = knowledge.entries(spark, [(n, str(n), "c" if n % 2 else None, [w, words[n - 1]], "s", "a") for n, w in enumerate(words)])
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate([*words, "axb", "x" + "".join(words), "aaaaaa", "LONGER THAN a gram", "", None])], "id long, text string")
+    one, two = (sorted((r.id, [(m.id, m.score) for m in r.matches]) for r in retrieval.retrieve(rows, kb, fits=fits).collect()) for fits in (True, False))
+    assert one == two and sum(bool(m) for _, m in one) > len(words)
+
+
+def test_texts_stay_where_they_are(spark):
+    """retrieve_by_grams sent each text through a shuffle, to find its matches again."""
+    found = retrieval.retrieve(spark.createDataFrame([(1, "a trip")], "id long, text string"), knowledge.entries(spark, KB), fits=False)
+    text = retrieval.scored(found, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__key" in text and "hashpartitioning(sha2" not in text
+
+
 def test_context_and_prompt(spark):
     found = retrieval.retrieve(spark.createDataFrame([(1, "trip claim")], "id long, text string"), knowledge.entries(spark, KB[:4]))
     got = found.select(retrieval.context().alias("c"), T.prompt(("One.", "Two."), retrieval.context(), F.col("text")).alias("p")).collect()[0]
