@@ -3,7 +3,7 @@
 An entry scores one for each of its keywords, repeats included, that occurs in the message as a substring, and BOOST if its category
 does; letter case aside. Entries that score are ordered by score, then by their place in the base.
 
-A base within ENTRIES and BYTES is one array that every message row is matched against, without any join or shuffle: matches are
+A base within ENTRIES, BYTES and KEYWORDS is one array that every message row is matched against, without any join or shuffle: matches are
 ranked inside the row. A larger one is searched by grams: keywords are found by an equi-join on their first letters, as many as GRAMS
 has for their length, inside the scan if the phrases are within PHRASES and PHRASE_BYTES, and then tested. Of up to KNOWN grams of a
 length only these are taken from a message, else all of that length. Both forms give the same rows, whatever ids the messages have:
@@ -22,7 +22,7 @@ BOOST = 2
 SOURCE_LINE, DETAIL_LINE = "Source: ", "\nPolicy Details: "
 #: Fixed value: the context where nothing matches.
 NO_POLICY = "No specific company policy information was found for this query. Answer based on general knowledge."
-ENTRIES, BYTES = 2000, 1 << 20
+ENTRIES, BYTES, KEYWORDS = 2000, 1 << 20, 256
 GRAMS, KNOWN = (1, 2, 3, 6), 64
 #: Phrases and their bytes that are sent to every executor at most.
 PHRASES, PHRASE_BYTES = 200_000, 1 << 23
@@ -31,8 +31,8 @@ MATCH = "array<struct<rank:long,ord:int,id:string,source:string,answer:string,sc
 
 def _fits(kb: DataFrame) -> bool:
     size = F.sum(F.length(F.concat_ws("", "keywords")) + F.coalesce(F.length("answer"), F.lit(0)))
-    found = kb.agg(F.count(F.lit(1)).alias("n"), size.alias("size")).collect()[0]
-    return found.n <= ENTRIES and (found.size or 0) <= BYTES
+    found = kb.agg(F.count(F.lit(1)).alias("n"), size.alias("size"), F.sum(F.greatest(F.size("keywords"), F.lit(0))).alias("keywords")).collect()[0]
+    return found.n <= ENTRIES and (found.size or 0) <= BYTES and (found.keywords or 0) <= KEYWORDS
 
 
 def _ordered(score: Column, e: Column) -> Column:

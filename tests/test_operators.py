@@ -85,6 +85,16 @@ def test_texts_stay_where_they_are(spark):
     assert "hashpartitioning(__key" in text and "hashpartitioning(sha2" not in text
 
 
+def test_many_keywords_are_not_tried_one_by_one(spark):
+    """knowledge_matched tried each of thousands of keywords on each message."""
+    kb = knowledge.entries(spark, [(n, str(n), None, [f"word {n} {m}" for m in range(60)], "s", "a") for n in range(6)])
+    rows = spark.createDataFrame([(1, "word 3 7 and word 5 0"), (2, "word")], "id long, text string")
+    found = retrieval.retrieve(rows, kb)
+    assert "regexp_extract_all" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: [(m.id, m.score) for m in r.matches] for r in found.collect()} == {1: [("3", 1), ("5", 1)], 2: []}
+    assert "regexp_extract_all" not in retrieval.retrieve(rows, kb.where("ord = 0"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_context_and_prompt(spark):
     found = retrieval.retrieve(spark.createDataFrame([(1, "trip claim")], "id long, text string"), knowledge.entries(spark, KB[:4]))
     got = found.select(retrieval.context().alias("c"), T.prompt(("One.", "Two."), retrieval.context(), F.col("text")).alias("p")).collect()[0]
