@@ -26,11 +26,12 @@ def error_reply(status: Column, message: Column, request_id: Column, route_unkno
     return F.to_json(F.struct(message.alias("error"), F.when(traced, request_id).alias("request_id")))
 
 
-def chat(messages: DataFrame, kb: DataFrame, no_match: str, text_col: str = "message", fits: bool | None = None) -> DataFrame:
-    """messages with status, error, answer and sources; a table that has one of these is refused. Blank messages are refused; the others are answered from the base."""
+def chat(messages: DataFrame, kb: DataFrame, no_match: str, text_col: str = "message", fits: bool | None = None, required: bool = True) -> DataFrame:
+    """messages with status, error, answer and sources; a table that has one of these is refused. Blank messages are refused if a text is required, the
+    others are answered from the base; where none is required, a blank one is answered like any that matches nothing."""
     free(messages, "status", "error", "answer", "sources")
     found = retrieval.retrieve(messages, kb, text_col, fits=fits)
-    refused = F.coalesce(T.blank(F.col(text_col)), F.lit(True))
+    refused = F.coalesce(T.blank(F.col(text_col)), F.lit(True)) if required else F.lit(False)
     return found.withColumns({"status": F.when(refused, 400).otherwise(200), "error": F.when(refused, "message is required"), "answer": F.when(~refused, retrieval.answer(no_match)), "sources": F.when(~refused, retrieval.sources())}).drop("matches")
 
 
