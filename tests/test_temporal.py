@@ -153,6 +153,39 @@ def test_a_matrix_holds_all_pairs(monkeypatch):
         assert (fulltext._matrix(*packed, (9, 13)) == sides[0] @ sides[1].T).all()
 
 
+def test_only_what_reaches_the_k_th_score_is_made_exactly(monkeypatch):
+    """fulltext_ranked over 6 GB made all scores in double precision and looked through them all again."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(fulltext, "SLAB", 4)
+    for dense, common in ((0, 512), (1 << 40, 512), (1 << 40, 7), (4, 512)):
+        monkeypatch.setattr(fulltext, "DENSE", dense), monkeypatch.setattr(fulltext, "COMMON", common)
+        # sums beyond 2^24 that differ by one, equal ones, and rows of nothing
+        asked, held = np.where(rng.random((9, 30)) < 0.5, rng.integers(1 << 18, 1 << 20, (9, 30)), 0), np.where(rng.random((90, 30)) < 0.5, rng.integers(2000, 2003, (90, 30)), 0)
+        asked[4], held[30:60] = 0, held[0]
+        row, word = np.nonzero(asked)
+        queries = np.arange(30), np.cumsum((asked > 0).sum(axis=1)), word, asked[row, word]
+        word, row = np.nonzero(held.T)
+        docs = np.unique(word), np.flatnonzero(np.diff(word, prepend=-1)), row.astype("<i4"), held[row, word]
+        scores = asked @ held.T
+        for least in (np.zeros(9), np.sort(scores, axis=1)[:, -3].astype(float), np.where(np.arange(9) % 2, 0.0, scores.max(axis=1) + 1)):
+            found = sorted(zip(*(x.tolist() for x in fulltext._reached(queries, docs, 90, least, 3)), strict=True))
+            assert all(scores[q, d] == s and s >= max(least[q], 1) for q, d, s in found)
+            want = [sorted((-int(s), d) for d, s in enumerate(line) if s >= max(least[q], 1))[:3] for q, line in enumerate(scores)]
+            assert [sorted((-s, d) for p, d, s in found if p == q)[:3] for q in range(9)] == want
+
+
+def test_words_of_one_number_are_numbered_anew(spark, monkeypatch):
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(("ab cd", "cd ef", "ab gh", "ef"))], "id int, text string")
+    asked = spark.createDataFrame([(n, t) for n, t in enumerate(("ab ef", "cd gh"))], "q int, text string")
+    want = rows(fulltext.search_all(docs, "id", "text", asked, "q", "text"))
+    clashes = [len(set(fulltext._numbers(str(salt), 1, [b"ab", b"cd", b"ef", b"gh"])[0].tolist())) < 4 for salt in range(20)]
+    assert not all(clashes)
+    salts, once = [], fulltext._number
+    monkeypatch.setattr(fulltext, "DIGITS", 1), monkeypatch.setattr(fulltext, "_number", lambda salt, digits: (salts.append(salt), once(salt, digits))[1])
+    assert rows(fulltext.search_all(docs, "id", "text", asked, "q", "text")) == want and len(want) == 7
+    assert len(salts) == clashes.index(False) + 1
+
+
 def test_new_queries_split_their_rows(spark):
     for name, column in (("late_rows", "late"), ("in_flight_by_stream", "state"), ("asof_last_click", "click_id"), ("knowledge_matched", "score"), ("answer_offline", "answer")):
         assert catalogue.queries()[name](spark, FOLDER).select(column).distinct().count() > 1, name
